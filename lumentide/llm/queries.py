@@ -125,6 +125,14 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path, end_id=2, payload=("ids_crc32", crc_payload, "long"))
 
 
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumentide.llm.neardup import NearDup, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle=4))
+    return found.withColumnRenamed("component", "component_id")
+
+
 @query
 def op9_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumentide.llm.quality import quality_measures
