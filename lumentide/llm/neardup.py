@@ -63,12 +63,13 @@ def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.n
 
 
 def minima(values: np.ndarray, bounds: np.ndarray, count: int, seed: int) -> np.ndarray:
-    """``count`` multiply-add minima of each non-empty set, one row for each hash function."""
+    """``count`` multiply-add minima of each non-empty set, one row for each hash function. Values: well mixed, 32 or 64 bits."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    factors = rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    terms = rng.integers(0, 1 << 63, count, dtype=np.uint64)
+    bits = values.dtype.itemsize * 8 - 1
+    factors = (rng.integers(0, 1 << bits, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(values.dtype)
+    terms = rng.integers(0, 1 << bits, count, dtype=np.uint64).astype(values.dtype)
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out, work = np.empty((count, len(starts)), np.uint64), np.empty_like(values)
+    out, work = np.empty((count, len(starts)), values.dtype), np.empty_like(values)
     for j in range(count):
         np.multiply(values, factors[j], out=work)
         work += terms[j]
@@ -147,7 +148,7 @@ def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str
         rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
         return rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, settings), "a long, b long")
 
-    stars, _ = linked_components(keys, own.select("id", "sig"), verify, settings.least, shared)
+    stars, _ = linked_components(keys, lambda ids: own.select("id", "sig").join(ids, "id", "left_semi"), verify, settings.least, shared)
     named = members.join(stars.toDF("first", "component"), "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 

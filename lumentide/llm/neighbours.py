@@ -118,16 +118,17 @@ def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield from pairs(pa.concat_tables(held))
 
 
-def linked_components(keys: DataFrame, signatures: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], least: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
+def linked_components(keys: DataFrame, signatures: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
     """(id, component) of all ids that are linked with another, but the components' smallest; and the links found.
 
-    ``keys``: key, id. ``signatures``: id, sig (binary of one width). ``verify``: takes
-    pairs (a, b), a < b, and the ids (id) they may be of, and gives those that are links.
+    ``keys``: key, id. ``signatures``: takes the ids (id) that matter and gives id, sig
+    (binary of one width). ``verify``: takes pairs (a, b), a < b, and those ids, and gives
+    the pairs that are links.
     ``least``: equal signature bytes below which a pair can't be a link.
     """
     multi = shared.write(buckets(keys), "buckets")
     known = shared.write(multi.select("id").distinct(), "known")
-    sigs = shared.write(signatures.join(known, "id", "left_semi"), "sigs")
+    sigs = shared.write(signatures(known), "sigs")
 
     def alike(pairs: DataFrame) -> DataFrame:
         left, right = sigs.toDF("a", "sig_a"), sigs.toDF("b", "sig_b")

@@ -138,3 +138,13 @@ def op9_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumentide.llm.quality import quality_measures
 
     return quality_measures(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumentide.llm.lines import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = dedup_lines(docs, count_col="n_removed")
+    n_lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    return out.select("doc_id", "n_removed", n_lines.cast("long").alias("n_lines_left"), "text")

@@ -26,7 +26,7 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(1 << 20, 1 << int(n).bit_length())
     if size not in _powers:
         if size > 1 << 20:  # of one very long text; not kept
@@ -82,7 +82,7 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        powers, inverse = _power_tables(len(self.buf) + 1)
+        powers, inverse = power_tables(len(self.buf) + 1)
         x = _BYTE[self.buf]
         x *= powers[: len(x)]
         total = np.cumsum(x, dtype=np.uint64)
