@@ -98,6 +98,14 @@ FROM ruled LEFT JOIN h2 USING (host)
 """
 
 
+@query
+def op4_fm_index_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumentide.llm.substrings import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 @query
 def op5_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -82,16 +82,15 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        powers, inverse = power_tables(len(self.buf) + 1)
-        x = _BYTE[self.buf]
-        x *= powers[: len(x)]
-        total = np.cumsum(x, dtype=np.uint64)
-        h = total[self.ends - 1] - total[self.starts - 1]
-        h *= inverse[self.starts]
-        return mix(h)
-
-    def word_bytes(self) -> list[bytes]:
-        return self.buf.tobytes().split()
+        return range_hashes(_BYTE[self.buf], self.starts, self.ends)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[start:end], by running sums; equal runs hash alike wherever they stand. Overwrites ``values``."""
+    powers, inverse = power_tables(len(values) + 1)
+    values *= powers[: len(values)]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    return mix((total[ends] - total[starts]) * inverse[starts])
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
