@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumentide.llm.hmm import held_out_tenth, score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), held_out_tenth("doc_id"))
+
+
 @query
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumentide.llm.chat import loss_text, message_events, read_back, reconstruct, render
