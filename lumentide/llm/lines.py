@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.llm.neardup import band_keys, minima
-from lumentide.llm.neighbours import linked_components
+from lumentide.llm.neighbours import Similarity, least_equal, linked_components, packed, part_count
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import binary_rows, blocks, mix, power_tables
 
@@ -35,18 +35,18 @@ _CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 @dataclass(frozen=True)
 class LineDup:
-    """16 bands of 4 find a pair at 0.8 with a chance of 0.9998, one at 0.9 always but for one in 10**7."""
+    """``sketch`` minima make the signature, the first of them the bands. 16 bands of 4 find a pair at 0.8 with a chance of 0.9998, one at 0.9 always but for one in 10**7."""
 
     shingle: int = 8
     percent: int = 80
     bands: int = 16
     rows: int = 4
     seed: int = 29
+    sketch: int = 256
 
     @property
     def least(self) -> int:
-        n, p = self.bands * self.rows, self.percent / 100
-        return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
+        return least_equal(self.sketch, self.percent)
 
 
 def split_lines(text: str) -> list[str]:
@@ -69,23 +69,28 @@ class LineHashes:
         x *= powers[: len(x)]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
         self.ids = mix((total[ends] - total[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        self.size, self.total, self.inverse, self.starts, self.ends = size, total, inverse, starts, ends
         #: shingles of each line; a line shorter than a shingle is one
         self.counts = np.maximum(sizes - size + 1, 1)
-        first = np.cumsum(self.counts) - self.counts
-        at = np.arange(int(self.counts.sum())) + np.repeat(starts - first, self.counts)
-        stop = np.minimum(at + size, np.repeat(ends, self.counts))
-        self.shingles = mix((total[stop] - total[at]) * inverse[at])
-        self.bounds = np.append(first, len(at))
+        self.bounds = np.concatenate(([0], np.cumsum(self.counts)))
 
+    def shingles(self) -> np.ndarray:
+        at = np.arange(int(self.bounds[-1])) + np.repeat(self.starts - self.bounds[:-1], self.counts)
+        stop = np.minimum(at + self.size, np.repeat(self.ends, self.counts))
+        return mix((self.total[stop] - self.total[at]) * self.inverse[at])
 
-def _keyed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id), each line content once for a block."""
+    def minima(self, count: int, seed: int) -> np.ndarray:
+        return minima((self.shingles() >> np.uint64(32)).astype(np.uint32), self.bounds, count, seed)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed pairs (key, id), each line content once for a block."""
     for _, texts in blocks(batches):
         lines = list({line for t in texts if t for line in split_lines(t.decode()) if line})
         if lines:
             h = LineHashes(lines, s.shingle)
-            keys = band_keys(minima((h.shingles >> np.uint64(32)).astype(np.uint32), h.bounds, s.bands * s.rows, s.seed), s.bands, s.rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(h.ids, s.bands))], ["key", "id"])
+            keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
+            yield packed(keys.ravel().view(np.int64), np.repeat(h.ids, s.bands), parts)
 
 
 def _listed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.RecordBatch]:
@@ -117,25 +122,20 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.RecordBatch]:
     for part, lines in blocks(batches, "line"):
         h = LineHashes([x.decode() for x in lines], s.shingle)
-        mins = minima((h.shingles >> np.uint64(32)).astype(np.uint32), h.bounds, s.bands * s.rows, s.seed)
+        mins = h.minima(s.sketch, s.seed)
         sigs = (mix(mins.astype(np.uint64).ravel()).reshape(mins.shape) >> np.uint64(56)).astype(np.uint8).T
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), binary_rows(sigs)], ["id", "sig"])
+        names = part.schema.get_field_index
+        yield pa.RecordBatch.from_arrays([part.column(names("id")), binary_rows(sigs), part.column(names("line"))], ["id", "sig", "text"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.get_field_index
-        a, b = (batch.column(names(c)).to_numpy() for c in ("a", "b"))
-        keep = np.zeros(len(a), bool)
-        left, right = (batch.column(names(c)).to_pylist() for c in ("line_a", "line_b"))
-        for at in range(0, len(a), 256):
-            span = slice(at, at + 256)
-            x, y = LineHashes(left[span], s.shingle), LineHashes(right[span], s.shingle)
-            for i, ((p, q), (u, v)) in enumerate(zip(pairwise(x.bounds.tolist()), pairwise(y.bounds.tolist()), strict=True)):
-                one, two = np.unique(x.shingles[p:q]), np.unique(y.shingles[u:v])
-                both = len(one) + len(two) - len(np.unique(np.concatenate((one, two))))
-                keep[at + i] = both > 0 and 100 * both >= s.percent * (len(one) + len(two) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+def line_sets(lines: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of all lines in a row, and the bounds of each."""
+    h = LineHashes([x.decode() for x in lines], size)
+    shingles, sets = h.shingles(), []
+    for b, e in pairwise(h.bounds.tolist()):
+        own = np.sort(shingles[b:e])
+        sets.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+    return np.concatenate(sets) if sets else shingles, np.concatenate(([0], np.cumsum([len(x) for x in sets])))
 
 
 def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,26 +144,18 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     listed = shared.write(plain.mapInArrow(lambda it: _listed(it, settings), "doc long, line long, id long"), "listed")
     firsts = shared.write(listed.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")), "firsts")
-    cache: list[DataFrame] = []
-
-    def texts(ids: DataFrame) -> DataFrame:
-        """The contents that any pair may need, once."""
-        if not cache:
-            places = firsts.join(ids, "id", "left_semi").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.line").alias("line"), "id").alias("want"))
-            wanted = places.groupBy("doc").agg(F.collect_list("want").alias("wanted"))
-            rows = plain.join(wanted, plain["doc"].eqNullSafe(wanted["doc"])).select("text", "wanted")
-            cache.append(shared.write(rows.mapInArrow(_picked, "id long, line string").dropDuplicates(["id"]), "texts"))
-        return cache[0]
-
-    def signatures(ids: DataFrame) -> DataFrame:
-        return texts(ids).mapInArrow(lambda it: _signed(it, settings), "id long, sig binary")
-
-    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-        rows = pairs.join(texts(ids).toDF("b", "line_b"), "b").join(texts(ids).toDF("a", "line_a"), "a")
-        return rows.select("a", "b", "line_a", "line_b").mapInArrow(lambda it: _confirm(it, settings), "a long, b long")
-
-    keys = plain.select("text").mapInArrow(lambda it: _keyed(it, settings), "key long, id long")
-    stars, _ = linked_components(keys, signatures, verify, settings.least, shared)
+
+    def describe(ids: DataFrame) -> DataFrame:
+        places = firsts.join(ids, "id", "left_semi").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.line").alias("line"), "id").alias("want"))
+        wanted = places.groupBy("doc").agg(F.collect_list("want").alias("wanted"))
+        rows = plain.join(wanted, plain["doc"].eqNullSafe(wanted["doc"])).select("text", "wanted")
+        picked = rows.mapInArrow(_picked, "id long, line string").dropDuplicates(["id"])
+        return picked.mapInArrow(lambda it: _signed(it, settings), "id long, sig binary, text string")
+
+    how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
+    parts = part_count(docs.sparkSession)
+    keys = plain.select("text").mapInArrow(lambda it: _keyed(it, settings, parts), "part long, data binary")
+    stars = linked_components(keys, describe, how, shared)
     rooted = firsts.join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("root"), "first", "n")
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
     keepers = shared.write(rooted.join(groups, "root").select("id", "keeper"), "keepers")

@@ -17,33 +17,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentide.llm.neighbours import linked_components
+from lumentide.llm.neighbours import BAND_BITS, Similarity, least_equal, linked_components, packed, part_count
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import Words, binary_rows, blocks, inside, list_array, mix, ngram_hashes
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """A link has 100 * |intersection| >= ``percent`` * |union|. 32 bands of 5 miss a pair at 0.8 with a chance of 3 in a million."""
+    """A link has 100 * |intersection| >= ``percent`` * |union|. ``sketch`` minima make the signature, the first of them the bands. 32 bands of 5 miss a pair at 0.8 with a chance of 3 in a million."""
 
     shingle: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
     seed: int = 11
+    sketch: int = 256
 
     @property
     def least(self) -> int:
-        """Equal signature bytes below which a pair is ruled out: six deviations under the mean at the threshold."""
-        n, p = self.bands * self.rows, self.percent / 100
-        return int(n * p - 6 * (n * p * (1 - p)) ** 0.5)
+        return least_equal(self.sketch, self.percent)
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +64,8 @@ def minima(values: np.ndarray, bounds: np.ndarray, count: int, seed: int) -> np.
     """``count`` multiply-add minima of each non-empty set, one row for each hash function. Values: well mixed, 32 or 64 bits."""
     rng = np.random.Generator(np.random.PCG64(seed))
     bits = values.dtype.itemsize * 8 - 1
-    factors = (rng.integers(0, 1 << bits, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(values.dtype)
-    terms = rng.integers(0, 1 << bits, count, dtype=np.uint64).astype(values.dtype)
+    draws = rng.integers(0, 1 << bits, (count, 2), dtype=np.uint64)  # the first functions are the same for any count
+    factors, terms = (draws[:, 0] * np.uint64(2) + np.uint64(1)).astype(values.dtype), draws[:, 1].astype(values.dtype)
     starts = bounds[:-1][np.diff(bounds) > 0]
     out, work = np.empty((count, len(starts)), values.dtype), np.empty_like(values)
     for j in range(count):
@@ -78,14 +76,16 @@ def minima(values: np.ndarray, bounds: np.ndarray, count: int, seed: int) -> np.
 
 
 def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each set (row) and band (column)."""
+    """One 64-bit key for each set (row) and band (column); its low bits are the band."""
+    if bands > 1 << BAND_BITS:
+        raise ValueError(f"at most {1 << BAND_BITS} bands")
     keys = np.empty((mins.shape[1], bands), np.uint64)
     factor = np.uint64(0x9E3779B97F4A7C15)
     for band in range(bands):
         key = np.full(mins.shape[1], ((band + 1) * int(factor)) & ((1 << 64) - 1), np.uint64)
         for row in mins[band * rows : (band + 1) * rows]:
             key = mix(key * factor + row)
-        keys[:, band] = key
+        keys[:, band] = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) + np.uint64(band)
     return keys
 
 
@@ -95,37 +95,22 @@ def _signed(batches: Iterator[pa.RecordBatch], settings: NearDup) -> Iterator[pa
         sizes = np.diff(bounds)
         full = sizes > 0
         digests = np.zeros((2, len(texts)), np.uint64)
-        keys, sigs = np.zeros((0, settings.bands), np.uint64), np.zeros((len(texts), settings.bands * settings.rows), np.uint8)
+        keys, sigs = np.zeros((0, settings.bands), np.uint64), np.zeros((len(texts), settings.sketch), np.uint8)
         if full.any():
             starts = bounds[:-1][full]
             digests[0, full] = np.add.reduceat(values, starts)
             digests[1, full] = np.add.reduceat(mix(values), starts)
-            mins = minima(values, bounds, settings.bands * settings.rows, settings.seed)
+            mins = minima(values, bounds, settings.sketch, settings.seed)
             keys = band_keys(mins, settings.bands, settings.rows)
             sigs[full] = (mix(mins.ravel()).reshape(mins.shape) >> np.uint64(56)).astype(np.uint8).T
         lists = list_array(keys.ravel().view(np.int64), full * settings.bands, pa.int64())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists, binary_rows(sigs)], ["id", "n", "d1", "d2", "keys", "sig"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], settings: NearDup) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text_a, text_b) whose full sets are similar enough."""
-    last, last_set = None, None
+def _packed_keys(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = batch.schema.get_field_index
-        a, b = (batch.column(names(c)).to_numpy() for c in ("a", "b"))
-        left, right = (batch.column(names(c)).cast(pa.large_binary()).to_pylist() for c in ("text_a", "text_b"))
-        keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), 64):
-            span = range(at, min(at + 64, len(a)))
-            values, bounds = shingle_sets([right[i] for i in span], settings.shingle)
-            for i, (x, y) in zip(span, pairwise(bounds.tolist()), strict=True):
-                if last is None or a[i] != last:
-                    last, last_set = a[i], shingle_sets([left[i]], settings.shingle)[0]
-                own = values[x:y]
-                place = np.minimum(np.searchsorted(last_set, own), len(last_set) - 1)
-                both = int((last_set[place] == own).sum()) if len(last_set) else 0
-                keep[i] = both > 0 and 100 * both >= settings.percent * (len(own) + len(last_set) - both)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+        lists = batch.column(1)
+        yield packed(lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()), parts)
 
 
 def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,17 +123,15 @@ def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str
     members = shared.write(signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "members")
     own = signed.join(members.where("n > 0 AND id = first").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     own = shared.write(own.select("id", "keys", "sig"), "classes")
-    keys = own.select(F.explode("keys").alias("key"), "id")
-    cache: list[DataFrame] = []
+    parts = part_count(docs.sparkSession)
+    keys = own.select("id", "keys").mapInArrow(lambda it: _packed_keys(it, parts), "part long, data binary")
+    sigs = own.select("id", "sig")
 
-    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-        if not cache:  # the texts that any pair may need, once
-            cache.append(shared.write(plain.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts"))
-        texts = cache[0]
-        rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        return rows.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, settings), "a long, b long")
+    def describe(ids: DataFrame) -> DataFrame:
+        return sigs.join(ids, "id").join(plain, "id").dropDuplicates(["id"])
 
-    stars, _ = linked_components(keys, lambda ids: own.select("id", "sig").join(ids, "id", "left_semi"), verify, settings.least, shared)
+    how = Similarity(lambda texts: shingle_sets(texts, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
+    stars = linked_components(keys, describe, how, shared)
     named = members.join(stars.toDF("first", "component"), "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 

@@ -1,21 +1,24 @@
 """From band keys to verified components, without pairs of whole buckets.
 
-1. Rows (key, id) meet by key. Every member of a bucket is paired with its first member,
-   the pivot: as many pairs as rows. A stream over sorted rows does it, whatever the
-   bucket's size.
+1. Pairs (key, id) meet by key, packed by the block, as rows would cost more than they
+   hold. Every member of a bucket is paired with its first member, the pivot: as many
+   pairs as rows.
 2. These pairs are verified, and the links' components found.
-3. Buckets whose members still lie in several components are gone through again: every
-   pair of different components in a bucket is compared by signature, in blocks of
-   ``BLOCK`` members dealt to tasks of their own, and what may be similar is verified.
-
-So each pair of a bucket has been verified, ruled out by its signature, or joined
-already: no link is lost for the shortcut, and near copies in thousands cost as many
-pairs as there are copies.
+3. Buckets whose members still lie in several components are gone through again, in
+   blocks of ``BLOCK`` members dealt to tasks of their own. Pairs of different components
+   are compared by signature, in the first band that they share, and the likeliest first
+   confirmed on full sets; what a confirmed link joins needs no further pair. Only links
+   leave a task.
+
+So each pair of a bucket has been confirmed or refuted on full sets, ruled out by its
+signature, or joined already: no link is lost for the shortcut, and near copies in
+thousands cost as many rows as there are copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,119 +28,204 @@ from pyspark.sql import functions as F
 from lumentide.llm.components import components
 from lumentide.llm.shared import Shared, partitions
 
-BLOCK = 4096
+BLOCK = 512
+#: a key's low bits are its band
+BAND_BITS = 5
 #: bytes compared at once
-_AT_ONCE = 1 << 24
+_AT_ONCE = 1 << 22
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """How items are compared. ``sets``: from texts, their sorted distinct 64-bit shingles in a row and bounds; ``bands`` and ``rows``: how the first signature bytes make bands; ``least``: equal signature bytes below which a pair can't be a link."""
+
+    sets: Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
+    percent: int
+    bands: int
+    rows: int
+    least: int
+
+    def linked(self, one: np.ndarray, two: np.ndarray) -> bool:
+        if not len(one) or not len(two):
+            return False
+        if len(one) > len(two):
+            one, two = two, one
+        if 100 * len(one) < self.percent * len(two):
+            return False
+        both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+        return 100 * both >= self.percent * (len(one) + len(two) - both)
+
+
+def packed(keys: np.ndarray, ids: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, data): the (key, id) pairs of a block dealt to ``parts`` by key, packed as all keys, then all ids."""
+    part = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+    part, keys, ids = part[order], keys[order], ids[order]
+    heads = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+    spans = list(zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)) if len(part) else []
+    return pa.RecordBatch.from_arrays([pa.array([int(part[b]) for b, _ in spans], pa.int64()), pa.array([keys[b:e].tobytes() + ids[b:e].tobytes() for b, e in spans], pa.binary())], ["part", "data"])
+
+
+def part_count(spark) -> int:
+    """Parts are a quarter of a shuffle partition, so that one is small to sort."""
+    return 4 * partitions(spark)
 
 
 def buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, pivot, rank) of all rows of keys that two rows or more have. ``keys``: key, id; both long, no pair twice."""
-    dealt = keys.repartition(partitions(keys.sparkSession), "key").sortWithinPartitions("key", "id")
+    """(key, id, pivot, rank) of all rows of keys that two ids or more have. ``keys``: part, data as of ``packed``, a pair's key deciding its part."""
+    dealt = keys.repartition(partitions(keys.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(_bucket_rows, "key long, id long, pivot long, rank long")
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = pivot = None  # of the last bucket so far
-    size, alone = 0, None  # its rows; its only row, not yet given out
+    current, held = None, []
     for batch in batches:
-        if not len(batch):
-            continue
-        k, i = (batch.column(c).to_numpy() for c in (0, 1))
-        if alone is not None:
-            k, i = np.append(alone[0], k), np.append(alone[1], i)
-            size, alone = 0, None
-        heads = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
-        counts = np.diff(np.append(heads, len(k)))
-        pivots, offsets = i[heads].copy(), np.zeros(len(heads), np.int64)
-        if size and k[0] == key:
-            pivots[0], offsets[0] = pivot, size
-        totals = counts + offsets
-        ranks = np.arange(len(k)) - np.repeat(heads - offsets, counts)
-        row_pivots, give = np.repeat(pivots, counts), np.repeat(totals > 1, counts)
-        key, pivot, size = k[-1], pivots[-1], int(totals[-1])
-        if size == 1:
-            alone = (k[-1:], i[-1:])
-        if give.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (k, i, row_pivots, ranks)], ["key", "id", "pivot", "rank"])
-
-
-def _cross_pairs(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different groups with ``least`` equal signature bytes; if there are two blocks, pairs of both."""
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != current and held:
+                yield from _part_buckets(held)
+                held = []
+            current = part
+            held.append(data)
+    if held:
+        yield from _part_buckets(held)
+
+
+def _part_buckets(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+    pairs = [np.frombuffer(d, np.int64).reshape(2, -1) for d in held]
+    k, i = (np.concatenate([p[n] for p in pairs]) for n in (0, 1))
+    order = np.argsort(k)
+    k, i = k[order], i[order]
+    heads = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+    counts = np.diff(np.append(heads, len(k)))
+    many = np.repeat(counts > 1, counts)
+    k, i = k[many], i[many]  # mostly few rows from here on
+    order = np.lexsort((i, k))
+    k, i = k[order], i[order]
+    fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))[: len(k)]
+    k, i = k[fresh], i[fresh]  # one id from several blocks is one row
+    heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
+    counts = np.diff(np.append(heads, len(k)))
+    pivots, ranks = np.repeat(i[heads], counts), np.arange(len(k)) - np.repeat(heads, counts)
+    give = np.repeat(counts > 1, counts)
+    if give.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (k, i, pivots, ranks)], ["key", "id", "pivot", "rank"])
+
+
+def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, texts: list[bytes | None], how: Similarity) -> list[tuple[int, int]]:
+    """Confirmed links that join different groups; if there are two blocks, of pairs of both."""
     values, inverse, counts = np.unique(groups, return_inverse=True, return_counts=True)
     if len(values) < 2:
-        return ids[:0], ids[:0]
+        return []
     two, largest = blocks.min() != blocks.max(), inverse == np.argmax(counts)
-    order = np.argsort(largest, kind="stable")  # the largest group is last, and is no query
-    ids, groups, blocks, sigs = ids[order], groups[order], blocks[order], sigs[order]
-    queries, a, b = int((~largest).sum()), [], []
+    order = np.argsort(largest, kind="stable")  # the largest group is last, and asks nothing
+    ids, inverse, blocks, sigs, texts = ids[order], inverse[order], blocks[order], sigs[order], [texts[i] for i in order.tolist()]
+    band, asking, found = key & ((1 << BAND_BITS) - 1), int((~largest).sum()), []
     step = max(1, _AT_ONCE // max(1, sigs.size))
-    for at in range(0, queries, step):
-        own = slice(at, min(at + step, queries))
-        rest = slice(at + 1, len(ids))
-        alike = (sigs[own, None, :] == sigs[None, rest, :]).sum(-1, dtype=np.int32) >= least
-        alike &= groups[own, None] != groups[None, rest]
+    for at in range(0, asking, step):
+        own, rest = slice(at, min(at + step, asking)), slice(at + 1, len(ids))
+        same = sigs[own, None, :] == sigs[None, rest, :]
+        score = same.sum(-1, dtype=np.int32)
+        alike = (score >= how.least) & (inverse[own, None] != inverse[None, rest])
         alike &= np.arange(own.start, own.stop)[:, None] < np.arange(rest.start, rest.stop)[None, :]
         if two:
             alike &= blocks[own, None] != blocks[None, rest]
         x, y = np.nonzero(alike)
-        a.append(ids[own][x])
-        b.append(ids[rest][y])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by (key, one, other); a group has at most two blocks."""
-    held: list[pa.Table] = []
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        k, one, other = (table.column(c).to_numpy() for c in ("key", "one", "other"))
-        heads = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (one[1:] != one[:-1]) | (other[1:] != other[:-1])) + 1, [len(k)]))
-        width = len(table.column("sig")[0].as_py())
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, width)
-        ids, groups, blocks = (table.column(c).to_numpy() for c in ("id", "component", "block"))
-        found = [_cross_pairs(ids[b:e], groups[b:e], blocks[b:e], sigs[b:e], least) for b, e in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)]
-        a, b = (np.concatenate([f[n] for f in found]) for n in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
+        if len(x):
+            shared = same[x, y, : how.bands * how.rows].reshape(len(x), how.bands, how.rows).all(-1)
+            now = ~shared[:, :band].any(1)  # else an earlier band's bucket has the pair
+            found.append(np.stack([score[x, y], x + at, y + at + 1], 1)[now])
+    if not found:
+        return []
+    pairs = np.concatenate(found)
+    pairs = pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:]
+    used = np.unique(pairs)
+    shingles, bounds = how.sets([texts[i] for i in used.tolist()])
+    sets = {i: shingles[b:e] for i, b, e in zip(used.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
+    parent, links = list(range(len(values))), []
+
+    def root(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    for x, y in pairs.tolist():
+        g, h = root(int(inverse[x])), root(int(inverse[y]))
+        if g != h and how.linked(sets[x], sets[y]):
+            parent[g] = h
+            links.append((int(ids[x]), int(ids[y])))
+    return links
+
+
+def _across(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    """Streams rows sorted by (key, one, other); a group has at most two blocks, and only one is held."""
+    current, rows = None, []
+    for group, row in _rows_of(batches):
+        if group != current and rows:
+            yield from _linked(current[0], rows, how)
+            rows = []
+        current = group
+        rows.append(row)
+    if rows:
+        yield from _linked(current[0], rows, how)
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
     for batch in batches:
-        if not len(batch):
-            continue
-        last = [batch.column(batch.schema.get_field_index(c))[len(batch) - 1].as_py() for c in ("key", "one", "other")]
-        whole = np.ones(len(batch), bool)
-        for c, v in zip(("key", "one", "other"), last, strict=True):
-            whole &= batch.column(batch.schema.get_field_index(c)).to_numpy() == v
-        cut = int(np.argmax(whole))
-        if cut or (held and any(held[-1].column(c)[0].as_py() != v for c, v in zip(("key", "one", "other"), last, strict=True))):
-            done = [*held, pa.Table.from_batches([batch.slice(0, cut)])] if cut else held
-            yield from pairs(pa.concat_tables(done))
-            held = []
-        held.append(pa.Table.from_batches([batch.slice(cut)]))
-    if held:
-        yield from pairs(pa.concat_tables(held))
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "one", "other", "id", "component", "block", "sig", "text")]
+        columns[-1] = columns[-1].cast(pa.large_binary())
+        for key, one, other, *row in zip(*(c.to_pylist() for c in columns), strict=True):
+            yield (key, one, other), row
 
 
-def linked_components(keys: DataFrame, signatures: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], least: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of all ids that are linked with another, but the components' smallest; and the links found.
+def _linked(key: int, rows: list, how: Similarity) -> Iterator[pa.RecordBatch]:
+    ids, groups, blocks = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    if links := _cross_links(key, ids, groups, blocks, sigs, [r[4] for r in rows], how):
+        a, b = zip(*(sorted(x) for x in links), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    ``keys``: key, id. ``signatures``: takes the ids (id) that matter and gives id, sig
-    (binary of one width). ``verify``: takes pairs (a, b), a < b, and those ids, and gives
-    the pairs that are links.
-    ``least``: equal signature bytes below which a pair can't be a link.
+
+def _confirm(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, sig_a, sig_b, text_a, text_b) the links."""
+    last, last_set = None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+        x, y = (np.frombuffer(b"".join(column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+        like = np.flatnonzero((x == y).sum(1) >= how.least)
+        a, b = column("a").to_numpy()[like], column("b").to_numpy()[like]
+        left, right = (column(c).cast(pa.large_binary()).take(pa.array(like)).to_pylist() for c in ("text_a", "text_b"))
+        keep = np.zeros(len(a), bool)
+        for at in range(0, len(a), 64):
+            shingles, bounds = how.sets(right[at : at + 64])
+            for i, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), at):
+                if last is None or a[i] != last:
+                    last, last_set = a[i], how.sets([left[i]])[0]
+                keep[i] = how.linked(shingles[begin:end], last_set)
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+
+def least_equal(hashes: int, percent: int) -> int:
+    """Equal signature bytes that a pair at the threshold has fewer of with a chance under 1 in 100,000."""
+    p = percent / 100
+    return int(hashes * p - 4.3 * (hashes * p * (1 - p)) ** 0.5)
+
+
+def linked_components(keys: DataFrame, describe: Callable[[DataFrame], DataFrame], how: Similarity, shared: Shared) -> DataFrame:
+    """(id, component) of all ids that are linked with another, but the components' smallest.
+
+    ``keys``: part, data, as of ``packed``. ``describe``: takes the ids (id) that matter, and gives id, sig
+    (binary of one width) and text of each.
     """
+    count = partitions(keys.sparkSession)
     multi = shared.write(buckets(keys), "buckets")
-    known = shared.write(multi.select("id").distinct(), "known")
-    sigs = shared.write(signatures(known), "sigs")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        left, right = sigs.toDF("a", "sig_a"), sigs.toDF("b", "sig_b")
-        return pairs.join(right, "b").join(left, "a").mapInArrow(lambda it: _alike(it, least), "a long, b long")
-
-    first = multi.where("rank > 0").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    first = shared.write(alike(first), "first-pairs")
-    links = shared.write(verify(first, known), "first-links")
-    stars = components(links, shared, "first-stars")
+    items = shared.write(describe(multi.select("id").distinct()), "items")
+    pairs = multi.where("rank > 0").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    pairs = pairs.join(items.toDF("b", "sig_b", "text_b"), "b").join(items.toDF("a", "sig_a", "text_a"), "a")
+    links = shared.write(pairs.mapInArrow(lambda it: _confirm(it, how), "a long, b long"), "links")
+    stars = components(links, shared, "stars")
 
     wide = multi.join(multi.groupBy("key").agg(F.max("rank").alias("top")).where("top > 1"), "key")
     wide = wide.join(stars, "id", "left").select("key", "id", "rank", "top", F.coalesce("component", "id").alias("component"))
@@ -145,20 +233,7 @@ def linked_components(keys: DataFrame, signatures: Callable[[DataFrame], DataFra
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rows = wide.join(mixed, "key").withColumn("block", F.expr(f"rank div {BLOCK}"))
     rows = rows.withColumn("with", F.explode(F.expr(f"sequence(0L, top div {BLOCK})")))
-    rows = rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "id", "component", "block").join(sigs, "id")
-    dealt = rows.repartition(partitions(keys.sparkSession), "key", "one", "other").sortWithinPartitions("key", "one", "other")
-    second = dealt.select("key", "one", "other", "id", "component", "block", "sig").mapInArrow(lambda it: _across(it, least), "a long, b long").distinct()
-    second = shared.write(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if not second.isEmpty():
-        links = shared.write(verify(second, known).unionByName(links), "links")
-        stars = components(links, shared, "stars")
-    return stars, links
-
-
-def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-        keep = pa.array((x == y).sum(1) >= least)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(keep) for c in ("a", "b")], ["a", "b"])
+    rows = rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "id", "component", "block").join(items, "id")
+    dealt = rows.repartition(count, "key", "one", "other").sortWithinPartitions("key", "one", "other")
+    more = shared.write(dealt.mapInArrow(lambda it: _across(it, how), "a long, b long"), "more-links")
+    return stars if more.isEmpty() else components(stars.toDF("a", "b").unionByName(more), shared, "all-stars")

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from lumentide.llm.components import components
-from lumentide.llm.neardup import NearDup, drop_near_duplicates, near_duplicates
-from lumentide.llm.neighbours import BLOCK, _cross_pairs, linked_components
+from lumentide.llm.neardup import NearDup, drop_near_duplicates, near_duplicates, shingle_sets
+from lumentide.llm.neighbours import Similarity, _cross_links, linked_components, packed
 from lumentide.llm.shared import Shared
 
 SCHEMA = "doc_id long, text string, key string, component long"
@@ -83,20 +83,43 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}}
 
 
+HOW = Similarity(lambda texts: shingle_sets(texts, 1), 60, 4, 1, 2)
+
+
 def test_link_that_no_pivot_has_is_found(spark):
     """In one bucket of three, the first member is linked with neither of the two that are linked."""
-    keys = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "key long, id long")
-    sigs = spark.createDataFrame([(i, bytearray(8)) for i in (1, 2, 3)], "id long, sig binary")
-    stars, _ = linked_components(keys, lambda ids: sigs.join(ids, "id"), lambda pairs, ids: pairs.where("a = 2 AND b = 3"), 8, Shared(spark, "t"))
+    rows = packed(np.zeros(4, np.int64), np.array([1, 3, 2, 2]), 8).to_pylist()
+    keys = spark.createDataFrame([(r["part"], bytearray(r["data"])) for r in rows], "part long, data binary")
+    items = spark.createDataFrame([(1, bytearray(b"axyz"), "p q r"), (2, bytearray(b"abyz"), "k l m"), (3, bytearray(b"abcd"), "k l m n")], "id long, sig binary, text string")
+    stars = linked_components(keys, lambda ids: items.join(ids, "id"), HOW, Shared(spark, "t"))
     assert [tuple(r) for r in stars.collect()] == [(3, 2)]
 
 
-def test_cross_pairs_in_blocks():
-    rng = np.random.default_rng(0)
-    n = 300
-    ids, groups, blocks = np.arange(n), rng.integers(0, 5, n), rng.integers(0, 2, n)
-    sigs = rng.integers(0, 3, (n, 20), dtype=np.uint8)
-    want = {(i, j) for i in range(n) for j in range(i) if groups[i] != groups[j] and blocks[i] != blocks[j] and (sigs[i] == sigs[j]).sum() >= 9}
-    a, b = _cross_pairs(ids, groups, blocks, sigs, 9)
-    assert {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)} == want
-    assert len(a) == len(want) and BLOCK > 1
+@pytest.mark.parametrize("two", [False, True])
+def test_cross_links_join_what_all_pairs_join(two):
+    rng = np.random.default_rng(int(two))
+    n = 120
+    ids, groups = np.arange(n), rng.integers(0, 60, n)
+    blocks = rng.integers(0, 2, n) if two else np.zeros(n, np.int64)
+    base = [rng.integers(0, 99, 8) for _ in range(6)]
+    sets = [sorted({int(v) if rng.random() < 0.9 else int(rng.integers(100, 999)) for v in base[i % 6]}) for i in range(n)]
+    texts = [" ".join(map(str, s)).encode() for s in sets]
+    sigs = np.zeros((n, 4), np.uint8)
+
+    def joined(pairs):
+        parent = {int(g): int(g) for g in groups}
+
+        def root(g):
+            while parent[g] != g:
+                g = parent[g]
+            return g
+
+        for x, y in pairs:
+            parent[root(int(groups[x]))] = root(int(groups[y]))
+        return {frozenset(g for g in parent if root(g) == root(h)) for h in parent}
+
+    every = [(x, y) for x in range(n) for y in range(x) if (not two or blocks[x] != blocks[y]) and 100 * len(set(sets[x]) & set(sets[y])) >= 60 * len(set(sets[x]) | set(sets[y]))]
+    got = _cross_links(0, ids, groups, blocks, sigs, texts, HOW)
+    assert joined(got) == joined(every)
+    assert len(got) < len(set(groups.tolist()))
+    assert _cross_links(1, ids, groups, blocks, sigs, texts, HOW) == []  # all pairs share band 0 already
