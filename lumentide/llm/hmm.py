@@ -42,7 +42,7 @@ class Settings:
     states: int = 8
     symbols: int = 60_000
     classes: int = 2048
-    known_words: int = 1_000_000
+    known_words: int = 250_000
     start_docs: int = 2000
     start_rounds: int = 12
     rounds: int = 2
@@ -250,16 +250,16 @@ def _expected_rows(batches: Iterator[pa.RecordBatch], model: Model, s: Settings)
         yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(table[:, z]) for z in range(s.states))], ["kind", *(f"z{z}" for z in range(s.states))])
 
 
-def _started(rows: list, unigram: np.ndarray, s: Settings) -> Model:
+def _started(rows: pa.Table, unigram: np.ndarray, s: Settings) -> Model:
     """A model from a bounded sample, by Baum-Welch from sticky random states."""
     rng = np.random.default_rng(s.seed)
     noise = rng.gamma(0.7, size=(len(unigram), s.states)) + 0.05
     emit = unigram[:, None] * noise
     move = np.full((s.states, s.states), 0.1 / s.states) + 0.9 * np.eye(s.states)
     model = Model(np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    if not rows:
+    if not len(rows):
         return model
-    flat, bounds = _flat(pa.array([bytes(r[0]) for r in rows], pa.binary()))
+    flat, bounds = _flat(rows.column(0))
     starts, sizes = stretches(bounds, s.stretch)
     for _ in range(s.start_rounds):
         counts = zero_counts(s.states, len(unigram))
@@ -272,15 +272,15 @@ def _started(rows: list, unigram: np.ndarray, s: Settings) -> Model:
 def train(encoded: DataFrame, unigram: np.ndarray, s: Settings) -> Model:
     """``encoded``: id, held_out, symbols. Rounds over all rows that aren't held out."""
     data = encoded.where("NOT held_out")
-    sample = data.where(F.length("symbols") <= 2 * 4096).orderBy(F.xxhash64("id"), "id").select("symbols").limit(s.start_docs).collect()
+    sample = data.where(F.length("symbols") <= 2 * 4096).orderBy(F.xxhash64("id"), "id").select("symbols").limit(s.start_docs).toArrow()
     model = _started(sample, unigram, s)
     schema = "kind long, " + ", ".join(f"z{z} double" for z in range(s.states))
     for _ in range(s.rounds):
         sent = encoded.sparkSession.sparkContext.broadcast(model)
         rows = data.select("symbols").mapInArrow(lambda it, sent=sent: _expected_rows(it, sent.value, s), schema)
-        sums = rows.groupBy("kind").agg(*[F.sum(f"z{z}").alias(f"z{z}") for z in range(s.states)]).toPandas()  # as large as the model
+        sums = rows.groupBy("kind").agg(*[F.sum(f"z{z}").alias(f"z{z}") for z in range(s.states)]).toArrow()  # as large as the model
         counts = zero_counts(s.states, len(unigram))
-        table, kinds = sums.iloc[:, 1:].to_numpy(float), sums["kind"].to_numpy()
+        table, kinds = np.stack([sums[f"z{z}"].to_numpy() for z in range(s.states)], 1), sums["kind"].to_numpy()
         counts[2][kinds[kinds >= 0]] = table[kinds >= 0]
         counts[0][...] = table[kinds == -1].sum(0)
         counts[1][(-2 - kinds[kinds < -1]).astype(int)] = table[kinds < -1]
@@ -320,10 +320,10 @@ def score_documents(docs: DataFrame, held_out: Column, s: Settings = Settings(),
     log_total = float(np.log10(total + s.smoothing * (types + 1)))
 
     often, known = _threshold(counts, s.symbols), _threshold(counts, s.known_words)
-    top = counts.where(F.col("c") >= known).select("h", "c").toPandas().sort_values("h")  # at most known_words rows
-    hashes = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = counts.where(F.col("c") >= known).select("h", "c").toArrow()  # at most known_words rows
+    hashes = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    hashes, c = hashes[order], top["c"].to_numpy(np.int64)[order]
+    hashes, c = hashes[order], top["c"].to_numpy()[order]
     symbol = np.full(len(c), -1, np.int64)
     symbol[c >= often] = np.arange(int((c >= often).sum()))
     frequent = int((c >= often).sum())
