@@ -48,7 +48,7 @@ class Substrings:
     longest: int = 512
     hot_share: float = 1 / 20_000
     hot_least: int = 256
-    shard_segments: int = 4096
+    shard_segments: int = 2048
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, s: Substrings, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -96,10 +96,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Substrings) -> Iterator[p
 
 def _segment_texts(batches: Iterator[pa.RecordBatch], s: Substrings) -> Iterator[pa.RecordBatch]:
     """Input: doc, text, wanted (array of start, n, shard, seg, anchor). The words of each wanted segment, parted by spaces."""
-    for batch in batches:
-        docs, texts, wanted = (batch.column(c) for c in range(3))
+    for part, texts in blocks(batches):
         out: list[list] = [[] for _ in range(5)]
-        for doc, text, own in zip(docs.to_pylist(), texts.cast(pa.large_binary()).to_pylist(), wanted.to_pylist(), strict=True):
+        wanted = part.column(part.schema.get_field_index("wanted"))
+        for doc, text, own in zip(part.column(0).to_pylist(), texts, wanted.to_pylist(), strict=True):
             words = text.split()
             for x in own:
                 for column, v in zip(out, (x["shard"], x["seg"], x["anchor"], doc, b" ".join(words[x["start"] : x["start"] + x["n"] + s.window - 1])), strict=True):
@@ -172,8 +172,8 @@ def repeated_windows(docs: DataFrame, s: Substrings = Substrings(), id_col: str
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Input: id, text, runs. Rows: id, words, removed, spans kept (start, count)."""
-    for batch in batches:
-        texts, runs = batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()
+    for part, texts in blocks(batches):
+        runs = part.column(part.schema.get_field_index("runs")).to_pylist()
         counts, removed, kept = [], [], []
         for text, own in zip(texts, runs, strict=True):
             words = (text or b"").split()
@@ -188,7 +188,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             else:
                 removed.append(0)
             kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
 
 def dedup_substrings(docs: DataFrame, s: Substrings = Substrings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
