@@ -272,7 +272,9 @@ def _started(rows: pa.Table, unigram: np.ndarray, s: Settings) -> Model:
 def train(encoded: DataFrame, unigram: np.ndarray, s: Settings) -> Model:
     """``encoded``: id, held_out, symbols. Rounds over all rows that aren't held out."""
     data = encoded.where("NOT held_out")
-    sample = data.where(F.length("symbols") <= 2 * 4096).orderBy(F.xxhash64("id"), "id").select("symbols").limit(s.start_docs).toArrow()
+    short = data.where(F.length("symbols") <= 2 * 4096).withColumn("order", F.xxhash64("id"))
+    last = short.select("order").orderBy("order").limit(s.start_docs).agg(F.max("order")).first()[0]  # so that only chosen rows carry their symbols
+    sample = short.where(F.col("order") <= F.lit(last)).select("symbols").limit(2 * s.start_docs).toArrow()
     model = _started(sample, unigram, s)
     schema = "kind long, " + ", ".join(f"z{z} double" for z in range(s.states))
     for _ in range(s.rounds):

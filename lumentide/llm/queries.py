@@ -86,11 +86,11 @@ WITH raw AS (
   FROM parts JOIN labels ON page_id = doc_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS prior FROM domains GROUP BY suffix
-), s0 AS (SELECT *, (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM suffixes) AS m FROM suffixes
+), s0 AS (SELECT *, (SELECT 1 / least(0.2, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM suffixes) AS m FROM suffixes
 ), d0 AS (SELECT d.*, (s0.k + s0.m * s0.prior) / (s0.n + s0.m) AS prior FROM domains d JOIN s0 USING (suffix)
-), d1 AS (SELECT *, (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM d0) AS m FROM d0
+), d1 AS (SELECT *, (SELECT 1 / least(0.2, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM d0) AS m FROM d0
 ), h0 AS (SELECT h.*, (d1.k + d1.m * d1.prior) / (d1.n + d1.m) AS prior FROM hosts h JOIN d1 USING (domain)
-), h1 AS (SELECT *, (SELECT 1 / least(0.5, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM h0) AS m FROM h0
+), h1 AS (SELECT *, (SELECT 1 / least(0.2, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM h0) AS m FROM h0
 ), h2 AS (SELECT host, k + m * prior AS a, n - k + m * (1 - prior) AS b FROM h1
 ), ruled AS (
   SELECT page_id, host, path,

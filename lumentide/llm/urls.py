@@ -30,7 +30,7 @@ class Reputation:
     z: float = 1.645
     limit: float = 0.5
     least_rho: float = 0.001
-    most_rho: float = 0.5
+    most_rho: float = 0.2
 
 
 def host_of(url: Column) -> Column:
