@@ -48,3 +48,22 @@ def nearest_frames(ticks: DataFrame, frames: DataFrame, tolerance_us: int) -> Da
     diff = F.col("pts") - F.col("ref")
     action = F.when(diff.isNull(), "kBufferingNoFrame").when(diff < -tolerance_us, "kLate").otherwise("kDeliver")
     return matched.select("stream", "ref", "pts", diff.alias("diff_us"), action.alias("action"))
+
+
+def callback_copy(first: Column, asked: Column, total: Column) -> Column:
+    """(copied, silent, complete) of a device callback that asks for samples from ``first`` on."""
+    copied = F.greatest(F.lit(0), F.least(asked, total - first))
+    return F.struct(copied.alias("copied"), (asked - copied).alias("silent"), (first + copied >= total).alias("complete"))
+
+
+def audio_blocks(clips: DataFrame, size: int) -> DataFrame:
+    """(clip, block, start, length): an encoder's blocks of a clip of ``length`` samples, the last one short; start is its pts."""
+    count = F.expr(f"(length + {size - 1}) div {size}")
+    blocks = clips.where("length > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    start = F.col("block") * size
+    return blocks.select("clip", "block", start.alias("start"), F.least(F.lit(size).cast("long"), F.col("length") - start).alias("length"))
+
+
+def writer_valid(numerator: Column, denominator: Column, video_bits: Column, audio_bits: Column, rate: Column, path: Column) -> Column:
+    """Whether a writer can be set up so."""
+    return (numerator > 0) & (denominator > 0) & (video_bits > 0) & (audio_bits > 0) & (rate > 0) & (F.coalesce(path, F.lit("")) != "")

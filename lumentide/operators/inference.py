@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumentide.operators.raster import sharpness
+
 FACE, MEL, PREDICTION, SIDE = 6 * 96 * 96, 80 * 16, 3 * 96 * 96, 96
 RETRYABLE = ("kExtractFailed", "kOutputEmpty")
 RESULT = "status string, pred array<float>, attempts int, recovered boolean, first_failure string, model_generation long"
@@ -156,6 +158,39 @@ def batch_status(total: Column, success: Column) -> Column:
     return F.when(total == 0, "kEmptyBatchInput").when(success == total, "kOk").when(success == 0, "kAllFailed").otherwise("kPartialFailure")
 
 
+def convert_one(pred, least_sharpness: float | None = None) -> tuple:
+    """(status, BGR levels, corrected, sharpness, passed) of a prediction; low sharpness is told, and never fails."""
+    if least_sharpness is not None and not (np.isfinite(least_sharpness) and least_sharpness >= 0):
+        return "kInvalidSharpnessThreshold", None, None, None, None
+    if pred is None or len(pred) == 0:
+        return "kEmptyPrediction", None, None, None, None
+    if len(pred) != PREDICTION:
+        return "kInvalidPredictionShape", None, None, None, None
+    planes = np.asarray(pred, np.float64).reshape(3, SIDE, SIDE)
+    if not np.isfinite(planes).all():
+        return "kNonFinitePrediction", None, None, None, None
+    if planes.min() < -1e-6 or planes.max() > 1 + 1e-6:
+        return "kRangeViolation", None, None, None, None
+    bounded = np.clip(planes, 0, 1)
+    image = np.floor(bounded * 255 + 0.5).astype(np.uint8).transpose(1, 2, 0)
+    score = sharpness(image)
+    return "kOk", image.tobytes(), int((bounded != planes).sum()), score, least_sharpness is None or score >= least_sharpness
+
+
+def convert(results: DataFrame, least_sharpness: float | None = None) -> DataFrame:
+    """Results of ``infer`` with ``pred`` turned into an image and its measures; a row that failed before keeps its status."""
+    rest = [c for c in results.columns if c not in ("pred", "status")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [convert_one(p, least_sharpness) if s == "kOk" else (s, None, None, None, None) for s, p in zip(frame["status"], frame["pred"], strict=True)]
+            out = pd.DataFrame(rows, columns=["status", "image", "corrected", "sharpness", "sharp"]).astype({"corrected": "Int32"})
+            yield pd.concat([frame[rest].reset_index(drop=True), out], axis=1)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in results.schema if f.name in rest)
+    return results.mapInPandas(run, f"{kept}, status string, image binary, corrected int, sharpness double, sharp boolean")
+
+
 def content_key(values: Column) -> Column:
     """A key under which equal inputs can be inferred once."""
     return F.sha2(F.to_json(values), 256)

@@ -99,6 +99,28 @@ def infer_stand_in(spark, sf_dir):
     return out.select("vec_id", "status", "attempts", "recovered", "model_generation", F.round(F.aggregate(F.coalesce("pred", F.array().cast("array<float>")), F.lit(0.0), lambda s, v: s + v), 3).alias("total"))
 
 
+@query()
+def convert_predictions(spark, sf_dir):
+    """Predictions good and bad through the post-processing: levels, corrections and sharpness."""
+    vec = table(spark, sf_dir, "embeddings").where("vec_id < 40")
+    pred = F.flatten(F.array_repeat(F.transform("embedding", lambda v: F.when(F.col("vec_id") % 10 == 3, v * 9).otherwise(F.abs(v))), 432))
+    rows = vec.select("vec_id", F.when(F.col("vec_id") % 10 == 6, "kRetryExhausted").otherwise("kOk").alias("status"), F.when(F.col("vec_id") % 10 == 7, F.slice(pred, 1, 5)).otherwise(pred).alias("pred"))
+    out = inference.convert(rows, 10.0)
+    return out.select("vec_id", "status", "corrected", F.round("sharpness", 3).alias("sharpness"), "sharp", F.length("image").alias("bytes"))
+
+
+@query()
+def face_detection(spark, sf_dir):
+    """Images of one bright box each through detection, landmarks and their guards."""
+    from lumentide.operators.faces import BrightBox, detect_faces
+
+    side = 160
+    vec = table(spark, sf_dir, "embeddings").where("vec_id < 24")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.when((k % side >= 20) & (k % side < 20 + F.col("vec_id") * 6) & (k / side >= 30) & (k / side < 120), "FF").otherwise("10"))
+    images = vec.select(F.concat(F.lit("v"), F.col("vec_id")).alias("path"), F.when(F.col("vec_id") % 8 == 5, "kDecodeFailed").otherwise("kOk").alias("status"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(cells, "")).alias("data"))
+    return detect_faces(images, BrightBox()).select("image", "face", "status", "x", "y", "w", "h", F.size("points").alias("points"), F.round("score", 3).alias("score"))
+
+
 @query()
 def lip_sync_frames(spark, sf_dir):
     """A whole job for each clip: samples, emphasis, frames, spectra, mel, chunks on the video's ticks."""

@@ -191,6 +191,12 @@ def mel_symmetric(spark, sf_dir):
     return rounded(energies.select("clip", "frame", "mel", spectral.symmetric_db(F.col("energy"), _FFT).alias("value")), 4, "value")
 
 
+@query(f"""WITH {VECTORS}, v AS (SELECT clip, unnest(samples[1:8]) AS v FROM vectors) SELECT clip, CAST(count(*) // 8 AS BIGINT) AS rows, round(min(v), 6) + 0.0 AS least, round(max(v), 6) + 0.0 AS most FROM v GROUP BY clip""")
+def mel_info(spark, sf_dir):
+    values = _mel_rows(spark, sf_dir).groupBy("clip").agg(F.count("*").alias("rows"), F.min(F.array_min("mel")).alias("least"), F.max(F.array_max("mel")).alias("most"))
+    return rounded(values, 6, "least", "most")
+
+
 def _mel_rows(spark, sf_dir):
     """Frames of 64 values as mel rows of eight bands."""
     return vectors(spark, sf_dir).select("clip", "frame", F.slice("samples", 1, 8).alias("mel"))

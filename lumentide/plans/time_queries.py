@@ -126,6 +126,25 @@ def sync_asof(spark, sf_dir):
     return sync.nearest_frames(ticks, frames, 20_000)
 
 
+@query("""SELECT o_orderkey, greatest(0, least(512, o_custkey * 40 - o_orderkey)) AS copied, 512 - greatest(0, least(512, o_custkey * 40 - o_orderkey)) AS silent, o_orderkey + greatest(0, least(512, o_custkey * 40 - o_orderkey)) >= o_custkey * 40 AS complete FROM orders""")
+def callback_copy(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", sync.callback_copy(F.col("o_orderkey"), F.lit(512).cast("long"), F.col("o_custkey") * 40).alias("r")).select("o_orderkey", "r.*")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS clip, o_orderkey % 3000 AS length FROM orders), b AS (SELECT clip, length, unnest(range((length + 1023) // 1024)) AS block FROM c)
+SELECT clip, block, block * 1024 AS start, least(1024, length - block * 1024) AS length FROM b""")
+def audio_blocks(spark, sf_dir):
+    return sync.audio_blocks(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip"), (F.col("o_orderkey") % 3000).alias("length")), 1024)
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 > 0 AND o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 AND o_orderkey % 13 > 0 AND o_orderstatus <> 'P' AS valid FROM orders")
+def writer_config(spark, sf_dir):
+    k = F.col("o_orderkey")
+    path = F.when(F.col("o_orderstatus") != "P", "out.mp4").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", sync.writer_valid(k % 3, k % 5, k % 7, k % 11, k % 13, path).alias("valid"))
+
+
 def scheduler_log(spark, sf_dir):
     """Each user's events as pushes, every third also a tick of the reference clock."""
     frames = video_frames(spark, sf_dir).withColumn("us", F.col("n") * 40_000)
