@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lumentide.operators.raster import sharpness
 
 FACE, MEL, PREDICTION, SIDE = 6 * 96 * 96, 80 * 16, 3 * 96 * 96, 96
+SLICE = 64
 RETRYABLE = ("kExtractFailed", "kOutputEmpty")
 RESULT = "status string, pred array<float>, attempts int, recovered boolean, first_failure string, model_generation long"
 
@@ -116,20 +117,37 @@ def infer_one(model: Model | None, mel, face, max_retries: int = 1) -> tuple:
     return "kOk", out, tries, tries > 1, first
 
 
-def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1) -> DataFrame:
-    """Inputs with ``mel`` and ``face`` replaced by the result's columns."""
+def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1, face: np.ndarray | None = None, images: bool = False, least_sharpness: float | None = None) -> DataFrame:
+    """Inputs with ``mel`` and ``face`` replaced by the result's columns.
+
+    ``face``: one prepared face for all rows of a job, sent once instead of with each row.
+    ``images``: predictions leave the worker as converted images of a quarter of the size.
+    Results leave in slices of ``SLICE`` rows, whatever the input's batch.
+    """
     model, generation = registry.snapshot()
-    sent = inputs.sparkSession.sparkContext.broadcast(model)  # one model, whatever the data's size
+    sent = inputs.sparkSession.sparkContext.broadcast((model, face))  # of the model's size, whatever the data's
     rest = [c for c in inputs.columns if c not in ("mel", "face")]
 
+    def row(mel, own, model) -> tuple:
+        status, pred, *told = infer_one(model, mel, own, max_retries)
+        if not images:
+            return (status, pred, *told)
+        return (*(convert_one(pred, least_sharpness) if status == "kOk" else (status, None, None, None, None)), *told)
+
+    names = ["status", *(["image", "corrected", "sharpness", "sharp"] if images else ["pred"]), "attempts", "recovered", "first_failure"]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, shared = sent.value
         for frame in frames:
-            rows = [infer_one(sent.value, m, f, max_retries) for m, f in zip(frame["mel"], frame["face"], strict=True)]
-            out = pd.DataFrame(rows, columns=["status", "pred", "attempts", "recovered", "first_failure"])
-            yield pd.concat([frame[rest].reset_index(drop=True), out.assign(model_generation=generation)], axis=1)
+            for at in range(0, len(frame), SLICE):
+                part = frame.iloc[at : at + SLICE].reset_index(drop=True)
+                faces = part["face"] if shared is None else [shared] * len(part)
+                out = pd.DataFrame([row(m, f, model) for m, f in zip(part["mel"], faces, strict=True)], columns=names)
+                yield pd.concat([part[rest], out.astype({"corrected": "Int32"}) if images else out], axis=1).assign(model_generation=generation)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema if f.name in rest)
-    return inputs.mapInPandas(run, f"{kept}, {RESULT}")
+    result = "status string, image binary, corrected int, sharpness double, sharp boolean, attempts int, recovered boolean, first_failure string, model_generation long" if images else RESULT
+    return inputs.mapInPandas(run, f"{kept}, {result}")
 
 
 def retry_outcome(first: Column, second: Column, max_retries: int = 1) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumentide.functions import framing, signal, spectral
 from lumentide.functions import timestamps as ts
 from lumentide.operators import inference
+from lumentide.operators.faces import BrightBox, DetectOptions, detect_faces
+from lumentide.plans.pipeline import video_chunks
 from lumentide.plans.registry import pcm, query, rounded, table
 from lumentide.sources import media
 
@@ -86,46 +89,52 @@ def job_json(spark, sf_dir):
     return media.job_json(jobs)
 
 
-@query()
-def infer_stand_in(spark, sf_dir):
-    """A few inputs of the model's size, good and bad, through guards and the stand-in model."""
+def _mel_inputs(spark, sf_dir):
+    """Each vector told out to a mel chunk; some are too short or missing."""
+    mel = F.flatten(F.array_repeat(F.col("embedding"), 20))
+    vec = table(spark, sf_dir, "embeddings")
+    return vec.select("vec_id", F.when(F.col("vec_id") % 10 == 3, F.slice(mel, 1, 7)).when(F.col("vec_id") % 10 != 7, mel).alias("mel"))
+
+
+def _job():
     registry = inference.ModelRegistry()
     registry.publish(inference.StandIn())
-    vec = table(spark, sf_dir, "embeddings").where("vec_id < 40")
-    mel = F.flatten(F.array_repeat(F.col("embedding"), 20))
-    face = F.flatten(F.array_repeat(F.transform("embedding", lambda v: F.abs(v)), 864))
-    inputs = vec.select("vec_id", F.when(F.col("vec_id") % 10 == 3, F.slice(mel, 1, 7)).when(F.col("vec_id") % 10 != 7, mel).alias("mel"), face.alias("face"))
-    out = inference.infer(inputs, registry)
-    return out.select("vec_id", "status", "attempts", "recovered", "model_generation", F.round(F.aggregate(F.coalesce("pred", F.array().cast("array<float>")), F.lit(0.0), lambda s, v: s + v), 3).alias("total"))
+    return registry, (np.arange(inference.FACE) % 251 / 250).astype(np.float32)
 
 
 @query()
-def convert_predictions(spark, sf_dir):
-    """Predictions good and bad through the post-processing: levels, corrections and sharpness."""
-    vec = table(spark, sf_dir, "embeddings").where("vec_id < 40")
-    pred = F.flatten(F.array_repeat(F.transform("embedding", lambda v: F.when(F.col("vec_id") % 10 == 3, v * 9).otherwise(F.abs(v))), 432))
-    rows = vec.select("vec_id", F.when(F.col("vec_id") % 10 == 6, "kRetryExhausted").otherwise("kOk").alias("status"), F.when(F.col("vec_id") % 10 == 7, F.slice(pred, 1, 5)).otherwise(pred).alias("pred"))
-    out = inference.convert(rows, 10.0)
+def infer_stand_in(spark, sf_dir):
+    """Inputs good and bad through guards and the stand-in model, with one face for the job."""
+    registry, face = _job()
+    out = inference.infer(_mel_inputs(spark, sf_dir), registry, face=face)
+    return out.select("vec_id", "status", "attempts", "recovered", "model_generation", F.round(F.aggregate(F.coalesce("pred", F.array().cast("array<float>")), F.lit(0.0), lambda s, v: s + v), 1).alias("total"))
+
+
+@query()
+def infer_images(spark, sf_dir):
+    """The same, converted in the worker: levels, corrections and sharpness."""
+    registry, face = _job()
+    out = inference.infer(_mel_inputs(spark, sf_dir), registry, face=face, images=True, least_sharpness=10.0)
     return out.select("vec_id", "status", "corrected", F.round("sharpness", 3).alias("sharpness"), "sharp", F.length("image").alias("bytes"))
 
 
 @query()
 def face_detection(spark, sf_dir):
     """Images of one bright box each through detection, landmarks and their guards."""
-    from lumentide.operators.faces import BrightBox, detect_faces
-
     side = 160
-    vec = table(spark, sf_dir, "embeddings").where("vec_id < 24")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.when((k % side >= 20) & (k % side < 20 + F.col("vec_id") * 6) & (k / side >= 30) & (k / side < 120), "FF").otherwise("10"))
-    images = vec.select(F.concat(F.lit("v"), F.col("vec_id")).alias("path"), F.when(F.col("vec_id") % 8 == 5, "kDecodeFailed").otherwise("kOk").alias("status"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(cells, "")).alias("data"))
-    return detect_faces(images, BrightBox()).select("image", "face", "status", "x", "y", "w", "h", F.size("points").alias("points"), F.round("score", 3).alias("score"))
+    wide = F.col("vec_id") % 20 * 7
+    cells = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.when((k % side >= 20) & (k % side < 20 + wide) & (k / side >= 30) & (k / side < 120), "FF").otherwise("10"))
+    images = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("v"), F.col("vec_id")).alias("path"), F.when(F.col("vec_id") % 8 == 5, "kDecodeFailed").otherwise("kOk").alias("status"),
+        F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(1).alias("channels"), F.unhex(F.array_join(cells, "")).alias("data"),
+    )
+    found = detect_faces(images, BrightBox(), DetectOptions(least_width=side))
+    return found.select("image", "face", "status", "x", "y", "w", "h", F.size("points").alias("points"), F.round("score", 3).alias("score"))
 
 
 @query()
 def lip_sync_frames(spark, sf_dir):
     """A whole job for each clip: samples, emphasis, frames, spectra, mel, chunks on the video's ticks."""
-    from lumentide.plans.pipeline import video_chunks
-
     mel = spectral.MelOptions(n_fft=64, n_mels=10, fmax=7600.0)
     return video_chunks(pcm(spark, sf_dir), framing.FrameOptions(16, 4, "hann"), mel, signal.PreprocessOptions(normalize=False), rate=100, numerator=25, rows=4)
 

@@ -176,6 +176,62 @@ def test_raster_kernels():
     assert mask.shape == (96, 96) and 0 < mask.max() <= 1 and mask[:2].max() == 0 and mask[:, -2:].max() == 0
 
 
+def test_preprocess():
+    grey = np.full((40, 40), 128, np.uint8)
+    out, least, most = raster.preprocess(grey)
+    assert out.shape == (96, 96, 3) and least == most == pytest.approx(0.502, abs=1e-3)
+    bgr = np.zeros((96, 96, 3), np.uint8) + np.array([50, 100, 200], np.uint8)
+    assert raster.preprocess(bgr, rgb=True, mode="none")[0][0, 0].tolist() == [200, 100, 50]
+    assert raster.preprocess(np.zeros((4, 4, 4), np.uint8), mode="signed")[1:] == (-1.0, -1.0)
+
+
+def test_convert():
+    ask = lambda p, s=None: inference.convert_one(p, s)
+    flat = np.full(inference.PREDICTION, 0.25)
+    status, image, corrected, sharp, passed = ask(flat, 1.0)
+    assert (status, len(image), corrected, sharp, passed) == ("kOk", inference.PREDICTION, 0, 0.0, False) and image[0] == 64
+    edge = flat.copy()
+    edge[:2] = (-0.5e-6, 1 + 0.5e-6)
+    assert ask(edge)[2] == 2 and ask(edge)[1][0] == 0
+    bad = flat.copy()
+    bad[0] = 1.1
+    assert [ask(p)[0] for p in (None, flat[:5], bad, np.full(inference.PREDICTION, np.nan))] == ["kEmptyPrediction", "kInvalidPredictionShape", "kRangeViolation", "kNonFinitePrediction"]
+    assert ask(flat, -1.0)[0] == "kInvalidSharpnessThreshold"
+
+
+def test_infer_and_convert_frames(spark):
+    registry = inference.ModelRegistry()
+    registry.publish(inference.StandIn())
+    rows = [(i, [0.1] * (inference.MEL if i % 3 else 9)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, mel array<float>")
+    face = np.full(inference.FACE, 0.5, np.float32)
+    preds = inference.infer(df, registry, face=face)
+    images = {r["id"]: r for r in inference.infer(df, registry, face=face, images=True).collect()}
+    for r in inference.convert(preds).collect():
+        other = images[r["id"]]
+        assert (r["status"], r["image"], r["corrected"], r["sharpness"]) == (other["status"], other["image"], other["corrected"], other["sharpness"])
+        assert r["status"] == ("kOk" if r["id"] % 3 else "kInvalidMelShape")
+    with_face = df.limit(2).withColumn("face", F.array_repeat(F.lit(0.5).cast("float"), inference.FACE))
+    assert {r["status"] for r in inference.infer(with_face, registry).collect()} <= {"kOk", "kInvalidMelShape"}
+
+
+def test_faces():
+    from lumentide.operators import faces
+
+    image = np.zeros((120, 160, 3), np.uint8)
+    image[20:100, 30:110] = 255
+    box, o = faces.BrightBox(), faces.DetectOptions(least_width=160)
+    assert faces.detect(image, box, o) == ("kOk", [(30, 20, 80, 80)])
+    assert faces.detect(image * 0, box, o) == ("kNoFace", []) and faces.detect(image[:0], box, o)[0] == "kEmptyImage"
+    assert faces.detect(image[..., :2], box, o)[0] == "kInvalidImageChannels"
+    (x, y, w, h), = faces.detect(image, box)[1]  # found on an enlarged image, mapped back
+    assert abs(x - 30) <= 1 and abs(w - 80) <= 2
+    status, points, score = faces.landmarks(image, (30, 20, 80, 80), box)
+    assert status == "kOk" and len(points) == 68 and score == 1.0
+    assert [faces.landmarks(image, r, box)[0] for r in ((0, 0, 500, 9), (0, 0, 20, 20))] == ["kInvalidFaceRect", "kFaceTooSmall"]
+    assert faces.landmarks(image, (0, 0, 80, 80), None)[0] == "kModelNotLoaded"
+
+
 def test_media_files(spark):
     x = [0.5, -0.25, 0.125, 0.0]
     rows = [("a.wav", bytearray(media.encode_wav(x, 16000))), ("b.wav", bytearray(b"RIFF")), ("c.wav", bytearray(media.encode_wav([], 16000))), ("d.wav", bytearray(media.encode_wav(x, 8000)))]
