@@ -22,11 +22,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.llm.neardup import band_keys, minima
-from lumentide.llm.neighbours import Similarity, least_equal, linked_components, packed, part_count
+from lumentide.llm.neighbours import Similarity, bucket_rows, least_equal, linked_components, met, packed, part_count
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import binary_rows, blocks, mix, power_tables
 
@@ -83,28 +83,41 @@ class LineHashes:
         return minima((self.shingles() >> np.uint64(32)).astype(np.uint32), self.bounds, count, seed)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed pairs (key, id), each line content once for a block."""
-    for _, texts in blocks(batches):
-        lines = list({line for t in texts if t for line in split_lines(t.decode()) if line})
-        if lines:
-            h = LineHashes(lines, s.shingle)
-            keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
-            yield packed(keys.ravel().view(np.int64), np.repeat(h.ids, s.bands), parts)
-
-
-def _listed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, line, id) of all lines that aren't blank."""
+def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of two kinds: (key, id) of each line content of a block once, and behind ``parts`` (id, document, line) of each line that isn't blank."""
     for part, texts in blocks(batches):
-        lines, doc, number = [], [], []
+        docs, names, which, doc, number = part.column(0).to_numpy(), {}, [], [], []
         for i, t in enumerate(texts):
             for k, line in enumerate(split_lines(t.decode()) if t else ()):
                 if line:
-                    lines.append(line)
+                    which.append(names.setdefault(line, len(names)))
                     doc.append(i)
                     number.append(k)
-        if lines:
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(number, pa.int64()), pa.array(LineHashes(lines, s.shingle).ids)], ["doc", "line", "id"])
+        if names:
+            h = LineHashes(list(names), s.shingle)
+            keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
+            yield packed(keys.ravel().view(np.int64), [np.repeat(h.ids, s.bands)], parts)
+            yield packed(h.ids[which], [docs[doc], np.array(number, np.int64)], parts, parts)
+
+
+def _occurrences(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (kind 1, id, document, line, occurrences of the id, its first document and line)."""
+    i, doc, line = table
+    order = np.lexsort((line, doc, i))
+    i, doc, line = i[order], doc[order], line[order]
+    fresh = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
+    i, doc, line = i[fresh], doc[fresh], line[fresh]  # a row that is there twice
+    heads = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+    counts = np.diff(np.append(heads, len(i)))
+    columns = (np.ones_like(i), i, doc, line, np.repeat(counts, counts), np.repeat(doc[heads], counts), np.repeat(line[heads], counts))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", *"abcdef"])
+
+
+def _bucketed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (kind 0, key, id, pivot, rank, top, 0)."""
+    for batch in bucket_rows(table):
+        none = pa.array(np.zeros(len(batch), np.int64))
+        yield pa.RecordBatch.from_arrays([none, *batch.columns, none], ["kind", *"abcdef"])
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,37 +152,53 @@ def line_sets(lines: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndar
 
 
 def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, lines): for each document that loses lines, their numbers from 0, ascending. Ids are integers."""
-    shared = Shared(docs.sparkSession, "lines")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    listed = shared.write(plain.mapInArrow(lambda it: _listed(it, settings), "doc long, line long, id long"), "listed")
-    firsts = shared.write(listed.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")), "firsts")
+    """(doc, lines): for each document that loses lines, their numbers from 0, ascending. Ids are integers, null is the least."""
+    shared, parts = Shared(docs.sparkSession, "lines"), part_count(docs.sparkSession)
+    plain = docs.select(_number(F.col(id_col)).alias("doc"), F.col(text_col).alias("text"))
+    read = plain.mapInArrow(lambda it: _read(it, settings, parts), "part long, data binary")
+    both = met(read, lambda part: 2 + (part >= parts), lambda part, table: _occurrences(table) if part >= parts else _bucketed(table), "kind long, " + ", ".join(f"{c} long" for c in "abcdef"))
+    both = shared.write(both, "lines")
+    multi = both.where("kind = 0").selectExpr("a AS key", "b AS id", "c AS pivot", "d AS rank", "e AS top")
+    listed = both.where("kind = 1").selectExpr("a AS id", "b AS doc", "c AS line", "d AS n", "e AS first_doc", "f AS first_line")
+    firsts = listed.where("doc = first_doc AND line = first_line").select("id", "doc", "line", "n")
 
     def describe(ids: DataFrame) -> DataFrame:
-        places = firsts.join(ids, "id", "left_semi").select(F.col("first.doc").alias("doc"), F.struct(F.col("first.line").alias("line"), "id").alias("want"))
+        places = firsts.join(ids, "id", "left_semi").select("doc", F.struct("line", "id").alias("want"))
         wanted = places.groupBy("doc").agg(F.collect_list("want").alias("wanted"))
-        rows = plain.join(wanted, plain["doc"].eqNullSafe(wanted["doc"])).select("text", "wanted")
+        # by hash, so that texts needn't be sorted; the other side has a short row for a document at most
+        rows = plain.join(wanted.hint("shuffle_hash"), "doc").select("text", "wanted")
         picked = rows.mapInArrow(_picked, "id long, line string").dropDuplicates(["id"])
         return picked.mapInArrow(lambda it: _signed(it, settings), "id long, sig binary, text string")
 
     how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
-    parts = part_count(docs.sparkSession)
-    keys = plain.select("text").mapInArrow(lambda it: _keyed(it, settings, parts), "part long, data binary")
-    stars = linked_components(keys, describe, how, shared)
-    rooted = firsts.join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("root"), "first", "n")
+    stars = linked_components(multi, describe, how, shared)
+    stars = shared.write(stars.unionByName(stars.selectExpr("component AS id", "component").distinct()), "linked")
+    shared.keep("lines", "linked")
+    # lines that occur once and are like no other stay out of all that follows
+    rooted = firsts.join(stars, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("root"), F.struct("doc", "line").alias("first"), "n")
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
     keepers = shared.write(rooted.join(groups, "root").select("id", "keeper"), "keepers")
-    gone = listed.join(keepers, "id").where("NOT (doc <=> keeper.doc AND line = keeper.line)")
+    shared.keep("lines", "keepers")
+    gone = listed.join(keepers, "id").where("NOT (doc = keeper.doc AND line = keeper.line)")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _number(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+
+
 def dedup_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with all their columns, their texts without the removed lines. ``count_col``: name of a further column, of lines removed."""
     gone = removed_lines(docs, settings, id_col, text_col).toDF("__doc", "__lines")
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")), "left")
-    # line numbers are those of the text split at each newline, which JVM functions do alike
-    parts = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, k: F.struct(k.cast("long").alias("k"), x.alias("x")))
-    left = F.array_join(F.transform(F.filter(parts, lambda p: ~F.array_contains("__lines", p["k"])), lambda p: p["x"]), "\n")
+    joined = docs.join(gone.hint("shuffle_hash"), _number(F.col(id_col)) == F.col("__doc"), "left")
+    # line numbers are those of the text split at each newline, which JVM functions do alike; what stays is sliced out between removed lines
+    parts, lines = F.split(F.col(text_col), "\n", -1), F.col("__lines")
+
+    def stays(i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.get(lines, i - 1) + 1).cast("int")
+        return F.slice(parts, start + 1, F.coalesce(F.get(lines, i), F.size(parts)).cast("int") - start)
+
+    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines)), stays)), "\n")
     text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(left)
     extra = [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(count_col)] if count_col else []
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)

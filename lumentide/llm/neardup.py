@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentide.llm.neighbours import BAND_BITS, Similarity, least_equal, linked_components, packed, part_count
+from lumentide.llm.neighbours import BAND_BITS, Similarity, buckets, least_equal, linked_components, packed, part_count
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import Words, binary_rows, blocks, inside, list_array, mix, ngram_hashes
 
@@ -110,7 +110,7 @@ def _signed(batches: Iterator[pa.RecordBatch], settings: NearDup) -> Iterator[pa
 def _packed_keys(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(1)
-        yield packed(lists.flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy()), parts)
+        yield packed(lists.flatten().to_numpy(), [np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())], parts)
 
 
 def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,6 +123,7 @@ def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str
     members = shared.write(signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "members")
     own = signed.join(members.where("n > 0 AND id = first").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     own = shared.write(own.select("id", "keys", "sig"), "classes")
+    shared.drop("signed")
     parts = part_count(docs.sparkSession)
     keys = own.select("id", "keys").mapInArrow(lambda it: _packed_keys(it, parts), "part long, data binary")
     sigs = own.select("id", "sig")
@@ -131,12 +132,14 @@ def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str
         return sigs.join(ids, "id").join(plain, "id").dropDuplicates(["id"])
 
     how = Similarity(lambda texts: shingle_sets(texts, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
-    stars = linked_components(keys, describe, how, shared)
+    stars = linked_components(shared.write(buckets(keys), "buckets"), describe, how, shared)
+    stars = shared.write(stars, "linked")
+    shared.keep("members", "linked")
     named = members.join(stars.toDF("first", "component"), "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest of their component, with all their columns."""
-    gone = near_duplicates(docs, settings, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, settings, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -56,14 +56,15 @@ class Similarity:
         return 100 * both >= self.percent * (len(one) + len(two) - both)
 
 
-def packed(keys: np.ndarray, ids: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows (part, data): the (key, id) pairs of a block dealt to ``parts`` by key, packed as all keys, then all ids."""
+def packed(keys: np.ndarray, columns: list[np.ndarray], parts: int, first_part: int = 0) -> pa.RecordBatch:
+    """Rows (part, data): a block's rows dealt to ``parts`` by key, packed as all keys, then each column; all of 64 bits."""
     part = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
-    part, keys, ids = part[order], keys[order], ids[order]
+    part, table = part[order], [np.ascontiguousarray(c)[order] for c in (keys, *columns)]
     heads = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
     spans = list(zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)) if len(part) else []
-    return pa.RecordBatch.from_arrays([pa.array([int(part[b]) for b, _ in spans], pa.int64()), pa.array([keys[b:e].tobytes() + ids[b:e].tobytes() for b, e in spans], pa.binary())], ["part", "data"])
+    data = [b"".join(c[b:e].tobytes() for c in table) for b, e in spans]
+    return pa.RecordBatch.from_arrays([pa.array([first_part + int(part[b]) for b, _ in spans], pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
 
 
 def part_count(spark) -> int:
@@ -71,28 +72,34 @@ def part_count(spark) -> int:
     return 4 * partitions(spark)
 
 
+def met(rows: DataFrame, width: Callable[[int], int], give: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Deals rows (part, data) of ``packed`` by part and hands each part as a table of ``width(part)`` rows to ``give``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != current and held:
+                    yield from give(current, np.concatenate(held, axis=1))
+                    held = []
+                current = part
+                held.append(np.frombuffer(data, np.int64).reshape(width(part), -1))
+        if held:
+            yield from give(current, np.concatenate(held, axis=1))
+
+    return rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+BUCKETS = "key long, id long, pivot long, rank long, top long"
+
+
 def buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, pivot, rank) of all rows of keys that two ids or more have. ``keys``: part, data as of ``packed``, a pair's key deciding its part."""
-    dealt = keys.repartition(partitions(keys.sparkSession), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_bucket_rows, "key long, id long, pivot long, rank long")
+    """(key, id, pivot, rank, top) of all rows of keys that two ids or more have. ``keys``: part, data, as of ``packed`` with the ids as column."""
+    return met(keys, lambda part: 2, lambda part, table: bucket_rows(table), BUCKETS)
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, held = None, []
-    for batch in batches:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if part != current and held:
-                yield from _part_buckets(held)
-                held = []
-            current = part
-            held.append(data)
-    if held:
-        yield from _part_buckets(held)
-
-
-def _part_buckets(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-    pairs = [np.frombuffer(d, np.int64).reshape(2, -1) for d in held]
-    k, i = (np.concatenate([p[n] for p in pairs]) for n in (0, 1))
+def bucket_rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    k, i = table
     order = np.argsort(k)
     k, i = k[order], i[order]
     heads = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
@@ -106,9 +113,10 @@ def _part_buckets(held: list[bytes]) -> Iterator[pa.RecordBatch]:
     heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
     counts = np.diff(np.append(heads, len(k)))
     pivots, ranks = np.repeat(i[heads], counts), np.arange(len(k)) - np.repeat(heads, counts)
-    give = np.repeat(counts > 1, counts)
+    tops = np.repeat(counts - 1, counts)
+    give = tops > 0
     if give.any():
-        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (k, i, pivots, ranks)], ["key", "id", "pivot", "rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (k, i, pivots, ranks, tops)], ["key", "id", "pivot", "rank", "top"])
 
 
 def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, texts: list[bytes | None], how: Similarity) -> list[tuple[int, int]]:
@@ -213,21 +221,21 @@ def least_equal(hashes: int, percent: int) -> int:
     return int(hashes * p - 4.3 * (hashes * p * (1 - p)) ** 0.5)
 
 
-def linked_components(keys: DataFrame, describe: Callable[[DataFrame], DataFrame], how: Similarity, shared: Shared) -> DataFrame:
+def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFrame], how: Similarity, shared: Shared) -> DataFrame:
     """(id, component) of all ids that are linked with another, but the components' smallest.
 
-    ``keys``: part, data, as of ``packed``. ``describe``: takes the ids (id) that matter, and gives id, sig
+    ``multi``: a table of ``buckets``' rows. ``describe``: takes the ids (id) that matter, and gives id, sig
     (binary of one width) and text of each.
     """
-    count = partitions(keys.sparkSession)
-    multi = shared.write(buckets(keys), "buckets")
+    count = partitions(multi.sparkSession)
     items = shared.write(describe(multi.select("id").distinct()), "items")
     pairs = multi.where("rank > 0").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     pairs = pairs.join(items.toDF("b", "sig_b", "text_b"), "b").join(items.toDF("a", "sig_a", "text_a"), "a")
     links = shared.write(pairs.mapInArrow(lambda it: _confirm(it, how), "a long, b long"), "links")
     stars = components(links, shared, "stars")
+    shared.drop("links")
 
-    wide = multi.join(multi.groupBy("key").agg(F.max("rank").alias("top")).where("top > 1"), "key")
+    wide = multi.where("top > 1")  # of a bucket of two, the one pair has been looked at
     wide = wide.join(stars, "id", "left").select("key", "id", "rank", "top", F.coalesce("component", "id").alias("component"))
     wide = shared.write(wide, "wide")
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")

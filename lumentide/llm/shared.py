@@ -7,7 +7,6 @@ survives the loss of any executor, and shuffle files before it can go.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -22,27 +21,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: lets Spark remove a query's shuffle files as soon as it has ended
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Shared:
-    """Intermediate tables of one operator call."""
+    """Intermediate tables of one operator call. They stay until dropped: what a lazy result reads is left in the folder."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        schema = df.schema
-        del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files that no plan needs
-        return self.spark.read.schema(schema).parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")  # the table stands for the query's shuffles from here on
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+        self.names.add(name)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        for name in names:
+        for name in self.names.intersection(names):
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Remove all other tables."""
+        self.drop(*self.names.difference(names))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -164,6 +164,7 @@ def repeated_windows(docs: DataFrame, s: Substrings = Substrings(), id_col: str
     # copies of the smallest document's segment lose all its windows, that document's own lose those that were found
     marked = least.join(found, ["seg", "anchor"], "left").where("copies > 1 OR runs IS NOT NULL").select("seg", "anchor", F.col("doc").alias("least"), "runs")
     marked = shared.write(marked, "marked")
+    shared.keep("segments", "marked")
     whole = F.array(F.struct("start", F.col("n").alias("count")))
     moved = F.transform("runs", lambda r: F.struct((r["at"] + F.col("start")).alias("start"), r["count"].alias("count")))
     hits = segs.join(marked, ["seg", "anchor"]).select("doc", F.when(F.col("doc") > F.col("least"), whole).otherwise(moved).alias("runs")).where("runs IS NOT NULL")

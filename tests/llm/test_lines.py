@@ -65,3 +65,5 @@ def test_repeated_row_and_empty_table(spark):
     df = spark.createDataFrame([(*r, "q", 1) for r in rows], SCHEMA)
     assert sorted((r["doc_id"], r["text"]) for r in dedup_lines(df).collect()) == [(1, rows[0][1]), (1, rows[0][1]), (2, "")]
     assert dedup_lines(df.limit(0)).count() == 0
+    null = spark.createDataFrame([(None, "same line here", "q", 1), (3, "same line here", "q", 1)], SCHEMA)
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(null).collect()} == {None: "same line here", 3: ""}

@@ -7,10 +7,10 @@ import pytest
 
 from lumentide.llm.components import components
 from lumentide.llm.neardup import NearDup, drop_near_duplicates, near_duplicates, shingle_sets
-from lumentide.llm.neighbours import Similarity, _cross_links, linked_components, packed
+from lumentide.llm.neighbours import Similarity, _cross_links, buckets, linked_components, packed
 from lumentide.llm.shared import Shared
 
-SCHEMA = "doc_id long, text string, key string, component long"
+SCHEMA = "doc_id long, text string, key string, component long, gone long"
 
 
 def words_of(text):
@@ -56,14 +56,14 @@ def corpus(seed=3):
 @pytest.mark.parametrize("size", [4, 5])
 def test_matches_brute_force(spark, size):
     rows = corpus()
-    df = spark.createDataFrame([(*r, "k", 7) for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, "k", 7, 8) for r in rows], SCHEMA)
     got = {r["doc_id"]: (r["n_shingles"], r["component"], r["kept"]) for r in near_duplicates(df, NearDup(shingle=size)).collect()}
     assert got == {i: (n, c, i == c) for i, (n, c) in brute(rows, size, 80).items()}
 
 
 def test_drop_keeps_columns_and_one_of_each(spark):
     rows = corpus(4)
-    df = spark.createDataFrame([(*r, "k", 7) for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, "k", 7, 8) for r in rows], SCHEMA)
     out = drop_near_duplicates(df, NearDup())
     assert out.columns == df.columns
     assert {r["doc_id"] for r in out.collect()} == {c for _, c in brute(rows, 5, 80).values()}
@@ -88,10 +88,10 @@ HOW = Similarity(lambda texts: shingle_sets(texts, 1), 60, 4, 1, 2)
 
 def test_link_that_no_pivot_has_is_found(spark):
     """In one bucket of three, the first member is linked with neither of the two that are linked."""
-    rows = packed(np.zeros(4, np.int64), np.array([1, 3, 2, 2]), 8).to_pylist()
+    rows = packed(np.zeros(4, np.int64), [np.array([1, 3, 2, 2])], 8).to_pylist()
     keys = spark.createDataFrame([(r["part"], bytearray(r["data"])) for r in rows], "part long, data binary")
     items = spark.createDataFrame([(1, bytearray(b"axyz"), "p q r"), (2, bytearray(b"abyz"), "k l m"), (3, bytearray(b"abcd"), "k l m n")], "id long, sig binary, text string")
-    stars = linked_components(keys, lambda ids: items.join(ids, "id"), HOW, Shared(spark, "t"))
+    stars = linked_components(buckets(keys), lambda ids: items.join(ids, "id"), HOW, Shared(spark, "t"))
     assert [tuple(r) for r in stars.collect()] == [(3, 2)]
 
 
