@@ -30,6 +30,7 @@ from lumentide.llm.neighbours import Similarity, bucket_rows, least_equal, linke
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import binary_rows, blocks, mix, power_tables
 
+_SPREAD = 0x1E3779B97F4A7C15
 _CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
@@ -84,7 +85,7 @@ class LineHashes:
 
 
 def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows of two kinds: (key, id) of each line content of a block once, and behind ``parts`` (id, document, line) of each line that isn't blank."""
+    """Packed rows of two kinds: (key, id) of each line content of a block once, and behind ``parts`` (a spread, id, document, line) of each line that isn't blank."""
     for part, texts in blocks(batches):
         docs, names, which, doc, number = part.column(0).to_numpy(), {}, [], [], []
         for i, t in enumerate(texts):
@@ -97,27 +98,21 @@ def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator
             h = LineHashes(list(names), s.shingle)
             keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
             yield packed(keys.ravel().view(np.int64), [np.repeat(h.ids, s.bands)], parts)
-            yield packed(h.ids[which], [docs[doc], np.array(number, np.int64)], parts, parts)
+            # dealt by document: a line that a third of all documents have may not meet in one task
+            yield packed(docs[doc] * np.int64(_SPREAD), [h.ids[which], docs[doc], np.array(number, np.int64)], parts, parts)
 
 
-def _occurrences(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 1, id, document, line, occurrences of the id, its first document and line)."""
-    i, doc, line = table
-    order = np.lexsort((line, doc, i))
-    i, doc, line = i[order], doc[order], line[order]
-    fresh = np.concatenate(([True], (i[1:] != i[:-1]) | (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])))
-    i, doc, line = i[fresh], doc[fresh], line[fresh]  # a row that is there twice
-    heads = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-    counts = np.diff(np.append(heads, len(i)))
-    columns = (np.ones_like(i), i, doc, line, np.repeat(counts, counts), np.repeat(doc[heads], counts), np.repeat(line[heads], counts))
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", *"abcdef"])
+def _listed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (kind 1, id, document, line, 0, 0)."""
+    _, i, doc, line = (pa.array(c) for c in table)
+    none = pa.array(np.zeros(len(line), np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(line), np.int64)), i, doc, line, none, none], ["kind", *"abcde"])
 
 
 def _bucketed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0, key, id, pivot, rank, top, 0)."""
+    """Rows (kind 0, key, id, pivot, rank, top)."""
     for batch in bucket_rows(table):
-        none = pa.array(np.zeros(len(batch), np.int64))
-        yield pa.RecordBatch.from_arrays([none, *batch.columns, none], ["kind", *"abcdef"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int64)), *batch.columns], ["kind", *"abcde"])
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +151,12 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     shared, parts = Shared(docs.sparkSession, "lines"), part_count(docs.sparkSession)
     plain = docs.select(_number(F.col(id_col)).alias("doc"), F.col(text_col).alias("text"))
     read = plain.mapInArrow(lambda it: _read(it, settings, parts), "part long, data binary")
-    both = met(read, lambda part: 2 + (part >= parts), lambda part, table: _occurrences(table) if part >= parts else _bucketed(table), "kind long, " + ", ".join(f"{c} long" for c in "abcdef"))
+    both = met(read, lambda part: 4 if part >= parts else 2, lambda part, table: _listed(table) if part >= parts else _bucketed(table), "kind long, " + ", ".join(f"{c} long" for c in "abcde"))
     both = shared.write(both, "lines")
     multi = both.where("kind = 0").selectExpr("a AS key", "b AS id", "c AS pivot", "d AS rank", "e AS top")
-    listed = both.where("kind = 1").selectExpr("a AS id", "b AS doc", "c AS line", "d AS n", "e AS first_doc", "f AS first_line")
-    firsts = listed.where("doc = first_doc AND line = first_line").select("id", "doc", "line", "n")
+    listed = both.where("kind = 1").selectExpr("a AS id", "b AS doc", "c AS line")
+    firsts = listed.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).select("id", "first.*", "n")
+    firsts = shared.write(firsts, "firsts")
 
     def describe(ids: DataFrame) -> DataFrame:
         places = firsts.join(ids, "id", "left_semi").select("doc", F.struct("line", "id").alias("want"))
@@ -173,7 +169,7 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
     stars = linked_components(multi, describe, how, shared)
     stars = shared.write(stars.unionByName(stars.selectExpr("component AS id", "component").distinct()), "linked")
-    shared.keep("lines", "linked")
+    shared.keep("lines", "firsts", "linked")
     # lines that occur once and are like no other stay out of all that follows
     rooted = firsts.join(stars, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("root"), F.struct("doc", "line").alias("first"), "n")
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
@@ -191,14 +187,9 @@ def dedup_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "d
     """The documents with all their columns, their texts without the removed lines. ``count_col``: name of a further column, of lines removed."""
     gone = removed_lines(docs, settings, id_col, text_col).toDF("__doc", "__lines")
     joined = docs.join(gone.hint("shuffle_hash"), _number(F.col(id_col)) == F.col("__doc"), "left")
-    # line numbers are those of the text split at each newline, which JVM functions do alike; what stays is sliced out between removed lines
-    parts, lines = F.split(F.col(text_col), "\n", -1), F.col("__lines")
-
-    def stays(i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get(lines, i - 1) + 1).cast("int")
-        return F.slice(parts, start + 1, F.coalesce(F.get(lines, i), F.size(parts)).cast("int") - start)
-
-    left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines)), stays)), "\n")
+    # line numbers are those of the text split at each newline, which JVM functions do alike
+    stay = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains("__lines", k.cast("long")))
+    left = F.array_join(stay, "\n")
     text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(left)
     extra = [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(count_col)] if count_col else []
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)
