@@ -58,6 +58,19 @@ def frame_rows(pcm: DataFrame, o: FrameOptions = SPEECH) -> DataFrame:
     return frames.select("clip", "frame", k.alias("k"), (F.col("x") * window_value(k, o.size, o.window)).alias("x"))
 
 
+def create_frame(samples: Column, start: Column, size: int, pad: bool = True) -> Column:
+    """One frame of a packed signal; what lies behind its end is zero, or left out."""
+    held = F.slice(samples, (start + 1).cast("int"), F.greatest(F.lit(0), F.least(F.lit(size), F.size(samples) - start)).cast("int"))
+    return F.slice(F.concat(held, F.array_repeat(F.lit(0.0), size)), 1, size) if pad else held
+
+
+def apply_window(samples: Column, size: int, kind: str) -> Column:
+    """A packed frame times its window; the shorter of the two decides."""
+    weights = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: window_value(k, size, kind)) if size > 0 else samples
+    n = F.least(F.size(samples), F.lit(size)) if size > 0 else F.size(samples)
+    return F.zip_with(F.slice(samples, 1, n), F.slice(weights, 1, n), lambda x, w: x * w) if size > 0 else samples
+
+
 def frame_summary(pcm: DataFrame, o: FrameOptions = SPEECH) -> DataFrame:
     """(clip, frame, start_sample, end_sample, contains_padding) without touching samples."""
     clips = pcm.groupBy("clip").agg((F.max("i") + 1).alias("length"))

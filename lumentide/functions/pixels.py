@@ -82,3 +82,11 @@ def mask_stats(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image").agg(
         (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum((v != 0).cast("long")).alias("non_zero")
     )
+
+
+def replicated_mask(mask: Column, depth: str, channels: int = 3) -> Column:
+    """A packed one-channel mask as interleaved channels; levels of 0 to 255 become shares, other depths give nothing."""
+    if depth not in ("u8", "f32"):
+        return F.array().cast("array<double>")
+    scaled = F.transform(mask, lambda v: v.cast("double") / (255.0 if depth == "u8" else 1.0))
+    return F.flatten(F.transform(scaled, lambda v: F.array_repeat(v, channels)))

@@ -150,6 +150,19 @@ def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1, face
     return inputs.mapInPandas(run, f"{kept}, {result}")
 
 
+def admission(model_loaded: bool, workers: int, queue: int, timeout_ms: int, threads: int, cores: int, oversubscribe: bool = False) -> str:
+    """Whether an engine may start so: the first check that fails. Threads are those that a model's kernels use in one worker."""
+    if not model_loaded:
+        return "kModelNotLoaded"
+    if workers <= 0:
+        return "kInvalidWorkerCount"
+    if queue <= 0:
+        return "kInvalidQueueCapacity"
+    if timeout_ms < 0:
+        return "kInvalidTimeout"
+    return "kOk" if oversubscribe or workers * max(threads, 1) <= max(cores, 1) else "kOversubscribed"
+
+
 def retry_outcome(first: Column, second: Column, max_retries: int = 1) -> Column:
     """(status, attempts, recovered, first_failure) of at most two attempts' statuses, as an expression."""
     again = first.isin(*RETRYABLE) & F.lit(max_retries > 0)

@@ -162,6 +162,13 @@ def sharpness(spark, sf_dir):
     return rounded(px.laplacian_variance(gray).select("image", F.sqrt("sharpness").alias("deviation")), 6, "deviation")
 
 
+@query(f"WITH {PIXELS} SELECT image, CAST(3 * (y * 8 + x) + c AS INTEGER) AS p, round(r / 255.0::DOUBLE, 9) AS value FROM pixels, (SELECT unnest(range(3)) AS c)")
+def mask_channels(spark, sf_dir):
+    at = F.struct("y", "x", "r")
+    packed = pixels(spark, sf_dir).groupBy("image").agg(F.transform(F.array_sort(F.collect_list(at)), lambda p: p["r"]).alias("mask"))
+    return rounded(packed.select("image", F.posexplode(px.replicated_mask(F.col("mask"), "u8")).alias("p", "value")), 9, "value")
+
+
 @query()
 def raster_blend(spark, sf_dir):
     """Packed 8 x 8 planes through the dense kernels: a mask is blurred and the generated image blended in."""

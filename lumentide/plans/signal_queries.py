@@ -142,6 +142,20 @@ def window_hann(spark, sf_dir):
     return rounded(spark.range(400).select(F.col("id").alias("k"), framing.window_value(F.col("id"), 400, "hann").alias("w")), 6, "w")
 
 
+@query(f"""WITH {VECTORS}, p AS (SELECT clip, frame, unnest(range(16)) AS k, samples FROM vectors)
+SELECT clip, frame, CAST(k AS INTEGER) AS k, round(coalesce(samples[frame * 9 + k + 1], 0), 6) + 0.0 AS x FROM p""")
+def create_frame(spark, sf_dir):
+    frames = vectors(spark, sf_dir).select("clip", "frame", F.posexplode(framing.create_frame(F.col("samples"), F.col("frame") * 9, 16)).alias("k", "x"))
+    return rounded(frames, 6, "x")
+
+
+@query(f"""WITH {VECTORS}, p AS (SELECT clip, frame, unnest(range(64)) AS k, samples FROM vectors)
+SELECT clip, frame, CAST(k AS INTEGER) AS k, round(samples[k + 1] * 0.5 * (1 - cos(2 * pi() * k / 63)), 6) + 0.0 AS x FROM p""")
+def apply_window(spark, sf_dir):
+    frames = vectors(spark, sf_dir).select("clip", "frame", F.posexplode(framing.apply_window(F.col("samples"), 64, "hann")).alias("k", "x"))
+    return rounded(frames, 6, "x")
+
+
 @query(f"""WITH {PCM}, n AS (SELECT clip, {_count(framing.COVER, "count(*)")} AS frames FROM pcm GROUP BY clip), f AS (SELECT clip, unnest(range(CAST(frames AS BIGINT))) AS frame FROM n)
 SELECT f.clip, frame, round(sum(x * (0.54 - 0.46 * cos(2 * pi() * (i - frame * 6) / 15))), 6) + 0.0 AS total, count(*) AS n FROM f JOIN pcm ON pcm.clip = f.clip AND i >= frame * 6 AND i < frame * 6 + 16 GROUP BY f.clip, frame""")
 def framed_windowed(spark, sf_dir):

@@ -252,3 +252,16 @@ def test_image_source_from_files(spark, tmp_path):
     (tmp_path / "y.txt").write_text("no")
     got = media.load_images(media.files(spark, str(tmp_path), "*.ppm")).collect()
     assert [(r["status"], r["width"], r["height"]) for r in got] == [("kOk", 5, 3)]
+
+
+def test_admission_and_metrics(spark):
+    from lumentide.plans.metrics import observed, termination
+
+    ask = inference.admission
+    assert [ask(False, 1, 1, 0, 1, 8), ask(True, 0, 1, 0, 1, 8), ask(True, 1, 0, 0, 1, 8), ask(True, 1, 1, -1, 1, 8), ask(True, 4, 1, 0, 4, 8), ask(True, 4, 1, 0, 4, 8, True), ask(True, 2, 4, 0, 4, 8)] == [
+        "kModelNotLoaded", "kInvalidWorkerCount", "kInvalidQueueCapacity", "kInvalidTimeout", "kOversubscribed", "kOk", "kOk",
+    ]
+    df = spark.createDataFrame([("kOk", 1, False), ("kOk", 2, True), ("kRetryExhausted", 2, False)], "status string, attempts int, recovered boolean")
+    rows, seen = observed(df, "t")
+    assert rows.count() == 3 and seen.get == {"frames": 3, "succeeded": 2, "failed": 1, "retried": 2, "recovered": 1}
+    assert [termination(3, 2, 1, True), termination(3, 2, 0, True), termination(3, 3, 0, True), termination(0, 0, 0, False)] == ["kFailed", "kCancelled", "kSucceeded", "kSucceeded"]
