@@ -123,7 +123,7 @@ class Vocabulary:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, s: Settings) -> Iterator[pa.RecordBatch]:
-    v, row, top = vocabulary, TaskContext.get().partitionId() << 40, None
+    v, row = vocabulary, TaskContext.get().partitionId() << 40
     top = np.flatnonzero(v.symbol >= 0)
     frequent, rest = (v.hashes[top], top), (np.delete(v.hashes, top), np.delete(np.arange(len(v.hashes)), top))
     for part, texts in blocks(batches):
