@@ -35,8 +35,10 @@ def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
 
 def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One clip for each user: (clip, i, x)."""
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), i.cast("long").alias("i"), ((F.col("value") - 50) / 500).alias("x"))
+    # named before the window, so that its partitioning by clip holds for all that follows
+    named = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), "event_id", ((F.col("value") - 50) / 500).alias("x"))
+    i = F.row_number().over(Window.partitionBy("clip").orderBy("event_id")) - 1
+    return named.select("clip", i.cast("long").alias("i"), "x")
 
 
 PCM = "pcm AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, (value - 50) / 500 AS x FROM events)"
@@ -76,10 +78,11 @@ pts AS (SELECT image, label, k, e[2 * k + 1] * 100 + 100 AS px, e[2 * k + 2] * 1
 
 def video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as frames: (stream, n, arrival, pts)."""
-    by_user = Window.partitionBy("user_id")
-    n = F.row_number().over(by_user.orderBy("event_id")) - 1
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), n.cast("long").alias("n"), F.col("event_id").alias("arrival"), (us - F.min(us).over(by_user)).alias("pts"), "value")
+    named = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("arrival"), us.alias("us"), "value")
+    own = Window.partitionBy("stream")
+    n = F.row_number().over(own.orderBy("arrival")) - 1
+    return named.select("stream", n.cast("long").alias("n"), "arrival", (F.col("us") - F.min("us").over(own)).alias("pts"), "value")
 
 
 FRAMES = "frames AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, event_id AS arrival, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS pts, value FROM events)"
