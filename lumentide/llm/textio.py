@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 BLOCK_BYTES = 1 << 19
 
+#: bytes that are hashed at once
+_STRETCH = (1 << 20) - 2
+
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
@@ -82,7 +85,14 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return range_hashes(_BYTE[self.buf], self.starts, self.ends)
+        """A 64-bit hash of each word. A very long text is gone through in stretches, so that memory stays a few times its size."""
+        out, at = [np.zeros(0, np.uint64)], 0
+        while at < len(self.starts):
+            begin = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(self.ends, begin + _STRETCH, side="right")))
+            out.append(range_hashes(_BYTE[self.buf[begin : self.ends[to - 1]]], self.starts[at:to] - begin, self.ends[at:to] - begin))
+            at = to
+        return np.concatenate(out)
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
