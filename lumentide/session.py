@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +20,12 @@ def session(name: str = "lumentide", master: str | None = None, **more: str) ->
     if master:
         builder = builder.master(master)
     return builder.config(map={**SETTINGS, **more}).getOrCreate()
+
+
+def visible_to_workers(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, on machines that share that folder; elsewhere ship it with the job."""
+    here, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([here, *paths])
+    return spark
