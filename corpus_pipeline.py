@@ -17,6 +17,7 @@ from lumentide.llm.neardup import drop_near_duplicates
 from lumentide.llm.packing import crc_payload, pack
 from lumentide.llm.quality import quality_filter
 from lumentide.llm.shared import Shared
+from lumentide.session import visible_to_workers
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +46,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), payload=("ids_crc32", crc_payload, "long"))
 
 
+def _stage(f):
+    return lambda spark, docs, sf_dir: f(visible_to_workers(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("MinHash near-dedup", near_dedup),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("packing", packing),
+    ("quality rules", _stage(quality_rules)),
+    ("line dedup", _stage(line_dedup)),
+    ("MinHash near-dedup", _stage(near_dedup)),
+    ("benchmark decontamination", _stage(benchmark_decontamination)),
+    ("packing", _stage(packing)),
 ]
 
 #: Suffix arrays, similarity components, edit distances and tokenizers aren't SQL: tests hold the stages against brute force.

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from lumentide.llm.shared import Shared
 
 
+ROWS_A_FILE = 100_000
+
+
 def components(links: DataFrame, shared: Shared, name: str = "stars") -> DataFrame:
     """(id, component) for every node of ``links`` (a, b) but the smallest of each component, which is its component's name.
 
@@ -30,7 +33,9 @@ def components(links: DataFrame, shared: Shared, name: str = "stars") -> DataFra
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = shared.write(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}")
+        after = small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct()
+        # edges never grow, so a table of few rows needs few files
+        edges = shared.write(after.coalesce(1 + before[0] // ROWS_A_FILE), f"{name}-{turn}")
         shared.drop(f"{name}-{turn - 1}")
         after = _mark(edges)
         if after == before:

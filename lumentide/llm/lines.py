@@ -16,7 +16,7 @@ begin with two underscores. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.llm.neardup import band_keys, minima
-from lumentide.llm.neighbours import Similarity, bucket_rows, least_equal, linked_components, met, packed, part_count
+from lumentide.llm.neighbours import Buckets, Similarity, least_equal, linked_components, met, packed, part_count
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import binary_rows, blocks, mix, power_tables
 
@@ -102,17 +102,22 @@ def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator
             yield packed(docs[doc] * np.int64(_SPREAD), [h.ids[which], docs[doc], np.array(number, np.int64)], parts, parts)
 
 
-def _listed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _listed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
     """Rows (kind 1, id, document, line, 0, 0)."""
     _, i, doc, line = (pa.array(c) for c in table)
     none = pa.array(np.zeros(len(line), np.int64))
     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(line), np.int64)), i, doc, line, none, none], ["kind", *"abcde"])
 
 
-def _bucketed(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _bucketed() -> Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]:
     """Rows (kind 0, key, id, pivot, rank, top)."""
-    for batch in bucket_rows(table):
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int64)), *batch.columns], ["kind", *"abcde"])
+    part = Buckets()
+
+    def feed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        for batch in part.feed(table, last):
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int64)), *batch.columns], ["kind", *"abcde"])
+
+    return feed
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +156,7 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     shared, parts = Shared(docs.sparkSession, "lines"), part_count(docs.sparkSession)
     plain = docs.select(_number(F.col(id_col)).alias("doc"), F.col(text_col).alias("text"))
     read = plain.mapInArrow(lambda it: _read(it, settings, parts), "part long, data binary")
-    both = met(read, lambda part: 4 if part >= parts else 2, lambda part, table: _listed(table) if part >= parts else _bucketed(table), "kind long, " + ", ".join(f"{c} long" for c in "abcde"))
+    both = met(read, lambda part: 4 if part >= parts else 2, lambda part: _listed if part >= parts else _bucketed(), "kind long, " + ", ".join(f"{c} long" for c in "abcde"))
     both = shared.write(both, "lines")
     multi = both.where("kind = 0").selectExpr("a AS key", "b AS id", "c AS pivot", "d AS rank", "e AS top")
     listed = both.where("kind = 1").selectExpr("a AS id", "b AS doc", "c AS line")

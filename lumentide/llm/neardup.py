@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumentide.llm.neighbours import BAND_BITS, Similarity, buckets, least_equal, linked_components, packed, part_count
 from lumentide.llm.shared import Shared
-from lumentide.llm.textio import Words, binary_rows, blocks, inside, list_array, mix, ngram_hashes
+from lumentide.llm.textio import Words, binary_rows, blocks, list_array, mix, ngram_hashes
 
 
 @dataclass(frozen=True)

@@ -72,20 +72,32 @@ def part_count(spark) -> int:
     return 4 * partitions(spark)
 
 
-def met(rows: DataFrame, width: Callable[[int], int], give: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Deals rows (part, data) of ``packed`` by part and hands each part as a table of ``width(part)`` rows to ``give``."""
+#: numbers of a part that are held at once, 128 MB
+HELD = 1 << 24
+
+
+def met(rows: DataFrame, width: Callable[[int], int], make: Callable[[int], Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]], schema: str, held: int = HELD) -> DataFrame:
+    """Deals rows (part, data) of ``packed`` by part and feeds each part to what ``make(part)`` gives, as tables of ``width(part)`` rows.
+
+    A part is mostly one table; one that a hot key swells comes in pieces of ``held``
+    numbers, and the second argument tells the last piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, feed, tables, size = None, None, [], 0
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part != current and held:
-                    yield from give(current, np.concatenate(held, axis=1))
-                    held = []
-                current = part
-                held.append(np.frombuffer(data, np.int64).reshape(width(part), -1))
-        if held:
-            yield from give(current, np.concatenate(held, axis=1))
+                if part != current:
+                    if tables:
+                        yield from feed(np.concatenate(tables, axis=1), True)
+                    current, feed, tables, size = part, make(part), [], 0
+                elif size >= held:
+                    yield from feed(np.concatenate(tables, axis=1), False)
+                    tables, size = [], 0
+                tables.append(np.frombuffer(data, np.int64).reshape(width(part), -1))
+                size += tables[-1].size
+        if tables:
+            yield from feed(np.concatenate(tables, axis=1), True)
 
     return rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
@@ -93,30 +105,62 @@ def met(rows: DataFrame, width: Callable[[int], int], give: Callable[[int, np.nd
 BUCKETS = "key long, id long, pivot long, rank long, top long"
 
 
-def buckets(keys: DataFrame) -> DataFrame:
-    """(key, id, pivot, rank, top) of all rows of keys that two ids or more have. ``keys``: part, data, as of ``packed`` with the ids as column."""
-    return met(keys, lambda part: 2, lambda part, table: bucket_rows(table), BUCKETS)
-
-
-def bucket_rows(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    k, i = table
-    order = np.argsort(k)
-    k, i = k[order], i[order]
-    heads = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
-    counts = np.diff(np.append(heads, len(k)))
-    many = np.repeat(counts > 1, counts)
-    k, i = k[many], i[many]  # mostly few rows from here on
-    order = np.lexsort((i, k))
-    k, i = k[order], i[order]
-    fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))[: len(k)]
-    k, i = k[fresh], i[fresh]  # one id from several blocks is one row
-    heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
-    counts = np.diff(np.append(heads, len(k)))
-    pivots, ranks = np.repeat(i[heads], counts), np.arange(len(k)) - np.repeat(heads, counts)
-    tops = np.repeat(counts - 1, counts)
-    give = tops > 0
-    if give.any():
-        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (k, i, pivots, ranks, tops)], ["key", "id", "pivot", "rank", "top"])
+def buckets(keys: DataFrame, held: int = HELD) -> DataFrame:
+    """(key, id, pivot, rank, top) of all rows of keys that two ids or more have. ``keys``: part, data, as of ``packed`` with the ids as column.
+
+    ``top`` is the bucket's last rank, or -1 where a part came in pieces and it wasn't known yet.
+    """
+    return met(keys, lambda part: 2, lambda part: Buckets().feed, BUCKETS, held)
+
+
+class Buckets:
+    """The buckets of one part. Between pieces only each key's pivot and size are kept."""
+
+    def __init__(self):
+        self.keys = self.pivots = self.sizes = None
+
+    def feed(self, table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        k, i = table
+        first = self.keys is None
+        if first and last:  # most rows are alone with their key, and go before the finer sort
+            order = np.argsort(k)
+            k, i = k[order], i[order]
+            same = k[1:] == k[:-1]
+            many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            k, i = k[many], i[many]
+        order = np.lexsort((i, k))
+        k, i = k[order], i[order]
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))[: len(k)]
+        k, i = k[fresh], i[fresh]  # one id from several blocks is one row
+        if not len(k):
+            return
+        heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        counts = np.diff(np.append(heads, len(k)))
+        keys, pivots, before = k[heads], i[heads].copy(), np.zeros(len(heads), np.int64)
+        if not first:
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            seen = self.keys[at] == keys
+            pivots[seen], before[seen] = self.pivots[at[seen]], self.sizes[at[seen]]
+            # pivots that were alone till now
+            alone = seen & (before == 1)
+            if alone.any():
+                none = np.zeros(int(alone.sum()), np.int64)
+                yield self._rows(keys[alone], pivots[alone], pivots[alone], none, none - 1)
+        ranks = np.arange(len(k)) - np.repeat(heads - before, counts)
+        tops = np.repeat(counts + before - 1, counts)
+        give = (tops > 0) & ((i != np.repeat(pivots, counts)) | (np.repeat(before, counts) == 0))
+        if give.any():
+            yield self._rows(k[give], i[give], np.repeat(pivots, counts)[give], ranks[give], tops[give] if first and last else np.full(int(give.sum()), -1))
+        if not last:
+            known = [] if first else [(self.keys, self.pivots, self.sizes)]
+            every, p, n = (np.concatenate(c) for c in zip(*known, (keys, pivots, counts), strict=True))
+            order = np.argsort(every, kind="stable")
+            heads = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
+            self.keys, self.pivots, self.sizes = every[order][heads], p[order][heads], np.add.reduceat(n[order], heads)
+
+    @staticmethod
+    def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "pivot", "rank", "top"])
 
 
 def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, texts: list[bytes | None], how: Similarity) -> list[tuple[int, int]]:
@@ -229,13 +273,17 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
     """
     count = partitions(multi.sparkSession)
     items = shared.write(describe(multi.select("id").distinct()), "items")
-    pairs = multi.where("rank > 0").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    pairs = multi.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     pairs = pairs.join(items.toDF("b", "sig_b", "text_b"), "b").join(items.toDF("a", "sig_a", "text_a"), "a")
     links = shared.write(pairs.mapInArrow(lambda it: _confirm(it, how), "a long, b long"), "links")
     stars = components(links, shared, "stars")
     shared.drop("links")
 
     wide = multi.where("top > 1")  # of a bucket of two, the one pair has been looked at
+    open_ = multi.where("top < 0")
+    if not open_.isEmpty():
+        tops = open_.groupBy("key").agg(F.max("rank").alias("top")).where("top > 1")
+        wide = wide.unionByName(open_.drop("top").join(tops, "key"))
     wide = wide.join(stars, "id", "left").select("key", "id", "rank", "top", F.coalesce("component", "id").alias("component"))
     wide = shared.write(wide, "wide")
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")

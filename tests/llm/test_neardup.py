@@ -123,3 +123,31 @@ def test_cross_links_join_what_all_pairs_join(two):
     assert joined(got) == joined(every)
     assert len(got) < len(set(groups.tolist()))
     assert _cross_links(1, ids, groups, blocks, sigs, texts, HOW) == []  # all pairs share band 0 already
+
+
+def test_buckets_in_pieces(spark):
+    """A part that comes in pieces gives the same buckets, with one pivot each."""
+    rng = np.random.default_rng(4)
+    keys, ids = rng.integers(0, 60, 500), rng.integers(0, 200, 500)
+    rows = [r for at in range(0, 500, 25) for r in packed(keys[at : at + 25], [ids[at : at + 25]], 2).to_pylist()]
+    df = spark.createDataFrame([(r["part"], bytearray(r["data"])) for r in rows], "part long, data binary")
+    want = {}
+    for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
+        want.setdefault(k, set()).add(i)
+    want = {k: v for k, v in want.items() if len(v) > 1}
+    for held in (1 << 24, 60):
+        got, pivots = {}, {}
+        for r in buckets(df, held).collect():
+            got.setdefault(r["key"], set()).add(r["id"])
+            pivots.setdefault(r["key"], set()).add(r["pivot"])
+            assert (r["top"] < 0) == (held == 60) or len(want[r["key"]]) > r["top"]
+        assert got == want and all(len(p) == 1 and p <= got[k] for k, p in pivots.items())
+
+
+def test_components_from_pieces(spark):
+    items = spark.createDataFrame([(i, bytearray(b"abcd"), f"k l m n{i % 7}") for i in range(40)], "id long, sig binary, text string")
+    rows = [r for at in range(0, 40, 4) for r in packed(np.zeros(4, np.int64), [np.arange(at, at + 4)], 8).to_pylist()]
+    keys = spark.createDataFrame([(r["part"], bytearray(r["data"])) for r in rows], "part long, data binary")
+    for held in (1 << 24, 20):
+        stars = linked_components(buckets(keys, held), lambda ids: items.join(ids, "id"), HOW, Shared(spark, "t"))
+        assert {r["id"]: r["component"] for r in stars.collect()} == {i: 0 for i in range(1, 40)}
