@@ -121,10 +121,14 @@ def _bucketed() -> Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]:
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, line) of the numbered lines of each text. Input: text, wanted (array of line, id)."""
+    """Rows (id, line) of the numbered lines of each document. Input: doc, text, wanted (array of line, id); rows of one document are in one task, and the first of them is enough."""
+    seen: set[int] = set()
     for batch in batches:
         ids, lines = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if doc in seen:
+                continue
+            seen.add(doc)
             own = split_lines(text)
             for w in wanted:
                 ids.append(w["id"])
@@ -167,9 +171,8 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
         places = firsts.join(ids, "id", "left_semi").select("doc", F.struct("line", "id").alias("want"))
         wanted = places.groupBy("doc").agg(F.collect_list("want").alias("wanted"))
         # by hash, so that texts needn't be sorted; the other side has a short row for a document at most
-        rows = plain.join(wanted.hint("shuffle_hash"), "doc").select("text", "wanted")
-        picked = rows.mapInArrow(_picked, "id long, line string").dropDuplicates(["id"])
-        return picked.mapInArrow(lambda it: _signed(it, settings), "id long, sig binary, text string")
+        rows = plain.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
+        return rows.mapInArrow(lambda it: _signed(_picked(it), settings), "id long, sig binary, text string")
 
     how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
     stars = linked_components(multi, describe, how, shared)
