@@ -3,14 +3,17 @@
 The embedding walks over a word sequence: at step j it writes the word it stands on and
 moves on by a random bit of (j, word). Two sequences of small edit distance fall into step
 again after each edit, so their walks differ in few places, and sampling a few steps is a
-locality-sensitive hash for edit distance. Items and item-sized windows are embedded with
-the same bits, several times over; windows that agree with an item in any sample are
-aligned with it and kept if the word edit distance is within ``max_rate`` of the item's
-words.
-
-Windows are embedded only where a true match can begin: each edit breaks at most two
-pairs of neighbouring words, so a window with fewer of the items' pairs than an item of
-its class must keep can't match. That filter loses nothing.
+locality-sensitive hash for edit distance. As walks drift apart with the number of edits,
+items are cut into so many pieces that one of them has at most ``piece_edits`` edits
+wherever the edits of a match are. Pieces and piece-sized windows are embedded with the
+same bits, several times over; where a window agrees with a piece in any sample, the
+text about it is aligned with the whole item and kept if the word edit distance is within
+``max_rate`` of the item's words.
+
+Windows are embedded only where such a piece can begin: each edit breaks at most two
+pairs of neighbouring words, so a window with fewer of the items' pairs than a piece of
+its class must keep can't match, nor can a text with fewer of an item's pairs than the
+item must keep. These filters lose nothing.
 
 Words are lower-case runs of ASCII letters and digits and of bytes outside ASCII.
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,50 +39,55 @@ from lumentide.llm.textio import Words, blocks, mix, ngram_hashes
 
 _AS_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _PAD = np.uint64(0)
+_NONE = np.zeros(0, np.uint64)
 
 
 @dataclass(frozen=True)
 class Leaks:
-    """``max_rate``: word edits to an item's words. ``walks`` x ``samples`` hashes of ``width`` steps reach the recall that the tests measure."""
+    """``max_rate``: word edits to an item's words. ``walks`` x ``samples`` hashes of ``width`` steps find a piece of at most ``piece_edits`` edits with the recall that the tests measure."""
 
     max_rate: float = 0.2
     exact_below: int = 8
     walks: int = 8
     samples: int = 6
     width: int = 3
+    piece_edits: int = 2
     class_ratio: float = 1.15
     items_at_once: int = 20_000
 
     def edits(self, n: int) -> int:
         return int(self.max_rate * n) if n >= self.exact_below else 0
 
+    def pieces(self, n: int) -> int:
+        return self.edits(n) // (self.piece_edits + 1) + 1
+
 
 def match_words(texts: list[bytes | None]) -> Words:
     return Words([t.translate(_AS_SPACE) if t else t for t in texts], lower=True)
 
 
 class _Class:
-    """Items of about one length, with the keys of their embeddings."""
+    """Pieces of about one length, with the keys of their embeddings. ``pieces``: their numbers; ``words`` and ``edits``: of all pieces."""
 
-    def __init__(self, least: int, items: list[int], words: list[np.ndarray], settings: Leaks, seed: int):
-        self.items, self.least = np.array(items), least
-        sizes = [len(words[i]) for i in items]
-        self.window = max(n + settings.edits(n) for n in sizes)
+    def __init__(self, least: int, pieces: list[int], words: list[np.ndarray], edits: list[int], settings: Leaks, seed: int):
+        self.pieces, self.least = np.array(pieces), least
+        sizes = [len(words[i]) for i in pieces]
+        self.window = max(len(words[i]) + edits[i] for i in pieces)
         self.pairs = least > 2
-        self.needed = min(n - 1 - 2 * settings.edits(n) if self.pairs else n for n in sizes)
+        self.needed = min(len(words[i]) - 1 - 2 * edits[i] if self.pairs else len(words[i]) for i in pieces)
         rng = np.random.Generator(np.random.PCG64(seed))
         self.steps = max(2 * least, 1)
         self.bits = rng.integers(0, 1 << 63, (settings.walks, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        # a sample is of the steps that lie within the shortest item
+        # a sample is of the steps that lie within the shortest piece
         self.chosen = [[sorted(rng.choice(self.steps, min(settings.width, self.steps), replace=False).tolist()) for _ in range(settings.samples)] for _ in range(settings.walks)]
         self.factors = rng.integers(0, 1 << 63, self.steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        flat = np.concatenate([words[i] for i in items])
+        flat = np.concatenate([words[i] for i in pieces])
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         keys = self.embed(flat, bounds[:-1], bounds[1:])
         self.tables = []
         for column in keys:
             order = np.argsort(column, kind="stable")
-            self.tables.append((column[order], self.items[order]))
+            self.tables.append((column[order], self.pieces[order]))
 
     def embed(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Sample keys of the sequences words[start:end], one row for each walk and sample."""
@@ -95,46 +104,54 @@ class _Class:
         return mix(out)
 
     def candidates(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a start, item) pairs that agree in a sample."""
+        """(index of a start, piece) pairs that agree in a sample."""
         found = []
-        for (keys, items), column in zip(self.tables, self.embed(words, starts, ends), strict=True):
+        for (keys, pieces), column in zip(self.tables, self.embed(words, starts, ends), strict=True):
             lo, hi = np.searchsorted(keys, column, "left"), np.searchsorted(keys, column, "right")
             hit = np.flatnonzero(hi > lo)
             size = (hi - lo)[hit]
             who = np.repeat(hit, size)
             which = np.repeat(lo[hit] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            found.append((who, items[which]))
+            found.append((who, pieces[which]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 class LeakIndex:
-    """Bounded state that each worker holds: items by length class, and all their pairs of words."""
+    """Bounded state that each worker holds: the items' pieces by length class, and all their pairs of words."""
 
     def __init__(self, texts: list[bytes | None], settings: Leaks):
         self.settings = settings
         w = match_words(texts)
         hashes = w.hashes()
         self.words = [hashes[b:e] for b, e in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)]
-        by_size: dict[int, list[int]] = {}
+        pieces, edits, item, offset = [], [], [], []
+        by_size: dict[tuple[bool, int], list[int]] = {}
         for i, x in enumerate(self.words):
-            if len(x):
-                by_size.setdefault(len(x), []).append(i)
+            parts = settings.pieces(len(x))
+            cuts = [len(x) * k // parts for k in range(parts + 1)]
+            for begin, end in pairwise(cuts) if len(x) else ():
+                by_size.setdefault((len(x) >= settings.exact_below, end - begin), []).append(len(pieces))
+                pieces.append(x[begin:end])
+                edits.append(settings.edits(len(x)) // parts)
+                item.append(i)
+                offset.append(begin)
+        self.item, self.offset = np.array(item, np.int64), np.array(offset, np.int64)
         self.classes, group = [], []
-        for n in sorted(by_size):
-            if group and (n > group[0] * settings.class_ratio or (group[0] < settings.exact_below) != (n < settings.exact_below) or n <= 3):
-                self._close(group, by_size)
+        for loose, n in sorted(by_size):
+            if group and (n > group[0][1] * settings.class_ratio or group[0][0] != loose or n <= 3):
+                self._close(group, by_size, pieces, edits)
                 group = []
-            group.append(n)
+            group.append((loose, n))
         if group:
-            self._close(group, by_size)
-        pairs = [ngram_hashes(x, 2) for x in self.words if len(x) > 2]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+            self._close(group, by_size, pieces, edits)
+        self.own_pairs = [ngram_hashes(x, 2) if len(x) > 2 else _NONE for x in self.words]
+        self.pairs = np.unique(np.concatenate([_NONE, *self.own_pairs]))
         ones = [x for x in self.words if 0 < len(x) <= 2]
         self.ones = np.unique(np.concatenate(ones)) if ones else np.zeros(0, np.uint64)
         self.maps = [self._map(self.pairs), self._map(self.ones)]
 
-    def _close(self, sizes: list[int], by_size: dict[int, list[int]]) -> None:
-        self.classes.append(_Class(sizes[0], [i for n in sizes for i in by_size[n]], self.words, self.settings, 7919 + sizes[0]))
+    def _close(self, sizes: list[tuple[bool, int]], by_size: dict[tuple[bool, int], list[int]], pieces: list[np.ndarray], edits: list[int]) -> None:
+        self.classes.append(_Class(sizes[0][1], [i for n in sizes for i in by_size[n]], pieces, edits, self.settings, 7919 + sizes[0][1]))
 
     @staticmethod
     def _map(keys: np.ndarray) -> np.ndarray:
@@ -159,9 +176,9 @@ class LeakIndex:
             return empty
         words, owner = w.hashes(), w.owner()
         ends = w.bounds[1:][owner]
-        sums = {}
+        sums, of_pairs = {}, np.append(ngram_hashes(words, 2), _PAD)
         for pairs, keys, seen in ((True, self.pairs, self.maps[0]), (False, self.ones, self.maps[1])):
-            values = np.append(ngram_hashes(words, 2), _PAD) if pairs else words
+            values = of_pairs if pairs else words
             hit = self._known(values, keys, seen)
             if pairs:
                 hit[ends[:n] - 1 == np.arange(n)] = False  # the pair would leave its document
@@ -178,8 +195,8 @@ class LeakIndex:
             who, which = c.candidates(words, starts, ends[starts])
             if len(who):
                 doc.append(owner[starts[who]])
-                item.append(which)
-                start.append(starts[who])
+                item.append(self.item[which])
+                start.append(starts[who] - self.offset[which])  # about where the item begins
         if not doc:
             return empty
         table = np.unique(np.stack([np.concatenate(doc), np.concatenate(item), np.concatenate(start)], 1), axis=0)
@@ -194,6 +211,8 @@ class LeakIndex:
             pattern, most = self.words[i], self.settings.edits(len(self.words[i]))
             lo = max(int(w.bounds[d]), int(table[h, 2]) - len(pattern))
             hi = min(int(w.bounds[d + 1]), int(table[t, 2]) + 2 * len(pattern) + most)
+            if len(pattern) > 2 and np.isin(of_pairs[lo : hi - 1], self.own_pairs[i]).sum() < len(pattern) - 1 - 2 * most:
+                continue
             if np.isin(words[lo:hi], pattern).sum() < len(pattern) - most:
                 continue  # each of an item's words that the run lacks is an edit
             edits, begin, end = best_match(pattern, words[lo:hi])

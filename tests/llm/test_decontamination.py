@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from lumentide.llm.decontamination import LeakIndex, Leaks, best_match, decontaminate, find_leaks, match_words
 
@@ -87,6 +88,25 @@ def test_recall_at_the_threshold():
     assert found >= 0.98 * len(items)
 
 
+@pytest.mark.parametrize("n", [16, 20, 30, 55, 100, 200, 500])
+@pytest.mark.parametrize("even", [False, True])
+def test_recall_of_each_kind_of_edit_by_length(n, even):
+    """Exactly int(0.2 n) edits, at random or evenly spread: substitutions, insertions, deletions."""
+    rnd, trials, s = random.Random(n), 40 if n < 200 else 12, Leaks()
+    items = [[f"v{int(rnd.expovariate(0.0005))}" for _ in range(n)] for _ in range(trials)]
+    index, most = LeakIndex([" ".join(t).encode() for t in items], s), s.edits(n)
+    around = " ".join(f"b{k}" for k in range(40))
+    for kind in ("substitute", "insert", "delete"):
+        docs = []
+        for t in items:
+            at = [(2 * k + 1) * n // (2 * most) for k in range(most)] if even else sorted(rnd.sample(range(n), most))
+            w = [[] if k in at and kind == "delete" else [f"z{rnd.randrange(10**6)}"] if k in at and kind == "substitute" else [f"z{k}", x] if k in at else [x] for k, x in enumerate(t)]
+            docs.append(f"{around} {' '.join(sum(w, []))} {around}".encode())
+        doc, item, *_ = index.search(docs)
+        found = {int(d) for d, i in zip(doc, item, strict=True) if d == i}
+        assert len(found) >= 0.97 * trials, (kind, len(found) / trials)
+
+
 def test_best_match():
     rng = np.random.default_rng(0)
     for _ in range(200):
