@@ -141,8 +141,9 @@ def _signed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.Record
         h = LineHashes([x.decode() for x in lines], s.shingle)
         mins = h.minima(s.sketch, s.seed)
         sigs = (mix(mins.astype(np.uint64).ravel()).reshape(mins.shape) >> np.uint64(56)).astype(np.uint8).T
+        keys = band_keys(mins[: s.bands * s.rows], s.bands, s.rows)
         names = part.schema.get_field_index
-        yield pa.RecordBatch.from_arrays([part.column(names("id")), binary_rows(sigs), part.column(names("line"))], ["id", "sig", "text"])
+        yield pa.RecordBatch.from_arrays([part.column(names("id")), binary_rows(keys), binary_rows(sigs), part.column(names("line"))], ["id", "keys", "sig", "text"])
 
 
 def line_sets(lines: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +173,7 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
         wanted = places.groupBy("doc").agg(F.collect_list("want").alias("wanted"))
         # by hash, so that texts needn't be sorted; the other side has a short row for a document at most
         rows = plain.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
-        return rows.mapInArrow(lambda it: _signed(_picked(it), settings), "id long, sig binary, text string")
+        return rows.mapInArrow(lambda it: _signed(_picked(it), settings), "id long, keys binary, sig binary, text string")
 
     how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
     stars = linked_components(multi, describe, how, shared)

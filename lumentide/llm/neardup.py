@@ -113,6 +113,14 @@ def _packed_keys(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
         yield packed(lists.flatten().to_numpy(), [np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())], parts)
 
 
+def _key_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of keys, all of one length, as bytes."""
+    for batch in batches:
+        if len(batch):
+            keys = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(np.ascontiguousarray(keys).view(np.uint8)), batch.column(2)], ["id", "keys", "sig"])
+
+
 def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_shingles, component (smallest id reachable), kept. Ids are integers."""
     shared = Shared(docs.sparkSession, "neardup")
@@ -126,7 +134,7 @@ def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str
     shared.drop("signed")
     parts = part_count(docs.sparkSession)
     keys = own.select("id", "keys").mapInArrow(lambda it: _packed_keys(it, parts), "part long, data binary")
-    sigs = own.select("id", "sig")
+    sigs = own.select("id", "keys", "sig").mapInArrow(_key_bytes, "id long, keys binary, sig binary")
 
     def describe(ids: DataFrame) -> DataFrame:
         return sigs.join(ids, "id").join(plain, "id").dropDuplicates(["id"])

@@ -163,14 +163,16 @@ class Buckets:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "pivot", "rank", "top"])
 
 
-def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, texts: list[bytes | None], how: Similarity) -> list[tuple[int, int]]:
-    """Confirmed links that join different groups; if there are two blocks, of pairs of both."""
+def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, texts: list[bytes | None], how: Similarity, keys: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Confirmed links that join different groups; if there are two blocks, of pairs of both. ``keys``: a column for each band; without them the bands are of signature bytes."""
     values, inverse, counts = np.unique(groups, return_inverse=True, return_counts=True)
     if len(values) < 2:
         return []
     two, largest = blocks.min() != blocks.max(), inverse == np.argmax(counts)
     order = np.argsort(largest, kind="stable")  # the largest group is last, and asks nothing
     ids, inverse, blocks, sigs, texts = ids[order], inverse[order], blocks[order], sigs[order], [texts[i] for i in order.tolist()]
+    if keys is not None:
+        keys = keys[order]
     band, asking, found = key & ((1 << BAND_BITS) - 1), int((~largest).sum()), []
     step = max(1, _AT_ONCE // max(1, sigs.size))
     for at in range(0, asking, step):
@@ -183,8 +185,12 @@ def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarr
             alike &= blocks[own, None] != blocks[None, rest]
         x, y = np.nonzero(alike)
         if len(x):
-            shared = same[x, y, : how.bands * how.rows].reshape(len(x), how.bands, how.rows).all(-1)
-            now = ~shared[:, :band].any(1)  # else an earlier band's bucket has the pair
+            # bytes may agree where minima don't, so where there are keys they tell which buckets have the pair
+            if keys is None:
+                shared = same[x, y, : band * how.rows].reshape(len(x), band, how.rows).all(-1).any(1)
+            else:
+                shared = _any_equal(keys[:, :band], x + at, y + at + 1)
+            now = ~shared  # else an earlier band's bucket has the pair
             found.append(np.stack([score[x, y], x + at, y + at + 1], 1)[now])
     if not found:
         return []
@@ -209,6 +215,14 @@ def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarr
     return links
 
 
+def _any_equal(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, whether they agree in a column; column by column, as there can be many pairs."""
+    out = np.zeros(len(x), bool)
+    for column in keys.T:
+        out |= column[x] == column[y]
+    return out
+
+
 def _across(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     """Streams rows sorted by (key, one, other); a group has at most two blocks, and only one is held."""
     current, rows = None, []
@@ -224,7 +238,7 @@ def _across(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.R
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "one", "other", "id", "component", "block", "sig", "text")]
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "one", "other", "id", "component", "block", "sig", "keys", "text")]
         columns[-1] = columns[-1].cast(pa.large_binary())
         for key, one, other, *row in zip(*(c.to_pylist() for c in columns), strict=True):
             yield (key, one, other), row
@@ -233,7 +247,8 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]
 def _linked(key: int, rows: list, how: Similarity) -> Iterator[pa.RecordBatch]:
     ids, groups, blocks = (np.array([r[k] for r in rows], np.int64) for k in range(3))
     sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-    if links := _cross_links(key, ids, groups, blocks, sigs, [r[4] for r in rows], how):
+    keys = None if rows[0][4] is None else np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), -1)
+    if links := _cross_links(key, ids, groups, blocks, sigs, [r[5] for r in rows], how, keys):
         a, b = zip(*(sorted(x) for x in links), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -269,12 +284,16 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
     """(id, component) of all ids that are linked with another, but the components' smallest.
 
     ``multi``: a table of ``buckets``' rows. ``describe``: takes the ids (id) that matter, and gives id, sig
-    (binary of one width) and text of each.
+    (binary of one width) and text of each, and keys (its key of each band, 8 bytes each) unless the bands are of
+    the signature's bytes themselves.
     """
     count = partitions(multi.sparkSession)
-    items = shared.write(describe(multi.select("id").distinct()), "items")
+    items = describe(multi.select("id").distinct())
+    keys = F.col("keys") if "keys" in items.columns else F.lit(None).cast("binary").alias("keys")
+    items = shared.write(items.select("id", "sig", keys, "text"), "items")
+    signed = items.drop("keys")
     pairs = multi.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    pairs = pairs.join(items.toDF("b", "sig_b", "text_b"), "b").join(items.toDF("a", "sig_a", "text_a"), "a")
+    pairs = pairs.join(signed.toDF("b", "sig_b", "text_b"), "b").join(signed.toDF("a", "sig_a", "text_a"), "a")
     links = shared.write(pairs.mapInArrow(lambda it: _confirm(it, how), "a long, b long"), "links")
     stars = components(links, shared, "stars")
     shared.drop("links")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumentide.llm.components import components
-from lumentide.llm.neardup import NearDup, drop_near_duplicates, near_duplicates, shingle_sets
+from lumentide.llm.neardup import NearDup, band_keys, drop_near_duplicates, minima, near_duplicates, shingle_sets
 from lumentide.llm.neighbours import Similarity, _cross_links, buckets, linked_components, packed
 from lumentide.llm.shared import Shared
 
@@ -95,6 +95,37 @@ def test_link_that_no_pivot_has_is_found(spark):
     assert [tuple(r) for r in stars.collect()] == [(3, 2)]
 
 
+def test_link_is_kept_where_only_signature_bytes_meet_earlier(spark):
+    """The linked pair has one byte, but not one key, in band 0, so only the bucket of band 1 has it."""
+    rows = packed(np.ones(4, np.int64), [np.array([1, 3, 2, 2])], 8).to_pylist()
+    keys = spark.createDataFrame([(r["part"], bytearray(r["data"])) for r in rows], "part long, data binary")
+    of_bands = {i: bytearray(np.array([100 + i, 1, 200 + i, 300 + i], np.int64).tobytes()) for i in (1, 2, 3)}
+    items = spark.createDataFrame([(1, of_bands[1], bytearray(b"xbyz"), "p q r"), (2, of_bands[2], bytearray(b"abyz"), "k l m"), (3, of_bands[3], bytearray(b"abcd"), "k l m n")], "id long, keys binary, sig binary, text string")
+    stars = linked_components(buckets(keys), lambda ids: items.join(ids, "id"), HOW, Shared(spark, "t"))
+    assert [tuple(r) for r in stars.collect()] == [(3, 2)]
+
+
+def test_keys_and_not_bytes_tell_the_first_shared_band():
+    """Real minima: each linked pair is confirmed in exactly the first band whose key both have, also if the bytes of an earlier one agree."""
+    rng, pairs = np.random.default_rng(2), 300
+    sets = [np.unique(rng.integers(0, 1 << 62, 40, dtype=np.uint64)) for _ in range(pairs)]
+    flat = [x for s in sets for x in (s, np.unique(np.append(s[4:], rng.integers(0, 1 << 62, 2, dtype=np.uint64))))]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in flat])))
+    mins = minima(np.concatenate(flat), bounds, 32, 1)
+    keys, sigs = band_keys(mins, 32, 1).view(np.int64), (mins.T & np.uint64(3)).astype(np.uint8)  # bytes of two bits collide often
+    how = Similarity(lambda texts: (np.concatenate([flat[0][:0], *(flat[int(t)] for t in texts)]), np.concatenate(([0], np.cumsum([len(flat[int(t)]) for t in texts])))), 80, 32, 1, 0)
+    seen = collided = 0
+    for p in range(pairs):
+        x, y = 2 * p, 2 * p + 1
+        same = np.flatnonzero(keys[x] == keys[y])
+        if len(same) and how.linked(flat[x], flat[y]):
+            seen += 1
+            collided += int(np.flatnonzero(sigs[x] == sigs[y])[0]) < int(same[0])
+            args = np.array([x, y]), np.array([x, y]), np.zeros(2, np.int64), sigs[[x, y]], [str(x).encode(), str(y).encode()], how, keys[[x, y]]
+            assert [len(_cross_links(int(b), *args)) for b in same[:2]] == [1, 0][: len(same)]
+    assert seen > 200 and collided > 0
+
+
 @pytest.mark.parametrize("two", [False, True])
 def test_cross_links_join_what_all_pairs_join(two):
     rng = np.random.default_rng(int(two))
