@@ -4,6 +4,7 @@ Labelled page outcomes (bad or not) are counted by host, registered domain and s
 Each level shrinks towards the one above it: a unit with k bad of n pages has the
 beta-binomial mean (k + m p) / (n + m), where p is its parent's mean and m, the strength
 of that level's prior, follows by moments from how much units differ from their parents.
+A unit without outcomes has n = k = 0, so its parent's mean with the prior's strength.
 A host is blocked where even the lower posterior bound of its bad share is over the
 limit. Explicit rules come first; the longest that fits wins.
 
@@ -73,8 +74,13 @@ def _rho(units: DataFrame, prior: str, settings: Reputation) -> float:
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, settings: Reputation = Reputation()) -> DataFrame:
     """One row for each labelled host: host, n, k, mean, bound. ``pages``: page_id, host; ``outcomes``: page_id, bad (0, 1 or null)."""
-    known = pages.join(outcomes.where(F.col("bad").isNotNull()), "page_id")
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    return every_reputation(pages, outcomes, settings).where("n > 0")
+
+
+def every_reputation(pages: DataFrame, outcomes: DataFrame, settings: Reputation = Reputation()) -> DataFrame:
+    """As ``host_reputation``, with a row for each host of ``pages``; without outcomes n and k are 0."""
+    known = pages.join(outcomes.where(F.col("bad").isNotNull()), "page_id", "left")
+    hosts = known.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -94,9 +100,9 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, settings: Reputation
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), settings: Reputation = Reputation()) -> DataFrame:
-    """One row for each page: page_id, host, path, rule, verdict, bound (null for a host without outcomes)."""
+    """One row for each page: page_id, host, path, rule, verdict, bound."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    reputation = host_reputation(parts.select("page_id", "host"), outcomes, settings)
+    reputation = every_reputation(parts.select("page_id", "host"), outcomes, settings)
     verdicts = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)]) if rules else F.lit(None).cast("map<string,string>")
     judged = parts.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).join(reputation.select("host", "bound"), "host", "left")
     method = F.when(F.col("bound") > settings.limit, "block").otherwise("allow")

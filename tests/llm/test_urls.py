@@ -40,6 +40,15 @@ def test_shrinkage(spark):
     assert verdict["a.bad.com"] == "block" and verdict["a.good.com"] == "allow" and verdict["solo.org"] == "allow" and verdict["new.com"] == "allow"
 
 
+def test_host_without_outcomes_has_its_domains_reputation(spark):
+    rows = [(i, f"http://a.bad.com/{i}", "h", "c") for i in range(100)] + [(100 + i, f"http://a.good.com/{i}", "h", "c") for i in range(100)]
+    found = spark.createDataFrame([(i, int(i < 100)) for i in range(200)], OUTCOMES)
+    rows += [(900, "http://m.bad.com/", "h", "c"), (901, "http://m.good.com/", "h", "c"), (902, "http://m.new.com/", "h", "c"), (903, "http://x.org/", "h", "c")]
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(rows, PAGES), found).where("page_id >= 900").collect()}
+    assert {k: r["verdict"] for k, r in got.items()} == {900: "block", 901: "allow", 902: "allow", 903: "allow"}
+    assert got[900]["bound"] > 0.5 > got[902]["bound"] > got[901]["bound"]
+
+
 def test_means_by_hand(spark):
     """Two levels without any spread: every mean is shrunk with the strength of the least correlation."""
     rows = [(i, f"http://h{i % 2}.d.com/", "h", "c") for i in range(8)]
