@@ -6,18 +6,21 @@ has its smoothed share of the class, with one slot for words never seen. Latent
 emit symbols, so the model is a proper distribution over texts of known and unknown
 words, ended by one end token.
 
-Training starts from a few rounds on a bounded sample (``start_docs`` training documents,
-those of least hash), then runs ``rounds`` of Baum-Welch over every training document:
-each task adds up expected counts, Spark sums them by symbol, and only sums as large as
-the model come back. For training alone documents are cut into stretches of ``stretch`` tokens.
-Scores take whole documents.
+Baum-Welch starts from sticky random states. First rounds take one in ``start_share`` of
+the training documents, chosen by a hash of id and content and of any length, so the
+share grows with the corpus; then come rounds over every training document, ``rounds`` at
+most, until one gains less than ``settled`` a token. In each round tasks add up expected
+counts of whole documents, Spark sums them by symbol, and only sums as large as the model
+come back. Of a document's forward variables one step in ``_STRIDE`` is held, and those
+between are computed again on the way back, so a very long text needs little memory.
 
 Sizes sent to executors are bounded by ``symbols`` and ``known_words``; counts of rarer words
 meet their tokens in a join.
 
-Cases: a null or empty text is its end token. A null id trains. Repeated rows are scored
-each. With no training documents every word is unknown. Very long texts are one
-sequence. Extra columns are ignored; an empty table gives an empty result.
+Cases: a null or empty text is its end token. A null id is never held out, and trains.
+Repeated rows train and are scored each. With no training documents every word is
+unknown. Very long texts are one sequence, whose steps follow each other in one task.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,14 @@ from pyspark.sql import functions as F
 from lumentide.llm.shared import Shared
 from lumentide.llm.textio import Words, blocks, mix
 
-_WORDS_AT_ONCE = 2_000_000
+#: distinct words that a task holds before it hands counts on
+_WORDS_AT_ONCE = 1 << 19
+#: steps of which forward variables are held at once
+_STRIDE = 128
+#: sequences that run side by side
+_ABREAST = 1024
+#: symbols whose class weights are looked up at once
+_SYMBOLS_AT_ONCE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -43,10 +53,10 @@ class Settings:
     symbols: int = 60_000
     classes: int = 2048
     known_words: int = 250_000
-    start_docs: int = 2000
-    start_rounds: int = 12
-    rounds: int = 2
-    stretch: int = 256
+    start_share: int = 10
+    start_rounds: int = 10
+    rounds: int = 4
+    settled: float = 0.002
     smoothing: float = 0.1
     prior: float = 4.0
     seed: int = 5
@@ -71,10 +81,10 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (h, c, class), words combined over much of the task before they leave it."""
-    parts, size = [], 0
+    """Rows (h, c, class), words combined over much of the task before they leave it; of class -1 the number of texts."""
+    parts, size, ends = [], 0, 0
     for _, texts in blocks(batches):
-        w = Words(texts, lower=True)
+        w, ends = Words(texts, lower=True), ends + len(texts)
         keys, first, counts = np.unique(w.hashes(), return_index=True, return_counts=True)
         parts.append((keys, counts, word_classes(w, s.classes)[first]))
         size += len(keys)
@@ -86,6 +96,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.R
                 parts, size = [], 0
     if parts:
         yield _count_batch(_merged(parts))
+    if ends:
+        yield _count_batch((np.zeros(1, np.uint64), np.array([ends]), np.array([-1])))
 
 
 def _count_batch(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -163,50 +175,64 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # symbol x state
 
+    def _step(self, symbol: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        alpha = self.emit[symbol]
+        alpha *= self.start if before is None else before @ self.move
+        scale = alpha.sum(1)
+        alpha /= scale[:, None]
+        return alpha, scale
+
     def forward(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural logarithms of the sequences' likelihoods. Sequences run side by side, longest first."""
         order = np.argsort(-sizes, kind="stable")
-        at, left, out = starts[order], -sizes[order], np.zeros(len(sizes))
+        at, out = starts[order], np.zeros(len(sizes))
         alpha = None
-        for t in range(int(sizes.max()) if len(sizes) else 0):
-            active = int(np.searchsorted(left, -t, side="left"))
-            seen = self.emit[flat[at[:active] + t]]
-            alpha = seen * self.start if t == 0 else (alpha[:active] @ self.move) * seen
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            out[:active] += np.log(scale)
+        for t, n in enumerate(_active(sizes[order])):
+            alpha, scale = self._step(flat[at[:n] + t], None if t == 0 else alpha[:n])
+            out[:n] += np.log(scale)
         result = np.empty(len(sizes))
         result[order] = out
         return result
 
-    def expected(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """Add the sequences' expected starts, moves and emissions to ``counts``."""
+    def expected(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+        """Add the sequences' expected starts, moves and emissions to ``counts``; gives their log likelihood."""
         order = np.argsort(-sizes, kind="stable")
-        at, left = starts[order], -sizes[order]
-        alphas, scales, symbols = [], [], []
-        for t in range(int(sizes.max())):
-            active = int(np.searchsorted(left, -t, side="left"))
-            symbol = flat[at[:active] + t]
-            alpha = self.emit[symbol] * (self.start if t == 0 else alphas[-1][:active] @ self.move)
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            alphas.append(alpha)
-            scales.append(scale)
-            symbols.append(symbol)
-        gammas, beta = [None] * len(alphas), np.zeros((0, self.emit.shape[1]))
-        for t in range(len(alphas) - 1, -1, -1):
-            alpha, behind = alphas[t], len(beta)
-            full = np.ones_like(alpha)
-            if behind:
-                ahead = self.emit[symbols[t + 1]] * beta / scales[t + 1][:, None]
-                full[:behind] = ahead @ self.move.T
-                counts[1][...] += self.move * (alpha[:behind].T @ ahead)
-            gammas[t] = alpha * full
-            beta = full
-        counts[0][...] += gammas[0].sum(0)
-        every, weights = np.concatenate(symbols), np.concatenate(gammas)
-        for z in range(self.emit.shape[1]):
-            counts[2][:, z] += np.bincount(every, weights=weights[:, z], minlength=len(self.emit))
+        at, active = starts[order], _active(sizes[order])
+        kept, alpha, total = [], None, 0.0
+        for t, n in enumerate(active):
+            if t % _STRIDE == 0:
+                kept.append(None if t == 0 else alpha[:n])
+            alpha, scale = self._step(flat[at[:n] + t], None if t == 0 else alpha[:n])
+            total += float(np.log(scale).sum())
+        ahead, back = np.zeros((0, self.emit.shape[1])), np.ascontiguousarray(self.move.T)
+        for first in range(_STRIDE * (len(kept) - 1), -1, -_STRIDE):
+            symbols, alphas, scales, before = [], [], [], kept.pop()
+            for t, n in enumerate(active[first : first + _STRIDE], first):
+                symbols.append(flat[at[:n] + t])
+                before, scale = self._step(symbols[-1], None if before is None else before[:n])
+                alphas.append(before)
+                scales.append(scale)
+            for k in range(len(alphas) - 1, -1, -1):
+                alpha, behind = alphas[k], len(ahead)
+                weight = self.emit[symbols[k]]
+                weight /= scales[k][:, None]
+                if behind:
+                    counts[1][...] += self.move * (alpha[:behind].T @ ahead)
+                    beta = ahead @ back
+                    alpha[:behind] *= beta
+                    weight[:behind] *= beta
+                ahead = weight
+            if first == 0:
+                counts[0][...] += alphas[0].sum(0)
+            every, weights = np.concatenate(symbols), np.concatenate(alphas)
+            for z in range(self.emit.shape[1]):
+                counts[2][:, z] += np.bincount(every, weights=weights[:, z], minlength=len(self.emit))
+        return total
+
+
+def _active(sizes: np.ndarray) -> list[int]:
+    """How many sequences, sorted from the longest on, have a symbol at each step."""
+    return np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left").tolist() if len(sizes) else []
 
 
 def zero_counts(states: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,86 +245,94 @@ def estimated(counts: tuple[np.ndarray, np.ndarray, np.ndarray], unigram: np.nda
     return Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def stretches(bounds: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the pieces of at most ``most`` tokens that sequences are cut into."""
-    sizes = np.diff(bounds)
-    pieces = -(-sizes // most)
-    first = np.repeat(bounds[:-1], pieces)
-    k = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = first + k * most
-    return starts, np.minimum(most, np.repeat(bounds[1:], pieces) - starts)
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of a binary column in a row, and each value's bounds."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.zeros(0, np.uint8)
+    return values.view(np.uint16), (bounds - bounds[0]) // 2
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), np.uint16), np.concatenate(([0], np.cumsum([len(v) // 2 for v in values])))
+def _abreast(bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """Sequences by size, as many as run side by side."""
+    order = np.argsort(-np.diff(bounds), kind="stable")
+    for at in range(0, len(order), _ABREAST):
+        yield order[at : at + _ABREAST]
 
 
 def _expected_rows(batches: Iterator[pa.RecordBatch], model: Model, s: Settings) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, z0, z1, ...) of one task's expected counts: symbols from 0, start -1, moves -2 - state."""
-    counts, some = zero_counts(s.states, len(model.emit)), False
+    """Rows (kind, z0, z1, ...) of one task's expected counts: symbols from 0, start -1, moves -2 - state, and behind these log likelihood and tokens."""
+    counts, told = zero_counts(s.states, len(model.emit)), np.zeros((1, s.states))
     for batch in batches:
         flat, bounds = _flat(batch.column(0))
-        starts, sizes = stretches(bounds, s.stretch)
-        for at in range(0, len(starts), 2048):
-            some = True
-            model.expected(flat, starts[at : at + 2048], sizes[at : at + 2048], counts)
-    if some:
+        for own in _abreast(bounds):
+            sizes = np.diff(bounds)[own]
+            told[0, :2] += model.expected(flat, bounds[own], sizes, counts), sizes.sum()
+    if told.any():
         used = np.flatnonzero(counts[2].any(1))
-        kinds = np.concatenate((used, [-1], -2 - np.arange(s.states)))
-        table = np.concatenate((counts[2][used], counts[0][None], counts[1]))
+        kinds = np.concatenate((used, [-1], -2 - np.arange(s.states + 1)))
+        table = np.concatenate((counts[2][used], counts[0][None], counts[1], told))
         yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(table[:, z]) for z in range(s.states))], ["kind", *(f"z{z}" for z in range(s.states))])
 
 
-def _started(rows: pa.Table, unigram: np.ndarray, s: Settings) -> Model:
-    """A model from a bounded sample, by Baum-Welch from sticky random states."""
+def started(unigram: np.ndarray, s: Settings) -> Model:
+    """Sticky random states, all near the unigram distribution."""
     rng = np.random.default_rng(s.seed)
     noise = rng.gamma(0.7, size=(len(unigram), s.states)) + 0.05
     emit = unigram[:, None] * noise
     move = np.full((s.states, s.states), 0.1 / s.states) + 0.9 * np.eye(s.states)
-    model = Model(np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    if not len(rows):
-        return model
-    flat, bounds = _flat(rows.column(0))
-    starts, sizes = stretches(bounds, s.stretch)
-    for _ in range(s.start_rounds):
-        counts = zero_counts(s.states, len(unigram))
-        for at in range(0, len(starts), 2048):
-            model.expected(flat, starts[at : at + 2048], sizes[at : at + 2048], counts)
-        model = estimated(counts, unigram, s.prior)
-    return model
+    return Model(np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train(encoded: DataFrame, unigram: np.ndarray, s: Settings) -> Model:
-    """``encoded``: id, held_out, symbols. Rounds over all rows that aren't held out."""
-    data = encoded.where("NOT held_out")
-    short = data.where(F.length("symbols") <= 2 * 4096).withColumn("order", F.xxhash64("id"))
-    last = short.select("order").orderBy("order").limit(s.start_docs).agg(F.max("order")).first()[0]  # so that only chosen rows carry their symbols
-    sample = short.where(F.col("order") <= F.lit(last)).select("symbols").limit(2 * s.start_docs).toArrow()
-    model = _started(sample, unigram, s)
+def baum_welch(data: DataFrame, model: Model, unigram: np.ndarray, s: Settings) -> tuple[Model, float]:
+    """The model after a round over all rows of ``data`` (symbols), and the log likelihood a token before it."""
     schema = "kind long, " + ", ".join(f"z{z} double" for z in range(s.states))
+    sent = data.sparkSession.sparkContext.broadcast(model)
+    rows = data.mapInArrow(lambda it: _expected_rows(it, sent.value, s), schema)
+    sums = rows.groupBy("kind").agg(*[F.sum(f"z{z}").alias(f"z{z}") for z in range(s.states)]).toArrow()  # as large as the model
+    sent.unpersist()
+    counts, told = zero_counts(s.states, len(unigram)), -2 - s.states
+    table, kinds = np.stack([sums[f"z{z}"].to_numpy() for z in range(s.states)], 1), sums["kind"].to_numpy()
+    counts[2][kinds[kinds >= 0]] = table[kinds >= 0]
+    counts[0][...] = table[kinds == -1].sum(0)
+    moves = (kinds < -1) & (kinds > told)
+    counts[1][-2 - kinds[moves]] = table[moves]
+    logs, tokens = table[kinds == told].sum(0)[:2]
+    return estimated(counts, unigram, s.prior), logs / max(tokens, 1)
+
+
+def train(encoded: DataFrame, unigram: np.ndarray, s: Settings, shared: Shared) -> Model:
+    """``encoded``: id, held_out, symbols. Rounds over the rows that aren't held out."""
+    if s.states < 2:
+        raise ValueError("at least two states")
+    data, model = encoded.where("NOT held_out"), started(unigram, s)
+    part = shared.write(data.where(F.pmod(F.xxhash64("id", "symbols"), F.lit(s.start_share)) == 0).select("symbols"), "start")
+    for _ in range(s.start_rounds):
+        model, _ = baum_welch(part, model, unigram, s)
+    shared.drop("start")
+    before = -np.inf
     for _ in range(s.rounds):
-        sent = encoded.sparkSession.sparkContext.broadcast(model)
-        rows = data.select("symbols").mapInArrow(lambda it, sent=sent: _expected_rows(it, sent.value, s), schema)
-        sums = rows.groupBy("kind").agg(*[F.sum(f"z{z}").alias(f"z{z}") for z in range(s.states)]).toArrow()  # as large as the model
-        counts = zero_counts(s.states, len(unigram))
-        table, kinds = np.stack([sums[f"z{z}"].to_numpy() for z in range(s.states)], 1), sums["kind"].to_numpy()
-        counts[2][kinds[kinds >= 0]] = table[kinds >= 0]
-        counts[0][...] = table[kinds == -1].sum(0)
-        counts[1][(-2 - kinds[kinds < -1]).astype(int)] = table[kinds < -1]
-        model = estimated(counts, unigram, s.prior)
-        sent.unpersist()
+        model, now = baum_welch(data.select("symbols"), model, unigram, s)
+        if now - before < s.settled:
+            break
+        before = now
     return model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, class_logs: np.ndarray, frequent: int) -> Iterator[pa.RecordBatch]:
     """Adds log10 likelihoods; ``class_logs``: log10 of each class's weight, by which its words' shares are divided."""
+    table = np.concatenate((np.zeros(frequent), class_logs, [0.0]))
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("symbols"))
-        flat, bounds = _flat(column)
-        logs = model.forward(flat, bounds[:-1], np.diff(bounds)) / np.log(10)
-        table = np.concatenate((np.zeros(frequent), class_logs, [0.0]))
-        logs -= np.add.reduceat(table[flat], bounds[:-1]) if len(flat) else 0
+        flat, bounds = _flat(batch.column(batch.schema.get_field_index("symbols")))
+        logs = np.empty(len(batch))
+        for own in _abreast(bounds):
+            logs[own] = model.forward(flat, bounds[own], np.diff(bounds)[own]) / np.log(10)
+        at = 0
+        while at < len(logs):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _SYMBOLS_AT_ONCE, side="right")) - 1)
+            logs[at:to] -= np.add.reduceat(table[flat[bounds[at] : bounds[to]]], bounds[at:to] - bounds[at])
+            at = to
         rest = [c for c in batch.schema.names if c != "symbols"]
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(logs)], [*rest, "states_score"])
 
@@ -314,9 +348,10 @@ def score_documents(docs: DataFrame, held_out: Column, s: Settings = Settings(),
     spark, shared = docs.sparkSession, Shared(docs.sparkSession, "hmm")
     plain = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     training = plain.where("NOT held_out").select("text")
-    counts = training.mapInArrow(lambda it: _count_rows(it, s), "h long, c long, class long").groupBy("h").agg(F.sum("c").alias("c"), F.first("class").alias("class"))
-    counts = shared.write(counts, "counts")
-    ends = training.count()
+    counts = training.mapInArrow(lambda it: _count_rows(it, s), "h long, c long, class long").groupBy("h", "class").agg(F.sum("c").alias("c"))
+    every = shared.write(counts, "counts")
+    counts = every.where("class >= 0")
+    ends = every.where("class < 0").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     total, types = tokens + ends, words + (ends > 0)
     log_total = float(np.log10(total + s.smoothing * (types + 1)))
@@ -341,7 +376,7 @@ def score_documents(docs: DataFrame, held_out: Column, s: Settings = Settings(),
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, often_sum double, mid_sum double, symbols binary, rare array<long>"
     encoded = shared.write(plain.mapInArrow(lambda it: _encoded(it, sent.value, s), schema), "encoded")
-    model = train(encoded, unigram, s)
+    model = train(encoded, unigram, s, shared)
 
     model_sent, class_logs = spark.sparkContext.broadcast(model), np.log10(class_weight)
     kept = encoded.select("row", "id", "held_out", "n_tokens", "known", "often_sum", "mid_sum", "symbols")

@@ -9,7 +9,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lumentide.llm.hmm import Model, Settings, estimated, held_out_tenth, score_documents, stretches, zero_counts
+from lumentide.llm import hmm
+from lumentide.llm.hmm import Model, Settings, estimated, held_out_tenth, score_documents, started, word_classes, zero_counts
+from lumentide.llm.textio import Words
 
 SCHEMA = "doc_id long, text string, row long, known string"
 
@@ -36,7 +38,7 @@ def base(rows):
     return out
 
 
-@pytest.mark.parametrize("s", [Settings(), Settings(symbols=40, classes=16, known_words=100, states=3, start_docs=50, start_rounds=2)])
+@pytest.mark.parametrize("s", [Settings(), Settings(symbols=40, classes=16, known_words=100, states=3, start_share=2, start_rounds=2)])
 def test_base_and_held_out(spark, s):
     rows = corpus()
     df = spark.createDataFrame([(*r, 3, "k") for r in rows], SCHEMA).repartition(3)
@@ -72,13 +74,16 @@ def paths(m, seq):
         yield z, p
 
 
-def test_forward_and_expected_counts_are_exact():
+@pytest.mark.parametrize("stride", [1, 2, 128])
+def test_forward_and_expected_counts_are_exact(monkeypatch, stride):
+    monkeypatch.setattr(hmm, "_STRIDE", stride)
     m, seqs = model(), [[0, 1, 3, 2], [2], [1, 1, 0]]
     flat = np.concatenate([np.array(x, np.uint16) for x in seqs])
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in seqs])))
     counts, want = zero_counts(3, 4), zero_counts(3, 4)
-    m.expected(flat, bounds[:-1], np.diff(bounds), counts)
+    told = m.expected(flat, bounds[:-1], np.diff(bounds), counts)
     logs = m.forward(flat, bounds[:-1], np.diff(bounds))
+    assert told == pytest.approx(logs.sum())
     for k, seq in enumerate(seqs):
         total = sum(p for _, p in paths(m, seq))
         assert logs[k] == pytest.approx(math.log(total))
@@ -107,5 +112,101 @@ def test_likelihood_rises_and_is_a_distribution():
     every = np.array(list(itertools.product(range(4), repeat=3)), np.uint16)
     logs = true.forward(every.ravel(), np.arange(0, every.size, 3), np.full(len(every), 3))
     assert np.exp(logs).sum() == pytest.approx(1)
-    starts, sizes = stretches(np.array([0, 0, 5, 12]), 3)
-    assert starts.tolist() == [0, 3, 5, 8, 11] and sizes.tolist() == [3, 2, 3, 3, 1]
+
+
+def test_long_sequences_are_not_cut():
+    """Counts of one long sequence with states told by its symbols: one start, and each move, whatever the stride."""
+    emit = np.array([[0.999, 0.001], [0.001, 0.999]])
+    m, flat = Model(np.array([0.5, 0.5]), np.full((2, 2), 0.5), emit), np.array([0] * 1000 + [1] * 500, np.uint16)
+    counts = zero_counts(2, 2)
+    m.expected(flat, np.array([0]), np.array([1500]), counts)
+    assert counts[0].sum() == pytest.approx(1) and counts[1].sum() == pytest.approx(1499) and counts[2].sum() == pytest.approx(1500)
+    assert counts[0][0] > 0.99 and counts[1][0, 0] == pytest.approx(999, abs=4)
+
+
+def plain_scores(rows, s):
+    """The whole model once more with dictionaries and lists: symbols, Baum-Welch, forward recursion, shares of classes."""
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
+    texts = {k: (t or "").encode().lower().split() for k, (_, t) in enumerate(rows)}
+    train = [k for k, (d, _) in enumerate(rows) if not held[d]]
+    c = Counter(w for k in train for w in texts[k])
+    least = hmm_threshold(c, s.symbols)
+    h = lambda w: int(Words([w]).hashes()[0])
+    often = sorted((w for w in c if c[w] >= least), key=h)
+    symbol = {w: k for k, w in enumerate(often)}
+    cls = lambda w: int(word_classes(Words([w]), s.classes)[0])
+    mass, kinds = Counter(), Counter()
+    for w in c:
+        if w not in symbol:
+            mass[cls(w)] += c[w]
+            kinds[cls(w)] += 1
+    weight = {k: mass[k] + s.smoothing * (kinds[k] + 1) if kinds[k] else s.smoothing for k in range(s.classes)}
+    unigram = np.array([c[w] for w in often] + [mass[k] for k in range(s.classes)] + [len(train)]) + s.smoothing
+    unigram = unigram / unigram.sum()
+    coded = {k: [symbol.get(w, len(often) + cls(w)) for w in t] + [len(often) + s.classes] for k, t in texts.items()}
+    m = started(unigram, s)
+
+    def forward(seq):
+        out, total = [], 0.0
+        for t, x in enumerate(seq):
+            a = [m.emit[x, z] * (m.start[z] if t == 0 else sum(out[-1][y] * m.move[y, z] for y in range(s.states))) for z in range(s.states)]
+            total += math.log(sum(a))
+            out.append([v / sum(a) for v in a])
+        return out, total
+
+    for _ in range(s.start_rounds + s.rounds):
+        counts = zero_counts(s.states, len(unigram))
+        for k in train:
+            seq = coded[k]
+            alpha, beta = forward(seq)[0], [[1.0] * s.states]
+            for x in seq[:0:-1]:
+                b = [sum(m.move[z, y] * m.emit[x, y] * beta[0][y] for y in range(s.states)) for z in range(s.states)]
+                beta.insert(0, [v / max(b) for v in b])
+            for t, x in enumerate(seq):
+                g = [alpha[t][z] * beta[t][z] for z in range(s.states)]
+                for z in range(s.states):
+                    counts[2][x, z] += g[z] / sum(g)
+                    counts[0][z] += (g[z] / sum(g)) * (t == 0)
+                if t + 1 < len(seq):
+                    xi = np.array([[alpha[t][y] * m.move[y, z] * m.emit[seq[t + 1], z] * beta[t + 1][z] for z in range(s.states)] for y in range(s.states)])
+                    counts[1][...] += xi / xi.sum()
+        m = estimated(counts, unigram, s.prior)
+    out = []
+    for k, (d, _) in enumerate(rows):
+        own = forward(coded[k])[1] / math.log(10)
+        own += sum(math.log10((c[w] + s.smoothing) / weight[cls(w)]) for w in texts[k] if w not in symbol)
+        out.append((d, own))
+    return out
+
+
+def hmm_threshold(c, most):
+    """Counts in eighths of an octave, from the largest, as many as fit."""
+    groups, total, least = {}, 0, 1 << 62
+    for n in c.values():
+        groups.setdefault(math.floor(math.log2(n) * 8), []).append(n)
+    for e in sorted(groups, reverse=True):
+        total += len(groups[e])
+        if total > most:
+            break
+        least = min(groups[e])
+    return least
+
+
+def test_scores_match_a_plain_model(spark):
+    """Frequent words, classes of rare words, words never seen, a null id, repeated rows, null and empty texts."""
+    rnd = random.Random(4)
+    rows = [(d, " ".join(rnd.choice(("ab", "cd", "E", "ab x", f"w{rnd.randrange(40)}", "é")) for _ in range(rnd.randrange(12)))) for d in range(24)]
+    rows += [(10, "only here held out NEW"), (50, None), (51, ""), (3, rows[3][1]), (3, rows[3][1]), (None, "ab null id"), (60, "ab cd " * 150)]
+    s = Settings(states=2, symbols=6, classes=8, known_words=20, start_share=1, start_rounds=2, rounds=2, settled=-1.0)
+    df = spark.createDataFrame([(*r, 3, "k") for r in rows], SCHEMA).repartition(3)
+    got = sorted(((r["doc_id"], r["score"]) for r in score_documents(df, held_out_tenth("doc_id"), s).collect()), key=repr)
+    for g, w in zip(got, sorted(plain_scores(rows, s), key=repr), strict=True):
+        assert g[0] == w[0] and g[1] == pytest.approx(w[1], rel=1e-6)
+
+
+def test_rounds_end_when_settled(spark):
+    df = spark.createDataFrame([(i, bytes([i % 2, 0, 1, 0])) for i in range(40)], "id long, symbols binary")
+    unigram, s = np.array([0.5, 0.5]), Settings(states=2)
+    m, first = hmm.baum_welch(df.select("symbols"), started(unigram, s), unigram, s)
+    _, second = hmm.baum_welch(df.select("symbols"), m, unigram, s)
+    assert second > first
