@@ -1,17 +1,20 @@
 """Fuzzy line de-duplication by MinHash over character shingles.
 
 A line is looked at lower-cased and without white space at its ends. Its id is a 64-bit
-hash of that content, so equal lines are one item without a shuffle of texts. Signatures
-of ``bands`` x ``rows`` minima over its character shingles meet by band, candidate pairs
+hash of that content, so equal lines are one item without a shuffle of texts; a second
+hash guards removal, so a line that only shares another's id stays. Signatures of
+``bands`` x ``rows`` minima over its character shingles meet by band, candidate pairs
 are confirmed by exact Jaccard of their shingle sets, and distributed components (large-
 star and small-star) join them. Of each component the line that comes first, by document
 id and then line number, stays.
 
 Cases: null texts have no lines and stay null; blank lines are never removed and link
-with nothing. Lines shorter than a shingle are one shingle. Repeated rows (one id twice):
-each copy loses the lines that its id loses, so the first line stays in both. Very long
-lines and texts are taken whole. Extra columns stay as they are, but for names that
-begin with two underscores. An empty table gives an empty result.
+with nothing. Lines shorter than a shingle are one shingle. A row is known by its id and
+a hash of its text: rows that repeat an id with other texts lose lines each for itself,
+in the order of that hash; repeated rows (one id, one text) are one document, so the
+first line stays in each of them. A null id comes before all others. Very long lines
+and texts are taken whole. Extra columns stay as they are, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +25,16 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentide.llm.neardup import band_keys, minima
-from lumentide.llm.neighbours import Buckets, Similarity, least_equal, linked_components, met, packed, part_count
-from lumentide.llm.shared import Shared
-from lumentide.llm.textio import binary_rows, blocks, mix, power_tables
+from lumentide.llm.neardup import band_keys, known, minima
+from lumentide.llm.neighbours import SPREAD, Buckets, Dealer, Similarity, least_equal, linked_components, met, packed, part_count
+from lumentide.llm.shared import Shared, free, sized, with_facts
+from lumentide.llm.textio import binary_rows, blocks, mix, place_of, power_tables
 
-_SPREAD = 0x1E3779B97F4A7C15
-_CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+#: two random values of each code, for two hashes of one base
+_CODES = [mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) + np.uint64(k << 40)) for k in range(2)]
 
 
 @dataclass(frozen=True)
@@ -64,12 +67,15 @@ class LineHashes:
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
         powers, inverse = power_tables(len(codes) + 1)
-        x = _CODES[np.minimum(codes, 0xFFFF)]
-        if (wide := codes > 0xFFFF).any():
-            x[wide] = mix(codes[wide].astype(np.uint64) + np.uint64(1))
-        x *= powers[: len(x)]
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
-        self.ids = mix((total[ends] - total[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        plain, wide, sums = np.minimum(codes, 0xFFFF), codes > 0xFFFF, []
+        for k, table in enumerate(_CODES):
+            x = table[plain]
+            if wide.any():
+                x[wide] = mix(codes[wide].astype(np.uint64) + np.uint64((k << 40) + 1))
+            x *= powers[: len(x)]
+            sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))))
+        total = sums[0]
+        self.ids, self.guards = (mix((t[ends] - t[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for t in sums)
         self.size, self.total, self.inverse, self.starts, self.ends = size, total, inverse, starts, ends
         #: shingles of each line; a line shorter than a shingle is one
         self.counts = np.maximum(sizes - size + 1, 1)
@@ -85,9 +91,10 @@ class LineHashes:
 
 
 def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows of two kinds: (key, id) of each line content of a block once, and behind ``parts`` (a spread, id, document, line) of each line that isn't blank."""
+    """Packed rows of ``Dealer`` for the line contents, and behind 2 * ``parts`` (id, guard, document, place, line) of each line that isn't blank."""
+    dealer = Dealer(parts)
     for part, texts in blocks(batches):
-        docs, names, which, doc, number = part.column(0).to_numpy(), {}, [], [], []
+        docs, places, names, which, doc, number = part.column(0).to_numpy(), part.column(1).to_numpy(), {}, [], [], []
         for i, t in enumerate(texts):
             for k, line in enumerate(split_lines(t.decode()) if t else ()):
                 if line:
@@ -97,38 +104,43 @@ def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator
         if names:
             h = LineHashes(list(names), s.shingle)
             keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
-            yield packed(keys.ravel().view(np.int64), [np.repeat(h.ids, s.bands)], parts)
+            yield from dealer.add(keys.ravel().view(np.int64), np.repeat(h.ids, s.bands))
             # dealt by document: a line that a third of all documents have may not meet in one task
-            yield packed(docs[doc] * np.int64(_SPREAD), [h.ids[which], docs[doc], np.array(number, np.int64)], parts, parts)
+            with np.errstate(over="ignore"):
+                spread = (docs[doc] + places[doc]) * SPREAD
+            yield packed(spread, [h.ids[which], h.guards[which], docs[doc], places[doc], np.array(number, np.int64)], parts, 2 * parts)
+    yield from dealer.dealt()
+
+
+_COLUMNS = ["kind", *"abcde"]
 
 
 def _listed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 1, id, document, line, 0, 0)."""
-    _, i, doc, line = (pa.array(c) for c in table)
-    none = pa.array(np.zeros(len(line), np.int64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(line), np.int64)), i, doc, line, none, none], ["kind", *"abcde"])
+    """Rows (kind 1, id, guard, document, place, line)."""
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(table.shape[1], np.int64)), *map(pa.array, table)], _COLUMNS)
 
 
-def _bucketed() -> Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]:
-    """Rows (kind 0, key, id, pivot, rank, top)."""
-    part = Buckets()
+def _bucketed(part: int, parts: int) -> Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]:
+    """Rows (kind 0, key, id, pivot, 0, 0)."""
+    pivots = Buckets()
 
     def feed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        for batch in part.feed(table, last):
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int64)), *batch.columns], ["kind", *"abcde"])
+        for columns in (b.columns for b in pivots.feed(table, last)) if part < parts else [list(map(pa.array, table))]:
+            none = pa.array(np.zeros(len(columns[0]), np.int64))
+            yield pa.RecordBatch.from_arrays([none, *columns, none, none], _COLUMNS)
 
     return feed
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, line) of the numbered lines of each document. Input: doc, text, wanted (array of line, id); rows of one document are in one task, and the first of them is enough."""
-    seen: set[int] = set()
+    """Rows (id, line) of the numbered lines of each document. Input: doc, t, text, wanted (array of line, id); repeated rows are in one task, and the first of them is enough."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         ids, lines = [], []
-        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            if doc in seen:
+        for doc, t, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if (doc, t) in seen:
                 continue
-            seen.add(doc)
+            seen.add((doc, t))
             own = split_lines(text)
             for w in wanted:
                 ids.append(w["id"])
@@ -156,49 +168,56 @@ def line_sets(lines: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(sets) if sets else shingles, np.concatenate(([0], np.cumsum([len(x) for x in sets])))
 
 
-def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, lines): for each document that loses lines, their numbers from 0, ascending. Ids are integers, null is the least."""
-    shared, parts = Shared(docs.sparkSession, "lines"), part_count(docs.sparkSession)
-    plain = docs.select(_number(F.col(id_col)).alias("doc"), F.col(text_col).alias("text"))
+#: lines of which the texts go through one task of a join
+_LINES_A_PART = 500_000
+
+
+def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(doc, t, lines): for each document that loses lines, their numbers from 0, ascending, by its id and text's place; and how many parts a join with the texts should have."""
+    spark, shared, parts = docs.sparkSession, Shared(docs.sparkSession, "lines"), part_count(docs.sparkSession)
+    plain = docs.select(known(F.col(id_col)).alias("doc"), place_of(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     read = plain.mapInArrow(lambda it: _read(it, settings, parts), "part long, data binary")
-    both = met(read, lambda part: 4 if part >= parts else 2, lambda part: _listed if part >= parts else _bucketed(), "kind long, " + ", ".join(f"{c} long" for c in "abcde"))
+    both = met(read, lambda part: 5 if part >= 2 * parts else 3, lambda part: _listed if part >= 2 * parts else _bucketed(part, parts), ", ".join(f"{c} long" for c in _COLUMNS))
     both = shared.write(both, "lines")
-    multi = both.where("kind = 0").selectExpr("a AS key", "b AS id", "c AS pivot", "d AS rank", "e AS top")
-    listed = both.where("kind = 1").selectExpr("a AS id", "b AS doc", "c AS line")
-    firsts = listed.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).select("id", "first.*", "n")
+    multi = both.where("kind = 0").selectExpr("a AS key", "b AS id", "c AS pivot")
+    listed = both.where("kind = 1").selectExpr("a AS id", "b AS guard", "c AS doc", "d AS t", "e AS line")
+    lines = listed.count()
+    many = sized(spark, lines, _LINES_A_PART)
+    # the guard that counts for an id is that of its first line
+    firsts = listed.groupBy("id").agg(F.min(F.struct("doc", "t", "line", "guard")).alias("first"), F.count("*").alias("n")).select("id", "first.*", "n")
     firsts = shared.write(firsts, "firsts")
 
     def describe(ids: DataFrame) -> DataFrame:
-        places = firsts.join(ids, "id", "left_semi").select("doc", F.struct("line", "id").alias("want"))
-        wanted = places.groupBy("doc").agg(F.collect_list("want").alias("wanted"))
+        places = firsts.join(ids, "id", "left_semi").select("doc", "t", F.struct("line", "id").alias("want"))
+        wanted = places.groupBy("doc", "t").agg(F.collect_list("want").alias("wanted"))
         # by hash, so that texts needn't be sorted; the other side has a short row for a document at most
-        rows = plain.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "wanted")
+        rows = plain.repartition(many, "doc", "t").join(wanted.repartition(many, "doc", "t").hint("shuffle_hash"), ["doc", "t"]).select("doc", "t", "text", "wanted")
         return rows.mapInArrow(lambda it: _signed(_picked(it), settings), "id long, keys binary, sig binary, text string")
 
-    how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
+    how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.least)
     stars = linked_components(multi, describe, how, shared)
     stars = shared.write(stars.unionByName(stars.selectExpr("component AS id", "component").distinct()), "linked")
     shared.keep("lines", "firsts", "linked")
     # lines that occur once and are like no other stay out of all that follows
-    rooted = firsts.join(stars, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", F.coalesce("component", "id").alias("root"), F.struct("doc", "line").alias("first"), "n")
-    groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total")).where("total > 1")
-    keepers = shared.write(rooted.join(groups, "root").select("id", "keeper"), "keepers")
+    rooted = firsts.join(stars, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "guard", F.coalesce("component", "id").alias("root"), F.struct("doc", "t", "line").alias("first"), "n")
+    rooted = shared.write(rooted, "rooted")
+    groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total"), F.count("*").alias("ids")).where("total > 1")
+    keepers = with_facts(rooted.drop("first"), groups, ["root"], "ids", rooted.count()).where("keeper IS NOT NULL")
+    keepers = shared.write(keepers.select("id", F.col("guard").alias("own"), "keeper", "n"), "keepers")
     shared.keep("lines", "keepers")
-    gone = listed.join(keepers, "id").where("NOT (doc = keeper.doc AND line = keeper.line)")
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-
-
-def _number(c: Column) -> Column:
-    return F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+    gone = with_facts(listed, keepers, ["id"], "n", lines).where("keeper IS NOT NULL AND guard = own AND NOT (doc = keeper.doc AND t = keeper.t AND line = keeper.line)")
+    return gone.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("lines")), many
 
 
 def dedup_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with all their columns, their texts without the removed lines. ``count_col``: name of a further column, of lines removed."""
-    gone = removed_lines(docs, settings, id_col, text_col).toDF("__doc", "__lines")
-    joined = docs.join(gone.hint("shuffle_hash"), _number(F.col(id_col)) == F.col("__doc"), "left")
-    # line numbers are those of the text split at each newline, which JVM functions do alike
-    stay = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains("__lines", k.cast("long")))
-    left = F.array_join(stay, "\n")
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(left)
-    extra = [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(count_col)] if count_col else []
+    gone, many = removed_lines(docs, settings, id_col, text_col)
+    doc, t, lines = (free(c, docs.columns) for c in ("line_doc", "line_place", "line_numbers"))
+    keyed = docs.withColumns({doc: known(F.col(id_col)), t: place_of(F.col(text_col))}).repartition(many, doc, t)
+    joined = keyed.join(gone.toDF(doc, t, lines).repartition(many, doc, t).hint("shuffle_hash"), [doc, t], "left")
+    # line numbers are those of the text split at each newline, which JVM functions do alike; within ``transform`` it is split once
+    stay = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(lines))
+    left = F.transform(F.array(F.split(F.col(text_col), "\n", -1)), lambda own: F.array_join(F.transform(stay(own), lambda k: F.get(own, k)), "\n"))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.element_at(left, 1))
+    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(count_col)] if count_col else []
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)

@@ -6,11 +6,15 @@ that are equal are one class, found by a digest of the whole set. Of each class'
 of each minimum is the signature that rules pairs out, and pairs that pass are confirmed
 on full sets. Components of the links come from alternating large-star and small-star.
 
-Cases: a null or blank text has an empty set and is linked with nothing; with fewer
-words than ``shingle`` the whole sequence is the one shingle. Repeated rows and ties fall into one
-class; its smallest id is kept (rows that repeat an id stand or fall together). A null
-id is linked by its text but names no component. Extra columns are kept by ``drop_near_duplicates``.
-An empty table gives an empty result.
+Cases: a null or blank text has an empty set and is linked with nothing, so its row
+stays; with fewer words than ``shingle`` the whole sequence is the one shingle. Repeated
+rows and ties fall into one class. Rows that repeat an id with other texts are one
+document: what any of them is like is one component, and they stand or fall together. A
+null id is linked by its text and joins what it is like, but is no document's name and
+never the same as another null: such a row goes if its component has a document with an
+id (whose least id stays), else it stays, with a null component. Very long texts are
+taken whole. Extra columns are kept by ``drop_near_duplicates`` and ignored by
+``near_duplicates``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumentide.llm.neighbours import BAND_BITS, Similarity, buckets, least_equal, linked_components, packed, part_count
-from lumentide.llm.shared import Shared
-from lumentide.llm.textio import Words, binary_rows, blocks, list_array, mix, ngram_hashes
+from lumentide.llm.neighbours import BAND_BITS, Dealer, Similarity, buckets, least_equal, linked_components, part_count
+from lumentide.llm.shared import Shared, free, sized, with_facts
+from lumentide.llm.textio import Words, binary_rows, blocks, mix, ngram_hashes, place_of
 
 
 @dataclass(frozen=True)
@@ -90,64 +95,96 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], settings: NearDup) -> Iterator[pa.RecordBatch]:
+    """Input: id, t, text. One numbered row for each text: the size and a digest of its set, its band keys and its signature; the last two are null for an empty set."""
+    row = TaskContext.get().partitionId() << 40
     for part, texts in blocks(batches):
         values, bounds = shingle_sets(texts, settings.shingle)
         sizes = np.diff(bounds)
         full = sizes > 0
         digests = np.zeros((2, len(texts)), np.uint64)
-        keys, sigs = np.zeros((0, settings.bands), np.uint64), np.zeros((len(texts), settings.sketch), np.uint8)
+        keys, sigs = np.zeros((len(texts), settings.bands), np.uint64), np.zeros((len(texts), settings.sketch), np.uint8)
         if full.any():
             starts = bounds[:-1][full]
             digests[0, full] = np.add.reduceat(values, starts)
             digests[1, full] = np.add.reduceat(mix(values), starts)
             mins = minima(values, bounds, settings.sketch, settings.seed)
-            keys = band_keys(mins, settings.bands, settings.rows)
+            keys[full] = band_keys(mins, settings.bands, settings.rows)
             sigs[full] = (mix(mins.ravel()).reshape(mins.shape) >> np.uint64(56)).astype(np.uint8).T
-        lists = list_array(keys.ravel().view(np.int64), full * settings.bands, pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists, binary_rows(sigs)], ["id", "n", "d1", "d2", "keys", "sig"])
+        numbers = pa.array(row + np.arange(len(texts)))
+        row += len(texts)
+        columns = [numbers, part.column(0), part.column(1), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), binary_rows(keys), binary_rows(sigs)]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "id", "t", "n", "d1", "d2", "keys", "sig"])
 
 
-def _packed_keys(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _dealt(batches: Iterator[pa.RecordBatch], parts: int, bands: int) -> Iterator[pa.RecordBatch]:
+    dealer = Dealer(parts)
     for batch in batches:
-        lists = batch.column(1)
-        yield packed(lists.flatten().to_numpy(), [np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())], parts)
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        yield from dealer.add(keys, np.repeat(batch.column(0).to_numpy(), bands))
+    yield from dealer.dealt()
 
 
-def _key_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of keys, all of one length, as bytes."""
-    for batch in batches:
-        if len(batch):
-            keys = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(np.ascontiguousarray(keys).view(np.uint8)), batch.column(2)], ["id", "keys", "sig"])
+_CLASS = ["d1", "d2", "n"]
 
 
-def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_shingles, component (smallest id reachable), kept. Ids are integers."""
-    shared = Shared(docs.sparkSession, "neardup")
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = plain.mapInArrow(lambda it: _signed(it, settings), "id long, n long, d1 long, d2 long, keys array<long>, sig binary")
+def _components(docs: DataFrame, settings: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, n, component) of each row; t is the place of its text, as of ``place_of``."""
+    spark, shared = docs.sparkSession, Shared(docs.sparkSession, "neardup")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), place_of(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    signed = plain.mapInArrow(lambda it: _signed(it, settings), "row long, id long, t long, n long, d1 long, d2 long, keys binary, sig binary")
     signed = shared.write(signed, "signed")
-    classes = signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("first"))
-    members = shared.write(signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("first", "id").alias("first")), "members")
-    own = signed.join(members.where("n > 0 AND id = first").select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    own = shared.write(own.select("id", "keys", "sig"), "classes")
-    shared.drop("signed")
-    parts = part_count(docs.sparkSession)
-    keys = own.select("id", "keys").mapInArrow(lambda it: _packed_keys(it, parts), "part long, data binary")
-    sigs = own.select("id", "keys", "sig").mapInArrow(_key_bytes, "id long, keys binary, sig binary")
+    rows = signed.count()
+    full = signed.where("n > 0")
+    # a class is named by its first row
+    classes = full.groupBy(*_CLASS).agg(F.min("row").alias("class"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = shared.write(classes, "classes")
+    own = full.join(classes.select(F.col("class").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), F.col("id").alias("doc"), "t", "keys", "sig")
+    own = shared.write(own, "own")
+
+    # ids that several classes have link these
+    several = full.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*_CLASS)).alias("lo"), F.max(F.struct(*_CLASS)).alias("hi"), F.count("*").alias("copies")).where("lo <> hi")
+    several = shared.write(several.select("id", "copies"), "several")
+    given = None
+    if not several.isEmpty():
+        repeated = with_facts(full.select("id", *_CLASS), several, ["id"], "copies", rows).where("copies IS NOT NULL").select("id", *_CLASS).distinct()
+        repeated = shared.write(repeated.join(classes.select(*_CLASS, "class"), _CLASS).select("id", "class"), "repeated")
+        given = repeated.join(repeated.groupBy("id").agg(F.min("class").alias("a")), "id").select("a", F.col("class").alias("b"))
+
+    parts = part_count(spark)
+    dealt = own.select("id", "keys").mapInArrow(lambda it: _dealt(it, parts, settings.bands), "part long, data binary")
+    many = sized(spark, rows, 50_000)
 
     def describe(ids: DataFrame) -> DataFrame:
-        return sigs.join(ids, "id").join(plain, "id").dropDuplicates(["id"])
+        wanted = own.join(ids, "id").withColumn("doc", known(F.col("doc"))).repartition(many, "doc", "t")
+        texts = plain.select(known(F.col("id")).alias("doc"), "t", "text").repartition(many, "doc", "t")
+        return wanted.join(texts, ["doc", "t"]).dropDuplicates(["doc", "t"])
+
+    how = Similarity(lambda texts: shingle_sets(texts, settings.shingle), settings.percent, settings.least)
+    stars = linked_components(shared.write(buckets(dealt, parts), "buckets"), describe, how, shared, given)
+    named = classes.join(stars.withColumnRenamed("id", "class"), "class", "left").select(*_CLASS, "least", "copies", F.coalesce("component", "class").alias("root"))
+    named = shared.write(named, "named")
+    names = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("classes"))
+    facts = with_facts(named, names, ["root"], "classes", rows).select(*_CLASS, "copies", "component")
+    facts = shared.write(facts, "facts")
+    shared.keep("signed", "facts")
+    told = with_facts(signed.select("id", "t", *_CLASS), facts, _CLASS, "copies", rows)
+    return told.select("id", "t", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
 
-    how = Similarity(lambda texts: shingle_sets(texts, settings.shingle), settings.percent, settings.bands, settings.rows, settings.least)
-    stars = linked_components(shared.write(buckets(keys), "buckets"), describe, how, shared)
-    stars = shared.write(stars, "linked")
-    shared.keep("members", "linked")
-    named = members.join(stars.toDF("first", "component"), "first", "left").select("id", "n", F.coalesce("component", "first").alias("component"))
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+def known(c: Column) -> Column:
+    """An id that is never null, for joins."""
+    return F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
+
+
+def near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: id, n_shingles, component (smallest id reachable), kept. Ids are integers."""
+    told = _components(docs, settings, id_col, text_col)
+    return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, settings: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest of their component, with all their columns."""
-    gone = near_duplicates(docs, settings, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    told = _components(docs, settings, id_col, text_col)
+    a, b = free("gone_id", docs.columns), free("gone_t", docs.columns)
+    gone = told.where(~F.col("id").eqNullSafe(F.col("component"))).select(known(F.col("id")).alias(a), F.col("t").alias(b)).distinct()
+    return docs.join(gone, (known(F.col(id_col)) == F.col(a)) & (place_of(F.col(text_col)) == F.col(b)), "left_anti")

@@ -1,14 +1,15 @@
 """From band keys to verified components, without pairs of whole buckets.
 
-1. Pairs (key, id) meet by key, packed by the block, as rows would cost more than they
-   hold. Every member of a bucket is paired with its first member, the pivot: as many
-   pairs as rows.
-2. These pairs are verified, and the links' components found.
+1. Each task sorts its pairs (key, id), and of ids that share a key there all but the
+   first, its pivot, are paired with it on the spot. Only pivots meet by key; the others
+   travel spread evenly, so a key that a third of all items have is no more than some
+   rows from each task. Where a key's pivots meet they are paired with the first of them.
+2. These pairs, as many as rows, are verified, and the links' components found.
 3. Buckets whose members still lie in several components are gone through again, in
-   blocks of ``BLOCK`` members dealt to tasks of their own. Pairs of different components
-   are compared by signature, in the first band that they share, and the likeliest first
-   confirmed on full sets; what a confirmed link joins needs no further pair. Only links
-   leave a task.
+   blocks. What isn't of a bucket's largest component is compared by signature with all
+   blocks, in the first band that a pair shares; then only what is likely enough gets its
+   text, and the likeliest pairs come first to be confirmed on full sets. What a confirmed
+   link joins needs no further pair. Only links leave a task.
 
 So each pair of a bucket has been confirmed or refuted on full sets, ruled out by its
 signature, or joined already: no link is lost for the shortcut, and near copies in
@@ -26,23 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.llm.components import components
-from lumentide.llm.shared import Shared, partitions
+from lumentide.llm.shared import Shared, partitions, with_facts
 
-BLOCK = 512
+#: items of a block, and thousands of their text's characters
+BLOCK, BLOCK_THOUSANDS = 512, 16_000
 #: a key's low bits are its band
 BAND_BITS = 5
 #: bytes compared at once
 _AT_ONCE = 1 << 22
+#: texts whose sets are held at once
+_SETS = 64
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """How items are compared. ``sets``: from texts, their sorted distinct 64-bit shingles in a row and bounds; ``bands`` and ``rows``: how the first signature bytes make bands; ``least``: equal signature bytes below which a pair can't be a link."""
+    """How items are compared. ``sets``: from texts, their sorted distinct 64-bit shingles in a row and bounds; ``least``: equal signature bytes below which a pair can't be a link."""
 
     sets: Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
     percent: int
-    bands: int
-    rows: int
     least: int
 
     def linked(self, one: np.ndarray, two: np.ndarray) -> bool:
@@ -56,11 +58,14 @@ class Similarity:
         return 100 * both >= self.percent * (len(one) + len(two) - both)
 
 
-def packed(keys: np.ndarray, columns: list[np.ndarray], parts: int, first_part: int = 0) -> pa.RecordBatch:
-    """Rows (part, data): a block's rows dealt to ``parts`` by key, packed as all keys, then each column; all of 64 bits."""
-    part = (keys.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+# dealing
+
+
+def packed(deal: np.ndarray, columns: list[np.ndarray], parts: int, first_part: int = 0) -> pa.RecordBatch:
+    """Rows (part, data): the columns' rows dealt to ``parts`` by the upper half of ``deal``, packed column after column; all of 64 bits."""
+    part = (deal.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
     order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
-    part, table = part[order], [np.ascontiguousarray(c)[order] for c in (keys, *columns)]
+    part, table = part[order], [np.ascontiguousarray(c)[order] for c in columns]
     heads = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
     spans = list(zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True)) if len(part) else []
     data = [b"".join(c[b:e].tobytes() for c in table) for b, e in spans]
@@ -72,6 +77,50 @@ def part_count(spark) -> int:
     return 4 * partitions(spark)
 
 
+SPREAD = np.int64(0x1E3779B97F4A7C15)
+
+
+class Dealer:
+    """Deals a task's rows (key, id), some ``most`` of them at once: pivots (key, id, rows) by key to the first ``parts``, the others (key, id, pivot) by id to as many behind."""
+
+    def __init__(self, parts: int, most: int = 1 << 20):
+        self.parts, self.most, self.held, self.size = parts, most, [], 0
+
+    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, ids))
+        self.size += len(keys)
+        if self.size >= self.most:
+            yield from self.dealt()
+
+    def dealt(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        k, i = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        k, i, heads, counts = _grouped(k, i)
+        yield packed(k[heads], [k[heads], i[heads], counts], self.parts)
+        rest = np.ones(len(k), bool)
+        rest[heads] = False
+        if rest.any():
+            pivots = np.repeat(i[heads], counts)[rest]
+            with np.errstate(over="ignore"):
+                yield packed(i[rest] * SPREAD, [k[rest], i[rest], pivots], self.parts, self.parts)
+
+
+def _grouped(k: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows by key and id, the first row of each key, and its number of rows."""
+    order = np.argsort(k, kind="stable")
+    k, i = k[order], i[order]
+    same = k[1:] == k[:-1]
+    if (many := np.concatenate(([False], same)) | np.concatenate((same, [False]))).any():  # most rows are alone with their key
+        at = np.flatnonzero(many)
+        i[at] = i[at][np.lexsort((i[at], k[at]))]
+        fresh = np.concatenate(([True], ~same | (i[1:] != i[:-1])))
+        k, i = k[fresh], i[fresh]
+    heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k, i, heads, np.diff(np.append(heads, len(k)))
+
+
 #: numbers of a part that are held at once, 128 MB
 HELD = 1 << 24
 
@@ -79,8 +128,8 @@ HELD = 1 << 24
 def met(rows: DataFrame, width: Callable[[int], int], make: Callable[[int], Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]], schema: str, held: int = HELD) -> DataFrame:
     """Deals rows (part, data) of ``packed`` by part and feeds each part to what ``make(part)`` gives, as tables of ``width(part)`` rows.
 
-    A part is mostly one table; one that a hot key swells comes in pieces of ``held``
-    numbers, and the second argument tells the last piece.
+    A part is mostly one table; a swollen one comes in pieces of ``held`` numbers, and the
+    second argument tells the last piece.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,155 +151,226 @@ def met(rows: DataFrame, width: Callable[[int], int], make: Callable[[int], Call
     return rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-BUCKETS = "key long, id long, pivot long, rank long, top long"
+BUCKETS = "key long, id long, pivot long"
 
 
-def buckets(keys: DataFrame, held: int = HELD) -> DataFrame:
-    """(key, id, pivot, rank, top) of all rows of keys that two ids or more have. ``keys``: part, data, as of ``packed`` with the ids as column.
+def buckets(dealt: DataFrame, parts: int, held: int = HELD) -> DataFrame:
+    """(key, id, pivot) of all rows of keys that two ids or more have, of rows of ``Dealer``."""
+    return met(dealt, lambda part: 3, lambda part: Buckets().feed if part < parts else passed, BUCKETS, held)
 
-    ``top`` is the bucket's last rank, or -1 where a part came in pieces and it wasn't known yet.
-    """
-    return met(keys, lambda part: 2, lambda part: Buckets().feed, BUCKETS, held)
+
+def passed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    yield bucket_rows(*table)
+
+
+def bucket_rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "pivot"])
 
 
 class Buckets:
-    """The buckets of one part. Between pieces only each key's pivot and size are kept."""
+    """The pivots (key, id, rows) of one part. Between pieces only each key's pivot and rows are kept."""
 
     def __init__(self):
         self.keys = self.pivots = self.sizes = None
 
     def feed(self, table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        k, i = table
-        first = self.keys is None
-        if first and last:  # most rows are alone with their key, and go before the finer sort
-            order = np.argsort(k)
-            k, i = k[order], i[order]
-            same = k[1:] == k[:-1]
-            many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            k, i = k[many], i[many]
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
-        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))[: len(k)]
-        k, i = k[fresh], i[fresh]  # one id from several blocks is one row
-        if not len(k):
-            return
+        k, i, n = table
+        order = np.lexsort((-n, i, k))
+        k, i, n = k[order], i[order], n[order]
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))  # one id from several tasks is one row, of most company
+        k, i, n = k[fresh], i[fresh], n[fresh]
         heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         counts = np.diff(np.append(heads, len(k)))
         keys, pivots, before = k[heads], i[heads].copy(), np.zeros(len(heads), np.int64)
-        if not first:
+        again = np.zeros(len(k), bool)
+        if self.keys is not None:
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             seen = self.keys[at] == keys
             pivots[seen], before[seen] = self.pivots[at[seen]], self.sizes[at[seen]]
-            # pivots that were alone till now
-            alone = seen & (before == 1)
-            if alone.any():
-                none = np.zeros(int(alone.sum()), np.int64)
-                yield self._rows(keys[alone], pivots[alone], pivots[alone], none, none - 1)
-        ranks = np.arange(len(k)) - np.repeat(heads - before, counts)
-        tops = np.repeat(counts + before - 1, counts)
-        give = (tops > 0) & ((i != np.repeat(pivots, counts)) | (np.repeat(before, counts) == 0))
+            again = np.repeat(seen, counts) & (i == np.repeat(pivots, counts))
+        sizes = np.add.reduceat(n - again, heads)
+        alone = (before == 1) & (sizes > 0)  # pivots that had no company till now
+        if alone.any():
+            yield bucket_rows(keys[alone], pivots[alone], pivots[alone])
+        give = np.repeat(sizes + before > 1, counts) & ~again
         if give.any():
-            yield self._rows(k[give], i[give], np.repeat(pivots, counts)[give], ranks[give], tops[give] if first and last else np.full(int(give.sum()), -1))
+            yield bucket_rows(k[give], i[give], np.repeat(pivots, counts)[give])
         if not last:
-            known = [] if first else [(self.keys, self.pivots, self.sizes)]
-            every, p, n = (np.concatenate(c) for c in zip(*known, (keys, pivots, counts), strict=True))
+            known = [] if self.keys is None else [(self.keys, self.pivots, self.sizes)]
+            every, p, n = (np.concatenate(c) for c in zip(*known, (keys, pivots, sizes), strict=True))
             order = np.argsort(every, kind="stable")
             heads = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
             self.keys, self.pivots, self.sizes = every[order][heads], p[order][heads], np.add.reduceat(n[order], heads)
 
+
+# mixed buckets
+
+
+@dataclass
+class Members:
+    """Items of one bucket, side by side."""
+
+    ids: np.ndarray
+    groups: np.ndarray
+    asks: np.ndarray
+    visits: np.ndarray
+    sigs: np.ndarray
+    keys: np.ndarray
+    texts: list[bytes | None] | None = None
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def take(self, at: np.ndarray) -> Members:
+        return Members(*(x[at] for x in (self.ids, self.groups, self.asks, self.visits, self.sigs, self.keys)), self.texts and [self.texts[i] for i in at.tolist()])
+
     @staticmethod
-    def _rows(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "pivot", "rank", "top"])
-
-
-def _cross_links(key: int, ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sigs: np.ndarray, texts: list[bytes | None], how: Similarity, keys: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Confirmed links that join different groups; if there are two blocks, of pairs of both. ``keys``: a column for each band; without them the bands are of signature bytes."""
-    values, inverse, counts = np.unique(groups, return_inverse=True, return_counts=True)
-    if len(values) < 2:
-        return []
-    two, largest = blocks.min() != blocks.max(), inverse == np.argmax(counts)
-    order = np.argsort(largest, kind="stable")  # the largest group is last, and asks nothing
-    ids, inverse, blocks, sigs, texts = ids[order], inverse[order], blocks[order], sigs[order], [texts[i] for i in order.tolist()]
-    if keys is not None:
-        keys = keys[order]
-    band, asking, found = key & ((1 << BAND_BITS) - 1), int((~largest).sum()), []
-    step = max(1, _AT_ONCE // max(1, sigs.size))
-    for at in range(0, asking, step):
-        own, rest = slice(at, min(at + step, asking)), slice(at + 1, len(ids))
-        same = sigs[own, None, :] == sigs[None, rest, :]
-        score = same.sum(-1, dtype=np.int32)
-        alike = (score >= how.least) & (inverse[own, None] != inverse[None, rest])
-        alike &= np.arange(own.start, own.stop)[:, None] < np.arange(rest.start, rest.stop)[None, :]
-        if two:
-            alike &= blocks[own, None] != blocks[None, rest]
+    def joined(parts: list[Members]) -> Members:
+        columns = zip(*((p.ids, p.groups, p.asks, p.visits, p.sigs, p.keys) for p in parts), strict=True)
+        return Members(*map(np.concatenate, columns), None if parts[0].texts is None else [t for p in parts for t in p.texts])
+
+
+def likely_pairs(band: int, one: Members, home: Members, how: Similarity) -> np.ndarray:
+    """Rows (score, x, y) of pairs of an asking member of ``one`` and one of ``home``: of different groups, likely by signature, of no bucket of a band before, and if both ask then once."""
+    found, step = [np.zeros((0, 3), np.int64)], max(1, _AT_ONCE // max(1, home.sigs.size))
+    asking = np.flatnonzero(one.asks)
+    for at in range(0, len(asking), step):
+        own = asking[at : at + step]
+        score = (one.sigs[own, None, :] == home.sigs[None, :, :]).sum(-1, dtype=np.int32)
+        alike = (score >= how.least) & (one.groups[own, None] != home.groups[None, :])
+        alike &= ~home.asks[None, :] | (one.ids[own, None] < home.ids[None, :])
         x, y = np.nonzero(alike)
-        if len(x):
-            # bytes may agree where minima don't, so where there are keys they tell which buckets have the pair
-            if keys is None:
-                shared = same[x, y, : band * how.rows].reshape(len(x), band, how.rows).all(-1).any(1)
-            else:
-                shared = _any_equal(keys[:, :band], x + at, y + at + 1)
-            now = ~shared  # else an earlier band's bucket has the pair
-            found.append(np.stack([score[x, y], x + at, y + at + 1], 1)[now])
-    if not found:
-        return []
-    pairs = np.concatenate(found)
-    pairs = pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:]
-    used = np.unique(pairs)
-    shingles, bounds = how.sets([texts[i] for i in used.tolist()])
-    sets = {i: shingles[b:e] for i, b, e in zip(used.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)}
-    parent, links = list(range(len(values))), []
-
-    def root(g: int) -> int:
-        while parent[g] != g:
-            parent[g] = parent[parent[g]]
-            g = parent[g]
+        before = np.zeros(len(x), bool)
+        for column in range(band):
+            before |= one.keys[own[x], column] == home.keys[y, column]
+        found.append(np.stack((score[x, y], own[x], y), 1)[~before])
+    return np.concatenate(found)
+
+
+class Roots:
+    """Which groups have been joined in a bucket's block."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def of(self, g: int) -> int:
+        while (p := self.parent.get(g, g)) != g:
+            self.parent[g] = self.parent.get(p, p)
+            g = p
         return g
 
-    for x, y in pairs.tolist():
-        g, h = root(int(inverse[x])), root(int(inverse[y]))
-        if g != h and how.linked(sets[x], sets[y]):
-            parent[g] = h
-            links.append((int(ids[x]), int(ids[y])))
-    return links
 
+class SetCache:
+    """Shingle sets of the texts that were asked for last."""
 
-def _any_equal(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of pairs of rows, whether they agree in a column; column by column, as there can be many pairs."""
-    out = np.zeros(len(x), bool)
-    for column in keys.T:
-        out |= column[x] == column[y]
-    return out
+    def __init__(self, how: Similarity):
+        self.how, self.held = how, {}
 
+    def of(self, m: Members, i: int) -> np.ndarray:
+        key = int(m.ids[i])
+        if key not in self.held:
+            if len(self.held) >= _SETS:
+                self.held.pop(next(iter(self.held)))
+            self.held[key] = self.how.sets([m.texts[i]])[0]
+        return self.held[key]
 
-def _across(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by (key, one, other); a group has at most two blocks, and only one is held."""
-    current, rows = None, []
-    for group, row in _rows_of(batches):
-        if group != current and rows:
-            yield from _linked(current[0], rows, how)
-            rows = []
-        current = group
-        rows.append(row)
-    if rows:
-        yield from _linked(current[0], rows, how)
 
+def confirmed(pairs: np.ndarray, one: Members, home: Members, how: Similarity, roots: Roots, cache: SetCache) -> list[tuple[int, int]]:
+    """Links that join groups, the likeliest pairs first."""
+    links = []
+    for x, y in pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:].tolist():
+        g, h = roots.of(int(one.groups[x])), roots.of(int(home.groups[y]))
+        if g != h and how.linked(cache.of(one, x), cache.of(home, y)):
+            roots.parent[g] = h
+            links.append((int(one.ids[x]), int(home.ids[y])))
+    return links
 
-def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple]]:
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[tuple[tuple[int, int], Members, pa.RecordBatch]]:
+    """((key, block), members, rows) of rows sorted so, those at home first: all of them at once, then visitors by the block."""
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("key", "one", "other", "id", "component", "block", "sig", "keys", "text")]
-        columns[-1] = columns[-1].cast(pa.large_binary())
-        for key, one, other, *row in zip(*(c.to_pylist() for c in columns), strict=True):
-            yield (key, one, other), row
+        key, block, visits = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "block", "visits"))
+        edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (visits[1:] != visits[:-1])) + 1
+        for b, e in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+            for at in range(b, e, BLOCK):
+                part = batch.slice(at, min(BLOCK, e - at))
+                yield (int(key[b]), int(block[b])), _members(part, texts), part
+
+
+def _members(part: pa.RecordBatch, texts: bool) -> Members:
+    column = lambda c: part.column(part.schema.get_field_index(c))
+    number = lambda c: column(c).to_numpy(zero_copy_only=False)
+    matrix = lambda c, kind: np.frombuffer(b"".join(column(c).to_pylist()), kind).reshape(len(part), -1)
+    return Members(number("id"), number("component"), number("asks"), number("visits"), matrix("sig", np.uint8), matrix("keys", np.int64), column("text").cast(pa.large_binary()).to_pylist() if texts else None)
+
+
+def _walked(batches: Iterator[pa.RecordBatch], texts: bool, compare: Callable, fresh: Callable, close: Callable) -> Iterator[pa.RecordBatch]:
+    """Feeds ``compare(state, key, one, rows, home, home rows)`` block by block: a block with itself, then its visitors; ``close`` ends a state of ``fresh()``."""
+    current, home, at_home, state = None, [], [], None
+
+    def settle():
+        nonlocal home, at_home
+        if len(home) > 1:
+            home, at_home = [Members.joined(home)], [pa.concat_batches(at_home)]
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        if current is not None:
+            if not state["met"]:
+                settle()
+                yield from compare(state, current[0], home[0], at_home[0], home[0], at_home[0])
+            yield from close(state, home, at_home)
+
+    for name, members, rows in _blocks_of(batches, texts):
+        if name != current:
+            yield from ended()
+            current, home, at_home, state = name, [], [], {"met": False, **fresh()}
+        if not members.visits[0]:
+            home.append(members)
+            at_home.append(rows)
+            continue
+        if not home:  # nothing at home that could be met
+            state["met"] = True
+            continue
+        settle()
+        if not state["met"]:
+            yield from compare(state, current[0], home[0], at_home[0], home[0], at_home[0])
+            state["met"] = True
+        yield from compare(state, current[0], members, rows, home[0], at_home[0])
+    yield from ended()
+
+
+def _surviving(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    """The rows that have a likely pair in their block."""
+    names = ["key", "block", "visits", "id", "component", "asks", "sig", "keys"]
+
+    def compare(state, key, one, rows, home, at_home):
+        pairs = likely_pairs(key & ((1 << BAND_BITS) - 1), one, home, how)
+        state["home"].update(pairs[:, 2].tolist())
+        if one is home:
+            state["home"].update(pairs[:, 1].tolist())
+        elif len(pairs):
+            yield rows.take(pa.array(np.unique(pairs[:, 1]))).select(names)
+
+    def close(state, home, at_home):
+        if state["home"]:
+            yield at_home[0].take(pa.array(sorted(state["home"]))).select(names)
+
+    return _walked(batches, False, compare, lambda: {"home": set()}, close)
+
+
+def _linking(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows that have their texts."""
+
+    def compare(state, key, one, rows, home, at_home):
+        pairs = likely_pairs(key & ((1 << BAND_BITS) - 1), one, home, how)
+        if links := confirmed(pairs, one, home, how, state["roots"], state["cache"]):
+            a, b = zip(*(sorted(x) for x in links), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _walked(batches, True, compare, lambda: {"roots": Roots(), "cache": SetCache(how)}, lambda *_: iter(()))
 
 
-def _linked(key: int, rows: list, how: Similarity) -> Iterator[pa.RecordBatch]:
-    ids, groups, blocks = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-    keys = None if rows[0][4] is None else np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), -1)
-    if links := _cross_links(key, ids, groups, blocks, sigs, [r[5] for r in rows], how, keys):
-        a, b = zip(*(sorted(x) for x in links), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+# the whole way
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
@@ -265,8 +385,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.
         a, b = column("a").to_numpy()[like], column("b").to_numpy()[like]
         left, right = (column(c).cast(pa.large_binary()).take(pa.array(like)).to_pylist() for c in ("text_a", "text_b"))
         keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), 64):
-            shingles, bounds = how.sets(right[at : at + 64])
+        for at in range(0, len(a), _SETS):
+            shingles, bounds = how.sets(right[at : at + _SETS])
             for i, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), at):
                 if last is None or a[i] != last:
                     last, last_set = a[i], how.sets([left[i]])[0]
@@ -280,35 +400,46 @@ def least_equal(hashes: int, percent: int) -> int:
     return int(hashes * p - 4.3 * (hashes * p * (1 - p)) ** 0.5)
 
 
-def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFrame], how: Similarity, shared: Shared) -> DataFrame:
+def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFrame], how: Similarity, shared: Shared, given: DataFrame | None = None) -> DataFrame:
     """(id, component) of all ids that are linked with another, but the components' smallest.
 
     ``multi``: a table of ``buckets``' rows. ``describe``: takes the ids (id) that matter, and gives id, sig
-    (binary of one width) and text of each, and keys (its key of each band, 8 bytes each) unless the bands are of
-    the signature's bytes themselves.
+    (binary of one width), keys (its key of each band, 8 bytes each) and text of each. ``given``: links (a, b) that hold anyhow.
     """
-    count = partitions(multi.sparkSession)
+    spark = multi.sparkSession
     items = describe(multi.select("id").distinct())
-    keys = F.col("keys") if "keys" in items.columns else F.lit(None).cast("binary").alias("keys")
-    items = shared.write(items.select("id", "sig", keys, "text"), "items")
+    items = shared.write(items.select("id", "sig", "keys", "text"), "items")
     signed = items.drop("keys")
     pairs = multi.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     pairs = pairs.join(signed.toDF("b", "sig_b", "text_b"), "b").join(signed.toDF("a", "sig_a", "text_a"), "a")
-    links = shared.write(pairs.mapInArrow(lambda it: _confirm(it, how), "a long, b long"), "links")
+    links = pairs.mapInArrow(lambda it: _confirm(it, how), "a long, b long")
+    links = shared.write(links if given is None else links.unionByName(given), "links")
     stars = components(links, shared, "stars")
     shared.drop("links")
 
-    wide = multi.where("top > 1")  # of a bucket of two, the one pair has been looked at
-    open_ = multi.where("top < 0")
-    if not open_.isEmpty():
-        tops = open_.groupBy("key").agg(F.max("rank").alias("top")).where("top > 1")
-        wide = wide.unionByName(open_.drop("top").join(tops, "key"))
-    wide = wide.join(stars, "id", "left").select("key", "id", "rank", "top", F.coalesce("component", "id").alias("component"))
+    wide = multi.join(stars, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     wide = shared.write(wide, "wide")
-    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rows = wide.join(mixed, "key").withColumn("block", F.expr(f"rank div {BLOCK}"))
-    rows = rows.withColumn("with", F.explode(F.expr(f"sequence(0L, top div {BLOCK})")))
-    rows = rows.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "id", "component", "block").join(items, "id")
-    dealt = rows.repartition(count, "key", "one", "other").sortWithinPartitions("key", "one", "other")
-    more = shared.write(dealt.mapInArrow(lambda it: _across(it, how), "a long, b long"), "more-links")
-    return stars if more.isEmpty() else components(stars.toDF("a", "b").unionByName(more), shared, "all-stars")
+    sizes = wide.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("members"), F.count("*").alias("groups"))
+    mixed = shared.write(mixed.where("groups > 1 AND members > 2").drop("groups"), "mixed")  # of a bucket of two, the one pair has been looked at
+    if mixed.isEmpty():
+        return stars
+    rows = with_facts(wide, mixed, ["key"], "members", wide.count()).where("largest IS NOT NULL")
+    rows = shared.write(rows.select("key", "id", "component", "members", (F.col("component") != F.col("largest")).alias("asks")), "mixed-rows")
+    weights = items.select("id", (F.length("text") / 1000).alias("thousands"))
+    blocks = rows.join(weights, "id").groupBy("key").agg(F.count("*").alias("members"), (1 + F.greatest(F.floor(F.count("*") / BLOCK), F.floor(F.sum("thousands") / BLOCK_THOUSANDS))).alias("blocks"))
+    blocks = shared.write(blocks, "blocks")
+    dealt = with_facts(rows.drop("members"), blocks, ["key"], "members", rows.count())
+    home = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = dealt.select("key", "id", "component", "asks", home.alias("home"), F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home))).alias("block"))
+    dealt = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("visits"), "id", "component", "asks").join(items.select("id", "sig", "keys"), "id")
+    order = ("key", "block", "visits", "id")
+    many = partitions(spark)
+    likely = dealt.repartition(many, "key", "block").sortWithinPartitions(*order).mapInArrow(lambda it: _surviving(it, how), "key long, block long, visits boolean, id long, component long, asks boolean, sig binary, keys binary")
+    likely = shared.write(likely, "likely")
+    told = likely.join(items.select("id", "text"), "id").repartition(many, "key", "block").sortWithinPartitions(*order)
+    more = shared.write(told.mapInArrow(lambda it: _linking(it, how), "a long, b long"), "more-links")
+    shared.drop("mixed-rows", "blocks", "likely")
+    if more.isEmpty():
+        return stars
+    return components(shared.write(stars.toDF("a", "b").unionByName(more), "all-links"), shared, "all-stars")

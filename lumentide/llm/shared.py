@@ -1,35 +1,44 @@
 """Tables in the folder that all machines share, used to cut lineage.
 
-The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, a
-laptop) a folder below the system's temporary one is used. A table written here
-survives the loss of any executor, and shuffle files before it can go.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset and Spark runs
+within one machine (tests, a laptop) a folder below the system's temporary one is used;
+on a cluster that is an error, as executors would write to disks of their own. A table
+written here survives the loss of any executor, and shuffle files before it can go.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = f"file://{tempfile.gettempdir()}/lumentide-shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-#: lets Spark remove a query's shuffle files as soon as it has ended
+#: lets Spark remove a query's shuffle files as soon as it has ended; another query that runs meanwhile only loses its own sooner
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: folders by application
+_kept: dict[str, list[str]] = {}
+
 
 class Shared:
-    """Intermediate tables of one operator call. They stay until dropped: what a lazy result reads is left in the folder."""
+    """Intermediate tables of one operator call. What a lazy result reads stays in the folder until ``release``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
+        _kept.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
@@ -44,10 +53,8 @@ class Shared:
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for name in self.names.intersection(names):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
             self.names.discard(name)
 
     def keep(self, *names: str) -> None:
@@ -55,5 +62,45 @@ class Shared:
         self.drop(*self.names.difference(names))
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application's operators have left, once their results have been read or written."""
+    for root in _kept.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized(spark: SparkSession, rows: int, rows_a_part: int) -> int:
+    """Shuffle partitions for rows that are counted: those of the session, more where it has too few."""
+    return max(partitions(spark), rows // rows_a_part)
+
+
+def free(name: str, columns: Iterable[str]) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: a key is hot if over one in so many rows have it, and these many rows at least
+HOT, HOT_LEAST = 1000, 64
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``facts``: one row for each key, ``count`` of which says how many of the ``total`` rows have it.
+
+    Hot keys are at most ``HOT`` by arithmetic, so their facts are broadcast and their rows
+    stay where they are; all others are shuffled by key. Null keys have no facts.
+    """
+    hot = F.col(count) > max(total // HOT, HOT_LEAST)
+    there = rows.join(F.broadcast(facts.where(hot)), keys)
+    others = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti").join(facts.where(~hot), keys, "left")
+    return there.unionByName(others)

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 BLOCK_BYTES = 1 << 19
@@ -153,3 +155,8 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
     offsets = np.arange(len(matrix) + 1, dtype=np.int32) * width
     data = np.ascontiguousarray(matrix).tobytes()
     return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
+def place_of(text: Column) -> Column:
+    """A hash by which JVM joins tell texts of one id apart."""
+    return F.xxhash64(text)

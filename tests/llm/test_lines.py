@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from lumentide.llm.lines import LineDup, dedup_lines
+from lumentide.llm.lines import LineDup, LineHashes, dedup_lines
 
 SCHEMA = "doc_id long, text string, lines string, component long"
 
@@ -67,3 +67,38 @@ def test_repeated_row_and_empty_table(spark):
     assert dedup_lines(df.limit(0)).count() == 0
     null = spark.createDataFrame([(None, "same line here", "q", 1), (3, "same line here", "q", 1)], SCHEMA)
     assert {r["doc_id"]: r["text"] for r in dedup_lines(null).collect()} == {None: "same line here", 3: ""}
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text loses its own lines; the shorter comes first in the table."""
+    rows = [(7, "short one here"), (7, "quite another first line\nsomething that repeats in this one\nthe last line of it"), (7, "something that repeats in this one"), (8, "the last line of it\nshort one here"), (None, "null has this line\nand this"), (None, "and this")]
+    df = spark.createDataFrame([(*r, "q", 1) for r in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in dedup_lines(df).collect()]
+    assert sorted(d or 0 for d, _ in got) == [0, 0, 7, 7, 7, 8]
+    lines = [x for _, t in rows for x in t.split("\n")]
+    assert sorted(x for _, t in got for x in t.split("\n") if x) == sorted(set(lines))
+    assert [t for d, t in got if d == 8] == [""]
+
+
+def test_names_that_clash(spark):
+    names = "doc_id long, text string, __lines string, line_doc long, LINE_PLACE long, line_numbers long, id long, t long, keeper long"
+    df = spark.createDataFrame([(1, "a line that is there twice\nx y", "k", *range(6)), (2, "A line that is there twice\nz", "k", *range(6))], names)
+    out = dedup_lines(df)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [(1, "a line that is there twice\nx y", "k", *range(6)), (2, "z", "k", *range(6))]
+
+
+def test_guards_are_a_second_hash():
+    lines = ["pppp ooo", "qqqq rrr", "pppp ooo", "\U0001f600 x", "ooo pppp", "\U0001f601 x"]
+    h, alone = LineHashes(lines, 8), [LineHashes([x], 8) for x in lines]
+    assert len(set(h.guards.tolist())) == len(set(h.ids.tolist())) == 5 and not set(h.guards.tolist()) & set(h.ids.tolist())
+    assert h.guards.tolist() == [int(a.guards[0]) for a in alone] and h.ids.tolist() == [int(a.ids[0]) for a in alone]
+
+
+def test_many_lines_go_in_order(spark):
+    """A document that loses thousands of its lines keeps the others in their order."""
+    text = "\n".join(x for i in range(3000) for x in (f"own line number {i} with words w{i * 7919}", f"shared words {i} of the other s{i * 104729}"))
+    first = "\n".join(f"shared words {i} of the other s{i * 104729}" for i in range(3000))
+    df = spark.createDataFrame([(1, first, "q", 1), (2, text, "q", 1)], SCHEMA)
+    s = LineDup(percent=100)
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(df, s).collect()}
+    assert got == {1: first, 2: "\n".join(f"own line number {i} with words w{i * 7919}" for i in range(3000))}
