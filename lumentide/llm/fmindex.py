@@ -67,70 +67,80 @@ def _dense(sorted_keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Symbols are 0 (parts sequences) to sigma - 1. Suffixes are sorted by ``window`` symbols at least, which backward search of patterns that long needs."""
+    """An index of texts for windows of ``window`` symbols, without the suffixes' order.
 
-    def __init__(self, symbols: np.ndarray, sigma: int, window: int):
-        self.window, n = window, len(symbols)
-        self.order, ranks = suffix_order(symbols, window)
+    Symbols are 0 (parts texts) to sigma - 1. ``owners`` says whose each symbol is; of every
+    window the least owner is kept. Held are the transform as packed bits, common prefixes
+    of neighbouring suffixes up to ``window`` in a byte each, the borders from which wider
+    intervals are found, and one number for each different window.
+    """
+
+    def __init__(self, symbols: np.ndarray, sigma: int, window: int, owners: np.ndarray):
+        self.window, self.size = window, len(symbols)
+        order, ranks = suffix_order(symbols, window)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma))))
-        self.bwt = WaveletMatrix(symbols[self.order - 1], sigma)
-        # suffixes that agree in exactly ``window`` symbols form groups: the intervals to which longer matches are cut back
-        same, a, b, left = np.ones(max(n - 1, 0), bool), self.order[:-1], self.order[1:], window
-        at = 0
-        while left:
-            width = 1 << (left.bit_length() - 1)
-            inside = (a + at + width <= n) & (b + at + width <= n)
-            same &= inside & (ranks[width][np.minimum(a + at, n - 1)] == ranks[width][np.minimum(b + at, n - 1)])
-            at, left = at + width, left - width
-        self.heads = np.flatnonzero(np.concatenate(([True], ~same))[:n])
-        self.group = np.cumsum(np.concatenate(([True], ~same))[:n]) - 1
-        self.tails = np.append(self.heads[1:], n)
+        self.bwt = WaveletMatrix(symbols[order - 1], sigma)
+        self.common = self._common(order, ranks)
+        self.left, self.right = self._borders()
+        #: where the suffixes of one window begin, one more at the end, and the least owner of each
+        self.heads = np.append(np.flatnonzero(self.common[:-1] < window), self.size).astype(np.int32)
+        self.least = np.minimum.reduceat(owners[order], self.heads[:-1]) if self.size else owners
+
+    def _common(self, order: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
+        """Symbols, ``window`` at most, that a suffix has in common with the one before; none at both ends."""
+        n = self.size
+        a, b, out = order[:-1], order[1:], np.zeros(max(n - 1, 0), np.int64)
+        for width in sorted(ranks, reverse=True):
+            inside = (a + out + width <= n) & (b + out + width <= n)
+            out += width * (inside & (ranks[width][np.minimum(a + out, n - 1)] == ranks[width][np.minimum(b + out, n - 1)]))
+        return np.concatenate(([0], np.minimum(out, self.window), [0])).astype(np.uint8)
+
+    def _borders(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the nearest on either side that has less in common."""
+        n, at = len(self.common), np.arange(len(self.common), dtype=np.int32)
+        left, right = np.zeros(n, np.int32), np.full(n, self.size, np.int32)
+        for value in np.unique(self.common)[1:]:
+            less, own = self.common < value, self.common == value
+            left[own] = np.maximum.accumulate(np.where(less, at, 0))[own]
+            right[own] = np.minimum.accumulate(np.where(less, at, self.size)[::-1])[::-1][own]
+        return left, right
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of symbol + pattern from those of the patterns."""
         both = self.bwt.rank(np.concatenate((symbols, symbols)), np.concatenate((lo, hi))) + np.concatenate((self.first[symbols],) * 2)
         return both[: len(lo)], both[len(lo) :]
 
-    def window_groups(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each position: the group of the window that begins there, or -1 where no window fits or it doesn't occur.
+    def shorten(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next wider interval of each, and the length of its pattern: the longest prefix that more suffixes have."""
+        border = np.where(self.common[lo] >= self.common[hi], lo, hi)
+        length = self.common[border].astype(np.int64)
+        return np.where(length > 0, self.left[border], 0), np.where(length > 0, self.right[border], self.size), length
+
+    def statistics(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of the runs symbols[start:end]: at each position the symbols from there on that the index holds, ``window`` at most, and where these are ``window`` the window's number, else -1.
 
-        The runs symbols[start:end] are streamed from right to left, all at once. A match
-        is extended by one symbol, and cut back to ``window`` symbols where it is longer.
-        Runs that the index holds never fail to extend; another run's match begins anew
-        from the symbol that failed, found by searching its window by itself.
+        The runs are streamed from right to left, side by side. A match is extended by one
+        symbol to the left; where that fails it loses symbols on its right until it can be.
         """
-        out = np.full(len(symbols), -1, np.int64)
+        lengths, windows = np.zeros(len(symbols), np.int64), np.full(len(symbols), -1, np.int64)
         longest_first = np.argsort(starts - ends, kind="stable")
         starts, ends = starts[longest_first], ends[longest_first]
-        sizes, n = ends - starts, len(self.order)
-        lo, hi, length = np.zeros(len(starts), np.int64), np.full(len(starts), n, np.int64), np.zeros(len(starts), np.int64)
+        sizes = ends - starts
+        lo, hi, length = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64), np.zeros(len(starts), np.int64)
         for step in range(int(sizes[0]) if len(sizes) else 0):
             active = int(np.searchsorted(-sizes, -step, side="left"))
-            at = ends[:active] - 1 - step
-            lo[:active], hi[:active] = self.extend(symbols[at], lo[:active], hi[:active])
-            length[:active] += 1
-            failed = np.flatnonzero(lo[:active] >= hi[:active])
-            if len(failed):
-                lo[failed], hi[failed], length[failed] = self._anew(symbols, at[failed], ends[failed])
+            at, open_ = ends[:active] - 1 - step, np.arange(active)
+            while len(open_):
+                a, b = self.extend(symbols[at[open_]], lo[open_], hi[open_])
+                good = a < b
+                done = open_[good]
+                lo[done], hi[done] = a[good], b[good]
+                length[done] += 1
+                open_ = open_[~good]
+                open_ = open_[length[open_] > 0]  # where nothing is left, the symbol doesn't occur
+                lo[open_], hi[open_], length[open_] = self.shorten(lo[open_], hi[open_])
             full = np.flatnonzero(length[:active] >= self.window)
-            group = self.group[lo[full]]
-            lo[full], hi[full], length[full] = self.heads[group], self.tails[group], self.window
-            out[at[full]] = group
-        return out
-
-    def _anew(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The longest match of each run's beginning, ``window`` symbols at most: ever shorter prefixes are searched."""
-        n = len(self.order)
-        lo, hi, size = np.zeros(len(starts), np.int64), np.full(len(starts), n, np.int64), np.zeros(len(starts), np.int64)
-        open_, tried = np.arange(len(starts)), np.minimum(ends - starts, self.window)
-        while len(open_):
-            a, b = np.zeros(len(open_), np.int64), np.full(len(open_), n, np.int64)
-            for k in range(int(tried[open_].max()) - 1, -1, -1):
-                on = (tried[open_] > k) & (a < b)
-                a[on], b[on] = self.extend(symbols[starts[open_[on]] + k], a[on], b[on])
-            good = (a < b) | (tried[open_] == 0)
-            done = open_[good]
-            lo[done], hi[done], size[done] = a[good], b[good], tried[done]
-            open_ = open_[~good]
-            tried[open_] -= 1
-        return lo, hi, size
+            number = np.searchsorted(self.heads, lo[full], side="right") - 1
+            lo[full], hi[full], length[full] = self.heads[number], self.heads[number + 1], self.window
+            lengths[at], windows[at[full]] = length[:active], number
+        return lengths, windows

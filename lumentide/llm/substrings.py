@@ -7,17 +7,22 @@ share their anchor and travel as one segment. Anchors that very many segments ha
 put last in the order and the segments cut again, so that common passages no longer drag
 their contexts into one shard.
 
-Equal segments are one: of its copies only the smallest document can keep words. Where
-an anchor has several different segments, each shard's are indexed by a compressed
-FM-index and streamed through it by backward search; the interval of each window gives
-the smallest document that holds it. Windows whose smallest document is smaller than
-their own are reported, and their words removed.
+Equal segments are one, found by a 128-bit hash: of its copies only the smallest document
+can keep words. Where an anchor has several different segments, a shard's segments of
+smaller documents are indexed by a compressed FM-index and those of larger documents are
+streamed through it by backward search, which gives their matching statistics; each
+window that the index holds has the smallest document that holds it. Segments are ranked
+by document within their anchor, and one round for each bit of the rank (those without it
+indexed, those with it streamed) lets each meet all smaller ones. Windows whose smallest
+document is smaller than their own are reported, and their words removed. An anchor with
+more than ``shard_words`` words is cut into pieces, each two of which are a shard.
 
 Cases: null texts have no words; texts of fewer words than a window keep all. Windows
-repeated within one document stay. Copies lose every word that a window covers; of
-repeated rows (one id, one text) each is treated alike. Very long texts are cut into
-segments like others. Ids are integers; a null id is compared with nothing. Extra
-columns are ignored. An empty table gives an empty result.
+repeated within one document stay. A row is known by its id and a hash of its text: rows
+that repeat an id with other texts are one document, none of them smaller than another,
+and each keeps its own words; repeated rows are treated alike. Very long texts are cut
+into segments like others. Ids are integers; a null id is compared with nothing. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.llm.fmindex import FMIndex
-from lumentide.llm.shared import Shared
-from lumentide.llm.textio import Words, blocks, inside, ngram_hashes, range_hashes
+from lumentide.llm.neardup import known
+from lumentide.llm.shared import Shared, sized, with_facts
+from lumentide.llm.textio import Words, blocks, inside, ngram_hashes, place_of, range_hashes
 
 _HOT = np.uint64(1 << 63)
+#: anchors that are broadcast at most
+_MOST_CUT = 20_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +55,7 @@ class Substrings:
     longest: int = 512
     hot_share: float = 1 / 20_000
     hot_least: int = 256
-    shard_segments: int = 2048
+    shard_words: int = 150_000
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, s: Substrings, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,7 +91,8 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], s: Substrings, hot: np.ndar
         owner = np.searchsorted(w.bounds, first, side="right") - 1
         seg = range_hashes(words, first, first + n + s.window - 1) + n.astype(np.uint64)
         columns = [pa.array(x) for x in (first - w.bounds[owner], n, anchor.view(np.int64), seg.view(np.int64))]
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), *columns], ["doc", "start", "n", "anchor", "seg"])
+        rows = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), *columns], ["doc", "t", "start", "n", "anchor", "seg"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Substrings) -> Iterator[pa.RecordBatch]:
@@ -94,33 +103,52 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], s: Substrings) -> Iterator[p
 
 
 def _segment_texts(batches: Iterator[pa.RecordBatch], s: Substrings) -> Iterator[pa.RecordBatch]:
-    """Input: doc, text, wanted (array of start, n, shard, seg, anchor). The words of each wanted segment, parted by spaces."""
+    """Input: doc, t, text, wanted (array of start, n, seg, anchor); repeated rows are in one task, and the first of them is enough. The words of each wanted segment, parted by spaces."""
+    seen: set[tuple[int, int]] = set()
     for part, texts in blocks(batches):
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in range(4)]
         wanted = part.column(part.schema.get_field_index("wanted"))
-        for doc, text, own in zip(part.column(0).to_pylist(), texts, wanted.to_pylist(), strict=True):
+        for doc, t, text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, wanted.to_pylist(), strict=True):
+            if (doc, t) in seen:
+                continue
+            seen.add((doc, t))
             words = text.split()
             for x in own:
-                for column, v in zip(out, (x["shard"], x["seg"], x["anchor"], doc, b" ".join(words[x["start"] : x["start"] + x["n"] + s.window - 1])), strict=True):
+                for column, v in zip(out, (x["seg"], x["anchor"], doc, b" ".join(words[x["start"] : x["start"] + x["n"] + s.window - 1])), strict=True):
                     column.append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["shard", "seg", "anchor", "doc", "words"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["seg", "anchor", "doc", "words"])
 
 
-def search_shard(rows: list[tuple[int, bytes]], window: int) -> list[list[tuple[int, int]]]:
-    """For each (document, words): runs (first window, windows) that a smaller document among the rows holds too."""
-    parts = [w.split() for _, w in rows]
+def search_shard(rows: list[tuple[int, int, bytes]], window: int) -> list[list[tuple[int, int]]]:
+    """For each (anchor, document, words): runs (first window, windows) that a smaller document of the same anchor holds too, and perhaps more that one of another anchor holds."""
+    parts = [w.split() for _, _, w in rows]
     codes: dict[bytes, int] = {}
-    flat = [c for p in parts for c in (*(codes.setdefault(w, len(codes) + 1) for w in p), 0)]
-    symbols, sizes = np.array(flat, np.int64), np.array([len(p) for p in parts])
-    ends = np.cumsum(sizes + 1) - 1
-    index = FMIndex(symbols, len(codes) + 1, window)
-    groups = index.window_groups(symbols, ends - sizes, ends)
-    owner = np.repeat(np.array([d for d, _ in rows], np.int64), sizes + 1)
-    least = np.minimum.reduceat(owner[index.order], index.heads)
-    taken = (groups >= 0) & (least[groups] < owner)
+    coded = [np.array([*(codes.setdefault(w, len(codes) + 1) for w in p), 0], np.int64) for p in parts]
+    ranks, sizes = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    groups: dict[int, list[int]] = {}
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][1]):
+        groups.setdefault(rows[k][0], []).append(k)
+    for members in groups.values():
+        ranks[members], sizes[members] = np.arange(len(members)), len(members)
+    taken = [np.zeros(len(p), bool) for p in parts]
+    for bit in range(int(sizes.max(initial=1) - 1).bit_length()):
+        upper, some = ranks >> bit & 1 == 1, sizes > 1 << bit
+        held, streamed = np.flatnonzero(some & ~upper), np.flatnonzero(some & upper)
+        if not len(held) or not len(streamed):
+            continue
+        text = np.concatenate([coded[k] for k in held])
+        owners = np.repeat(np.array([rows[k][1] for k in held], np.int64), [len(coded[k]) for k in held])
+        index = FMIndex(text, len(codes) + 1, window, owners)
+        stream = np.concatenate([coded[k] for k in streamed])
+        ends = np.cumsum([len(coded[k]) for k in streamed]) - 1
+        starts = ends - np.array([len(parts[k]) for k in streamed])
+        _, windows = index.statistics(stream, starts, ends)
+        for k, b, e in zip(streamed.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            found = windows[b:e]
+            taken[k] |= (found >= 0) & (index.least[found] < rows[k][1])
     out = []
-    for b, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], taken[b:e], [False])).astype(np.int8)))
+    for own in taken:
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
         out.append([(int(x), int(y - x)) for x, y in edges.reshape(-1, 2)])
     return out
 
@@ -133,41 +161,59 @@ def _hot(counts: DataFrame, s: Substrings) -> np.ndarray:
 
 
 def _search_groups(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    found = search_shard(list(zip(group["doc"].tolist(), group["words"].tolist(), strict=True)), window)
+    found = search_shard(list(zip(group["anchor"].tolist(), group["doc"].tolist(), group["words"].tolist(), strict=True)), window)
     rows = [(seg, anchor, x, n) for seg, anchor, runs in zip(group["seg"], group["anchor"], found, strict=True) for x, n in runs]
     return pd.DataFrame(rows, columns=["seg", "anchor", "at", "count"]).astype("int64")
 
 
-def repeated_windows(docs: DataFrame, s: Substrings = Substrings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, runs): for each document with repeated windows, runs (start, count) of windows that a smaller document holds."""
-    shared = Shared(docs.sparkSession, "substrings")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+#: rows that one task of a join with the texts takes
+_ROWS_A_PART = 50_000
+
+
+def repeated_windows(docs: DataFrame, s: Substrings = Substrings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(doc, t, runs): for each document with repeated windows, by its id and text's place, runs (start, count) of windows that a smaller document holds; and how many parts a join with the texts should have."""
+    spark, shared = docs.sparkSession, Shared(docs.sparkSession, "substrings")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc"), place_of(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
     counts = plain.select("text").mapInArrow(lambda it: _anchor_rows(it, s), "anchor long").groupBy("anchor").count()
     hot = _hot(shared.write(counts, "anchors"), s)
     shared.drop("anchors")
-    segs = plain.where("doc IS NOT NULL").mapInArrow(lambda it: _segment_rows(it, s, hot), "doc long, start long, n long, anchor long, seg long")
+    segs = plain.mapInArrow(lambda it: _segment_rows(it, s, hot), "doc long, t long, start long, n long, anchor long, seg long")
     segs = shared.write(segs, "segments")
+    all_segs = segs.count()
+    many = sized(spark, all_segs, 10 * _ROWS_A_PART)
     # the anchor is a second hash of the segment: together 128 bits
-    least = segs.groupBy("seg", "anchor").agg(F.min(F.struct("doc", "start", "n")).alias("first"), F.count("*").alias("copies"))
+    least = segs.groupBy("seg", "anchor").agg(F.min(F.struct("doc", "t", "start", "n")).alias("first"), F.count("*").alias("copies"))
     least = shared.write(least.select("seg", "anchor", "copies", "first.*"), "least")
 
-    several = least.groupBy("anchor").count().where("count > 1").select("anchor")
-    different = shared.write(least.join(several, "anchor", "left_semi"), "different")
-    shards = max(1, different.count() // s.shard_segments)
-    want = F.struct("start", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "seg", "anchor")
-    wanted = different.select("doc", want.alias("want")).groupBy("doc").agg(F.collect_list("want").alias("wanted"))
-    texts = plain.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(lambda it: _segment_texts(it, s), "shard long, seg long, anchor long, doc long, words binary")
-    found = texts.groupBy("shard").applyInPandas(lambda g: _search_groups(g, s.window), "seg long, anchor long, at long, count long")
-    found = shared.write(found.groupBy("seg", "anchor").agg(F.collect_list(F.struct("at", "count")).alias("runs")), "found")
+    # anchors with several segments, their words, and into how many pieces they are cut
+    words = F.sum(F.col("n") + s.window - 1)
+    several = least.groupBy("anchor").agg(F.count("*").alias("segments"), words.alias("words")).where("segments > 1")
+    several = shared.write(several.select("anchor", "segments", "words", (1 + F.floor(F.col("words") * 2 / s.shard_words)).alias("pieces")), "several")
+    total = several.agg(F.coalesce(F.sum("segments"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    shards = max(1, 2 * total[1] // s.shard_words)
+    different = with_facts(least, several, ["anchor"], "segments", all_segs).where("segments IS NOT NULL").select("doc", "t", F.struct("start", "n", "seg", "anchor").alias("want"))
+    wanted = different.groupBy("doc", "t").agg(F.collect_list("want").alias("wanted"))
+    texts = plain.repartition(many, "doc", "t").join(wanted.repartition(many, "doc", "t"), ["doc", "t"]).select("doc", "t", "text", "wanted")
+    texts = texts.mapInArrow(lambda it: _segment_texts(it, s), "seg long, anchor long, doc long, words binary")
+    # only the few anchors that are cut need to be told apart; there are at most 2 * words / shard_words of them
+    cut = several.where("pieces > 1").select("anchor", "pieces")
+    texts = texts.join(F.broadcast(cut) if cut.count() <= _MOST_CUT else cut, "anchor", "left")
+    own = F.pmod(F.xxhash64("seg"), F.col("pieces"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda k: k != own)
+    meeting = F.when(F.col("pieces").isNull(), F.array(F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(-1).cast("long").alias("one"), F.lit(-1).cast("long").alias("two"))))
+    meeting = meeting.otherwise(F.transform(others, lambda k: F.struct(F.col("anchor").alias("shard"), F.least(own, k).alias("one"), F.greatest(own, k).alias("two"))))
+    dealt = texts.select("seg", "anchor", "doc", "words", F.explode(meeting).alias("m")).select("seg", "anchor", "doc", "words", "m.*")
+    found = dealt.groupBy("shard", "one", "two").applyInPandas(lambda g: _search_groups(g, s.window), "seg long, anchor long, at long, count long")
+    found = shared.write(found.groupBy("seg", "anchor").agg(F.collect_set(F.struct("at", "count")).alias("runs")), "found")
 
     # copies of the smallest document's segment lose all its windows, that document's own lose those that were found
-    marked = least.join(found, ["seg", "anchor"], "left").where("copies > 1 OR runs IS NOT NULL").select("seg", "anchor", F.col("doc").alias("least"), "runs")
+    marked = least.join(found, ["seg", "anchor"], "left").where("copies > 1 OR runs IS NOT NULL").select("seg", "anchor", "copies", F.col("doc").alias("least"), "runs")
     marked = shared.write(marked, "marked")
     shared.keep("segments", "marked")
     whole = F.array(F.struct("start", F.col("n").alias("count")))
     moved = F.transform("runs", lambda r: F.struct((r["at"] + F.col("start")).alias("start"), r["count"].alias("count")))
-    hits = segs.join(marked, ["seg", "anchor"]).select("doc", F.when(F.col("doc") > F.col("least"), whole).otherwise(moved).alias("runs")).where("runs IS NOT NULL")
-    return hits.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    hits = with_facts(segs, marked, ["seg", "anchor"], "copies", all_segs).where("copies IS NOT NULL").select("doc", "t", F.when(F.col("doc") > F.col("least"), whole).otherwise(moved).alias("runs")).where("runs IS NOT NULL")
+    return hits.groupBy("doc", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), many
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -193,8 +239,9 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
 def dedup_substrings(docs: DataFrame, s: Substrings = Substrings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    runs = repeated_windows(docs, s, id_col, text_col)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(runs, F.col("id").cast("long") == F.col("doc"), "left")
+    runs, many = repeated_windows(docs, s, id_col, text_col)
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), known(F.col(id_col)).alias("doc"), place_of(F.col(text_col)).alias("t"))
+    joined = keyed.repartition(many, "doc", "t").join(runs.repartition(many, "doc", "t"), ["doc", "t"], "left")
     kind = docs.schema[id_col].dataType.simpleString()
     out = joined.select("id", "text", "runs").mapInArrow(lambda it: _kept(it, s.window), f"id {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
