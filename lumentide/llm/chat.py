@@ -43,6 +43,25 @@ def message_events(messages: DataFrame, seq: str = "turn") -> DataFrame:
     return messages.select("conv_id", F.col(seq).alias("seq"), F.lit("message").alias("kind"), "role", "text", F.lit(None).cast("long").alias("target"))
 
 
+def streamed_events(messages: DataFrame, seq: str = "turn") -> DataFrame:
+    """A log that leads to a table of finished messages. Texts come in two deltas; of three messages one is drafted and regenerated before, and one is sent unfinished and edited."""
+    order = Window.partitionBy("conv_id").orderBy("seq", "role", "text")
+    clean = messages.select("conv_id", F.col(seq).alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    numbered = clean.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("message"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail, none = F.substr("text", F.lit(1), half), F.substr("text", half + 1), F.lit("")
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).cast("long").alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(events)])
+
+    plain = log(("message", none), ("delta", head), ("delta", tail))
+    redone = log(("message", tail), ("delta", head), ("regenerate", none), ("delta", head), ("delta", tail))
+    edited = log(("message", head), ("delta", F.lit(" ...")), ("edit", F.col("text")))
+    turn = F.col("message") % 3
+    events = numbered.select("conv_id", "role", "message", F.explode(F.when(turn == 0, redone).when(turn == 1, plain).otherwise(edited)).alias("e"))
+    return events.select("conv_id", (F.col("message") * 8 + F.col("e.step")).alias("seq"), "e.kind", "role", "e.text", F.col("message").alias("target"))
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, message (from 1), role, text. ``target`` names the message that an event changes, else the latest."""
     clean = events.select(

@@ -29,12 +29,13 @@ def op1_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lumentide.llm.chat import loss_text, message_events, read_back, reconstruct, render
+    """The finished messages as the log of deltas, drafts and edits that led to them, folded again."""
+    from lumentide.llm.chat import loss_text, read_back, reconstruct, render, streamed_events
 
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    chats = render(reconstruct(message_events(rows)))
+    chats = render(reconstruct(streamed_events(rows)))
     turns = read_back(F.col("formatted"))
     loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     chats = chats.withColumn("turns", turns).withColumn("loss", loss)
@@ -80,10 +81,14 @@ WITH raw AS (
   SELECT page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') AS host0, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), parts AS (
   SELECT page_id, path, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM raw
+), labelled AS (
+  SELECT host, string_split(host, '.') AS labels, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN (toxic = 1 OR quality = 0) IS NOT NULL THEN 0 END AS bad FROM parts LEFT JOIN labels ON page_id = doc_id
+), sized AS (
+  SELECT *, CASE WHEN length(labels[-1]) = 2 AND labels[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gov', 'mil', 'ne', 'net', 'or', 'org') THEN 2 ELSE 1 END AS long FROM labelled
 ), hosts AS (
-  SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix,
-         count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS k
-  FROM parts JOIN labels ON page_id = doc_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY ALL
+  SELECT host, list_aggregate(list_slice(labels, -long - 1, -1), 'string_agg', '.') AS domain, list_aggregate(list_slice(labels, -long, -1), 'string_agg', '.') AS suffix,
+         count(bad) AS n, coalesce(sum(bad), 0) AS k
+  FROM sized GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS prior FROM domains GROUP BY suffix
 ), s0 AS (SELECT *, (SELECT 1 / least(0.2, greatest(0.001, coalesce(sum((k - n * prior) ** 2 - n * prior * (1 - prior)) / nullif(sum(n * (n - 1) * prior * (1 - prior)), 0), 0.001))) - 1 FROM suffixes) AS m FROM suffixes
@@ -113,6 +118,18 @@ def op4_fm_index_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+ORACLES["op4_fm_index_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)
+), least AS (SELECT key, min(doc_id) AS least FROM windows GROUP BY key
+), gone AS (SELECT DISTINCT doc_id, s + k AS p FROM (SELECT doc_id, s FROM windows JOIN least USING (key) WHERE least < doc_id), (SELECT unnest(range(50)) AS k)
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op5_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -148,6 +165,21 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("component", "component_id")
 
 
+ORACLES["op8_minhash_near_dedup"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 3], ' ')) AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) BETWEEN 1 AND 3 THEN 2 ELSE len(w) - 2 END)) AS s FROM d)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reached JOIN links ON a = other
+), named AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM named LEFT JOIN sizes USING (doc_id)
+"""
+
+
 @query
 def op9_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumentide.llm.quality import quality_measures

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lumentide.llm.chat import loss_text, message_events, read_back, reconstruct, render
+from lumentide.llm.chat import loss_text, message_events, read_back, reconstruct, render, streamed_events
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string, seq long"
 
@@ -38,3 +40,43 @@ def test_deltas_edits_and_regenerations(spark):
     events = spark.createDataFrame(rows, "conv_id long, seq long, kind string, role string, text string, target long")
     got = sorted((r["conv_id"], r["message"], r["role"], r["text"]) for r in reconstruct(events.repartition(3)).collect())
     assert got == [(1, 1, "user", "hello"), (1, 2, "assistant", "good day"), (2, 1, "assistant", "early")]
+
+
+def folded(rows):
+    """The fold once more, event by event."""
+    ranks, chats = ("message", "regenerate", "edit", "delta"), {}
+    for conv, _, kind, role, text, target in sorted(rows, key=lambda r: (r[0], r[1], ranks.index(r[2]), r[3] or "", r[4] or "")):
+        turns = chats.setdefault(conv, {})
+        count = turns.setdefault("count", 0) + (kind == "message")
+        turns["count"] = count
+        at = max(count, 1) if kind == "message" or target is None else target
+        turn = turns.setdefault(at, [role or "", ""])
+        if kind == "delta":
+            turn[1] += text or ""
+        else:
+            turn[1] = "" if kind == "regenerate" else text or ""
+    return sorted((c, k, *turn) for c, turns in chats.items() for k, turn in turns.items() if k != "count")
+
+
+def test_fold_matches_event_by_event(spark):
+    rnd = random.Random(6)
+    rows = []
+    for conv in range(30):
+        started = 0
+        for seq in rnd.sample(range(100), rnd.randrange(1, 30)):
+            rows.append([conv, seq, rnd.choice(("message", "delta", "delta", "edit", "regenerate")), rnd.choice(("user", "assistant", None)), rnd.choice(("a", "bc", "", None, "<|x")), None])
+        for r in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            started += r[2] == "message"
+            if r[2] != "message" and started and rnd.random() < 0.5:
+                r[5] = rnd.randrange(1, started + 1)
+    events = spark.createDataFrame([tuple(r) for r in rows], "conv_id long, seq long, kind string, role string, text string, target long")
+    assert sorted(tuple(r) for r in reconstruct(events.repartition(4)).select("conv_id", "message", "role", "text").collect()) == folded([tuple(r) for r in rows])
+
+
+def test_streamed_log_gives_the_messages_again(spark):
+    rows = [(c, t, r, x, "x", 5) for c in (1, 2, None) for t, r, x in ((0, "user", "hello there"), (1, "assistant", "x"), (1, "assistant", "é\U0001f600 two"), (2, None, None), (3, "user", ""), (4, "tool", "odd length"), (None, "system", "first"))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    log = streamed_events(df)
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    told = lambda events: sorted((tuple(r) for r in render(reconstruct(events)).select("conv_id", "formatted").collect()), key=repr)
+    assert told(log) == told(message_events(df))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from lumentide.llm.urls import Reputation, host_reputation, judge_urls
+from lumentide.llm.urls import Reputation, domain_of, host_reputation, judge_urls, suffix_of
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 PAGES, OUTCOMES = "page_id long, url string, html string, host string", "page_id long, bad int"
@@ -35,7 +35,9 @@ def test_shrinkage(spark):
 
     rep = {r["host"]: r for r in host_reputation(pages.select("page_id", host_of(pages["url"]).alias("host")), found).collect()}
     assert rep["a.bad.com"]["n"] == 40 and rep["b.bad.com"]["mean"] > rep["b.good.com"]["mean"]
-    assert all(r["k"] / r["n"] + 1e-9 >= r["mean"] or r["mean"] < 1 for r in rep.values())
+    assert all(0 < r["bound"] < r["mean"] < 1 for r in rep.values())
+    # a host's mean lies between its own share and its domain's mean, which other hosts pull
+    assert 38 / 40 > rep["a.bad.com"]["mean"] > rep["b.good.com"]["mean"] and 1 / 40 < rep["a.good.com"]["mean"] < rep["b.good.com"]["mean"]
     verdict = {r["host"]: r["verdict"] for r in judge_urls(pages, found, (), Reputation()).collect()}
     assert verdict["a.bad.com"] == "block" and verdict["a.good.com"] == "allow" and verdict["solo.org"] == "allow" and verdict["new.com"] == "allow"
 
@@ -58,3 +60,41 @@ def test_means_by_hand(spark):
     pages = spark.createDataFrame(rows, PAGES)
     rep = host_reputation(pages.select("page_id", host_of(pages["url"]).alias("host")), spark.createDataFrame(found, OUTCOMES)).collect()
     assert [r["mean"] for r in rep] == pytest.approx([0.5, 0.5])
+
+
+def test_three_levels_by_hand(spark):
+    """Outcomes (n, k): a.x.com (10, 10), b.x.com (10, 0), c.y.org (20, 20). By hand: suffixes differ much, so their rho is the most, 0.2, and m = 4; domains don't differ from their suffixes, so m = 999; hosts do, so m = 4."""
+    hosts, rows, found = (("a.x.com", 10, 10), ("b.x.com", 10, 0), ("c.y.org", 20, 20)), [], []
+    for host, n, k in hosts:
+        for i in range(n):
+            rows.append((len(rows), host))
+            found.append((len(found), int(i < k), "clash"))
+    rep = {r["host"]: r["mean"] for r in host_reputation(spark.createDataFrame(rows, "page_id long, host string"), spark.createDataFrame(found, "page_id long, bad int, host string")).collect()}
+    root = 31 / 42
+    com, org = (10 + 4 * root) / 24, (20 + 4 * root) / 24
+    x, y = (10 + 999 * com) / 1019, (20 + 999 * org) / 1019
+    assert rep == pytest.approx({"a.x.com": (10 + 4 * x) / 14, "b.x.com": 4 * x / 14, "c.y.org": (20 + 4 * y) / 24})
+
+
+def test_suffixes_and_domains(spark):
+    cases = [("a.b.co.uk", "co.uk", "b.co.uk"), ("b.co.uk", "co.uk", "b.co.uk"), ("co.uk", "co.uk", "co.uk"), ("a.com", "com", "a.com"), ("x.a.com", "com", "a.com"), ("co", "co", "co"), ("a.co", "co", "a.co"), ("x.com.br", "com.br", "x.com.br"), ("", "", ""), ("x.y.de", "de", "y.de")]
+    df = spark.createDataFrame([(c[0],) for c in cases], "host string")
+    got = {r["host"]: (r["s"], r["d"]) for r in df.select("host", suffix_of(df["host"]).alias("s"), domain_of(df["host"]).alias("d")).collect()}
+    assert got == {h: (s, d) for h, s, d in cases}
+
+
+def test_repeated_rows_labels_and_clashes(spark):
+    """Two pages rows of one id are judged each; repeated outcomes count each; extra columns of both tables clash with ours."""
+    pages = spark.createDataFrame([(1, "http://a.com/", 0, "x"), (1, "http://a.com/", 0, "x"), (None, "http://a.com/", 0, "x")], "page_id long, url string, n long, bound string")
+    found = spark.createDataFrame([(1, 1, "h", 1), (1, 0, "h", 1), (None, 1, "h", 1)], "page_id long, bad int, host string, k long")
+    assert [(r["page_id"], r["host"], r["verdict"]) for r in judge_urls(pages, found).orderBy("page_id").collect()] == [(None, "a.com", "allow"), (1, "a.com", "allow"), (1, "a.com", "allow")]
+    rep = host_reputation(pages.selectExpr("page_id", "'a.com' AS host"), found).collect()
+    assert [(r["n"], r["k"]) for r in rep] == [(4, 2)]
+
+
+def test_hot_host_and_domain(spark):
+    """Most pages of one host: the same verdicts as without them for the others."""
+    rows = [(i, "http://hot.big.com/") for i in range(3000)] + [(5000 + i, f"http://h{i}.big.com/") for i in range(200)] + [(9000 + i, f"http://x.d{i}.org/") for i in range(100)]
+    found = [(i, i % 2) for i in range(3000)] + [(5000 + i, 1) for i in range(50)]
+    got = {r["host"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(found, OUTCOMES)).collect()}
+    assert len(got) == 301 and got["hot.big.com"] == "allow"
