@@ -17,8 +17,8 @@ item must keep. These filters lose nothing.
 
 Words are lower-case runs of ASCII letters and digits and of bytes outside ASCII.
 
-Cases: items without a word match nothing; items under ``exact_below`` words must occur
-word for word. Null and empty documents match nothing; windows never cross documents.
+Cases: items without a word match nothing; items of so few words that ``max_rate`` grants
+no edit must occur word for word. Null and empty documents match nothing; windows never cross documents.
 Very long documents are searched whole. Repeated rows are reported each; of several
 places that match an item the closest, then the first, is reported. Items are sent to the executors
 ``items_at_once`` at a time, so what is broadcast is bounded. Extra columns are kept by
@@ -47,7 +47,6 @@ class Leaks:
     """``max_rate``: word edits to an item's words. ``walks`` x ``samples`` hashes of ``width`` steps find a piece of at most ``piece_edits`` edits with the recall that the tests measure."""
 
     max_rate: float = 0.2
-    exact_below: int = 8
     walks: int = 8
     samples: int = 6
     width: int = 3
@@ -56,7 +55,7 @@ class Leaks:
     items_at_once: int = 20_000
 
     def edits(self, n: int) -> int:
-        return int(self.max_rate * n) if n >= self.exact_below else 0
+        return int(self.max_rate * n)
 
     def pieces(self, n: int) -> int:
         return self.edits(n) // (self.piece_edits + 1) + 1
@@ -130,7 +129,7 @@ class LeakIndex:
             parts = settings.pieces(len(x))
             cuts = [len(x) * k // parts for k in range(parts + 1)]
             for begin, end in pairwise(cuts) if len(x) else ():
-                by_size.setdefault((len(x) >= settings.exact_below, end - begin), []).append(len(pieces))
+                by_size.setdefault((settings.edits(len(x)) > 0, end - begin), []).append(len(pieces))
                 pieces.append(x[begin:end])
                 edits.append(settings.edits(len(x)) // parts)
                 item.append(i)

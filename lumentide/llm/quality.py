@@ -4,8 +4,9 @@ The words of many documents are sorted as suffixes in one array, each word told
 document, so that intervals of common prefixes never leave a document. Prefix doubling
 keeps the ranks of each power of two; common prefixes of neighbours follow from those
 ranks by binary lifting. A suffix that shares at least ``min_repeat`` words with a
-neighbour starts a repeated substring; the union of these spans and the longest of them
-are limited.
+neighbour starts a repeated substring; the union of these spans is limited to a share of
+the words, and the longest of them, which says how much was pasted twice, to ``max_longest``
+words whatever the text's length.
 
 Cases: a null, empty or blank text has no words, fails the base rule and is not kept.
 A text of one word repeated is one overlapping repeat and is rejected. Equal rows are
@@ -38,7 +39,7 @@ class QualityRules:
     max_window_repeat: float = 0.5
     min_repeat: int = 10
     max_covered: float = 0.4
-    max_longest: int = 1000
+    max_longest: int = 200
 
 
 def suffix_repeats(words: np.ndarray, bounds: np.ndarray, min_repeat: int) -> tuple[np.ndarray, np.ndarray]:

@@ -88,7 +88,7 @@ def test_recall_at_the_threshold():
     assert found >= 0.98 * len(items)
 
 
-@pytest.mark.parametrize("n", [16, 20, 30, 55, 100, 200, 500])
+@pytest.mark.parametrize("n", [5, 7, 8, 12, 16, 20, 30, 55, 100, 200, 500])
 @pytest.mark.parametrize("even", [False, True])
 def test_recall_of_each_kind_of_edit_by_length(n, even):
     """Exactly int(0.2 n) edits, at random or evenly spread: substitutions, insertions, deletions."""
@@ -119,3 +119,14 @@ def test_words():
     w = match_words([b"A-b, c3!", None, "É x".encode()])
     assert [bytes(w.buf[b:e]) for b, e in zip(w.starts, w.ends)] == [b"a", b"b", b"c3", "É".encode(), b"x"]
     assert w.counts.tolist() == [3, 0, 2]
+
+
+def test_repeated_rows_ties_and_short_items(spark):
+    """Each row is reported; of places equally close the first; of closer ones the closest; items too short for an edit only word for word."""
+    item = "one two three four five six seven eight nine ten"
+    near = item.replace("five", "zero")
+    rows = [(1, f"{near} x y {near} z", 0, "e"), (1, f"{near} x y {near} z", 0, "e"), (2, f"{near} x y {item}", 0, "e"), (None, item, 0, "e"), (4, "alpha beta gamma and alpha delta gamma beta", 0, "e")]
+    b = spark.createDataFrame([(7, item), (8, item), (9, "alpha gamma beta"), (10, "alpha delta gamma beta"), (None, "alpha beta")], ITEMS)
+    got = sorted((tuple(r)[:3] + (r["start_word"], r["n_words"]) for r in find_leaks(spark.createDataFrame(rows, DOCS), b).collect()), key=repr)
+    twice = [(1, i, 1, 0, 10) for i in (7, 8)]
+    assert got == sorted([*twice, *twice, *[(2, i, 0, 12, 10) for i in (7, 8)], *[(None, i, 0, 0, 10) for i in (7, 8)], (4, 10, 0, 4, 4), (4, None, 0, 0, 2)], key=repr)
