@@ -55,7 +55,7 @@ class Settings:
     known_words: int = 250_000
     start_share: int = 10
     start_rounds: int = 10
-    rounds: int = 4
+    rounds: int = 3
     settled: float = 0.002
     smoothing: float = 0.1
     prior: float = 4.0
