@@ -10,7 +10,8 @@ their contexts into one shard.
 Equal segments are one, found by a 128-bit hash: of its copies only the smallest document
 can keep words. Where an anchor has several different segments, a shard's segments of
 smaller documents are indexed by a compressed FM-index and those of larger documents are
-streamed through it by backward search, which gives their matching statistics; each
+streamed through it by backward search, which gives their matching statistics (of the
+stretches whose runs of ``gram`` words all occur, as others can't hold a window); each
 window that the index holds has the smallest document that holds it. Segments are ranked
 by document within their anchor, and one round for each bit of the rank (those without it
 indexed, those with it streamed) lets each meet all smaller ones. Windows whose smallest
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from lumentide.llm.fmindex import FMIndex
 from lumentide.llm.neardup import known
-from lumentide.llm.shared import Shared, sized, with_facts
-from lumentide.llm.textio import Words, blocks, inside, ngram_hashes, place_of, range_hashes
+from lumentide.llm.shared import Shared, partitions, sized, with_facts
+from lumentide.llm.textio import Words, blocks, inside, mix, ngram_hashes, place_of, range_hashes
 
 _HOT = np.uint64(1 << 63)
 #: anchors that are broadcast at most
@@ -55,7 +56,7 @@ class Substrings:
     longest: int = 512
     hot_share: float = 1 / 20_000
     hot_least: int = 256
-    shard_words: int = 150_000
+    shard_words: int = 600_000
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, s: Substrings, hot: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,35 +120,50 @@ def _segment_texts(batches: Iterator[pa.RecordBatch], s: Substrings) -> Iterator
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["seg", "anchor", "doc", "words"])
 
 
-def search_shard(rows: list[tuple[int, int, bytes]], window: int) -> list[list[tuple[int, int]]]:
+def search_shard(rows: list[tuple[int, int, bytes]], window: int, gram: int = 8) -> list[list[tuple[int, int]]]:
     """For each (anchor, document, words): runs (first window, windows) that a smaller document of the same anchor holds too, and perhaps more that one of another anchor holds."""
     parts = [w.split() for _, _, w in rows]
     codes: dict[bytes, int] = {}
     coded = [np.array([*(codes.setdefault(w, len(codes) + 1) for w in p), 0], np.int64) for p in parts]
+    # runs of ``gram`` words; those that end a text hold its 0 and are like no other
+    gram = min(gram, window)
+    lengths = np.array([len(c) for c in coded])
+    flat = mix(np.concatenate(coded).astype(np.uint64)) if coded else np.zeros(0, np.uint64)
+    ends = np.cumsum(lengths) if len(lengths) else lengths
+    grams = np.append(ngram_hashes(flat, gram), np.zeros(min(gram - 1, len(flat)), np.uint64))
     ranks, sizes = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     groups: dict[int, list[int]] = {}
     for k in sorted(range(len(rows)), key=lambda k: rows[k][1]):
         groups.setdefault(rows[k][0], []).append(k)
     for members in groups.values():
         ranks[members], sizes[members] = np.arange(len(members)), len(members)
-    taken = [np.zeros(len(p), bool) for p in parts]
+    owner, taken = np.repeat(np.arange(len(rows)), lengths), np.zeros(len(flat), bool)
+    place = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
+    inside = place + gram < np.repeat(lengths, lengths)  # the run ends before the text does
     for bit in range(int(sizes.max(initial=1) - 1).bit_length()):
         upper, some = ranks >> bit & 1 == 1, sizes > 1 << bit
-        held, streamed = np.flatnonzero(some & ~upper), np.flatnonzero(some & upper)
-        if not len(held) or not len(streamed):
+        held, streamed = (some & ~upper)[owner], (some & upper)[owner]
+        # a window can only be held where all its runs are; other stretches needn't be streamed
+        known = np.unique(grams[held & inside])
+        if not len(known):
             continue
-        text = np.concatenate([coded[k] for k in held])
-        owners = np.repeat(np.array([rows[k][1] for k in held], np.int64), [len(coded[k]) for k in held])
-        index = FMIndex(text, len(codes) + 1, window, owners)
-        stream = np.concatenate([coded[k] for k in streamed])
-        ends = np.cumsum([len(coded[k]) for k in streamed]) - 1
-        starts = ends - np.array([len(parts[k]) for k in streamed])
-        _, windows = index.statistics(stream, starts, ends)
-        for k, b, e in zip(streamed.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            found = windows[b:e]
-            taken[k] |= (found >= 0) & (index.least[found] < rows[k][1])
+        at = np.flatnonzero(streamed & inside)
+        seen = np.zeros(len(flat) + 1, bool)
+        seen[at] = known[np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)] == grams[at]
+        edges = np.flatnonzero(seen[1:] != seen[:-1]) + 1
+        starts, stops = (np.insert(edges, 0, 0) if seen[0] else edges).reshape(-1, 2).T
+        long = stops - starts >= window - gram + 1
+        starts, stops = starts[long], stops[long] + gram - 1
+        if not len(starts):
+            continue
+        symbols = np.concatenate(coded)
+        documents = np.array([d for _, d, _ in rows], np.int64)
+        index = FMIndex(symbols[held], len(codes) + 1, window, documents[owner[held]])
+        _, windows = index.statistics(symbols, starts, stops)
+        found = np.flatnonzero(windows >= 0)
+        taken[found[index.least[windows[found]] < documents[owner[found]]]] = True
     out = []
-    for own in taken:
+    for own in np.split(taken, ends[:-1]) if len(rows) else ():
         edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8)))
         out.append([(int(x), int(y - x)) for x, y in edges.reshape(-1, 2)])
     return out
@@ -160,8 +176,8 @@ def _hot(counts: DataFrame, s: Substrings) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def _search_groups(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    found = search_shard(list(zip(group["anchor"].tolist(), group["doc"].tolist(), group["words"].tolist(), strict=True)), window)
+def _search_groups(group: pd.DataFrame, s: Substrings) -> pd.DataFrame:
+    found = search_shard(list(zip(group["anchor"].tolist(), group["doc"].tolist(), group["words"].tolist(), strict=True)), s.window, s.gram)
     rows = [(seg, anchor, x, n) for seg, anchor, runs in zip(group["seg"], group["anchor"], found, strict=True) for x, n in runs]
     return pd.DataFrame(rows, columns=["seg", "anchor", "at", "count"]).astype("int64")
 
@@ -203,7 +219,9 @@ def repeated_windows(docs: DataFrame, s: Substrings = Substrings(), id_col: str
     meeting = F.when(F.col("pieces").isNull(), F.array(F.struct(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), F.lit(-1).cast("long").alias("one"), F.lit(-1).cast("long").alias("two"))))
     meeting = meeting.otherwise(F.transform(others, lambda k: F.struct(F.col("anchor").alias("shard"), F.least(own, k).alias("one"), F.greatest(own, k).alias("two"))))
     dealt = texts.select("seg", "anchor", "doc", "words", F.explode(meeting).alias("m")).select("seg", "anchor", "doc", "words", "m.*")
-    found = dealt.groupBy("shard", "one", "two").applyInPandas(lambda g: _search_groups(g, s.window), "seg long, anchor long, at long, count long")
+    # a task for about each shard, as their work is much for their bytes
+    dealt = dealt.repartition(max(partitions(spark), shards), "shard", "one", "two")
+    found = dealt.groupBy("shard", "one", "two").applyInPandas(lambda g: _search_groups(g, s), "seg long, anchor long, at long, count long")
     found = shared.write(found.groupBy("seg", "anchor").agg(F.collect_set(F.struct("at", "count")).alias("runs")), "found")
 
     # copies of the smallest document's segment lose all its windows, that document's own lose those that were found
