@@ -27,6 +27,15 @@ def samples_of(rate: int, ms: float) -> int:
     return math.floor(rate * ms / 1000 + 0.5)
 
 
+def samples_in(ms: Column, rate: Column) -> Column:
+    """Whole samples of a span of milliseconds, rounded half away from zero."""
+    return F.round(rate * ms / 1000).cast("long")
+
+
+def ms_of(samples: Column, rate: Column) -> Column:
+    return samples * 1000.0 / rate
+
+
 def num_frames(length: Column, size: int, hop: int, policy: str) -> Column:
     """How many frames a signal of ``length`` samples has."""
     if size <= 0 or hop <= 0:

@@ -91,6 +91,27 @@ def preprocess(pcm: DataFrame, o: PreprocessOptions = PreprocessOptions()) -> Da
     return pre_emphasis(out, o.alpha) if o.pre_emphasis else out
 
 
+def preprocess_report(pcm: DataFrame, o: PreprocessOptions = PreprocessOptions()) -> DataFrame:
+    """One row for each clip: status, processed_samples, gain, and the statistics of its input and output. A clip with NaN or infinity has its status alone. One shuffle by clip."""
+    own = Window.partitionBy("clip")
+    bad = F.max((~is_finite(F.col("x"))).cast("int")).over(own)
+    kept = pcm.select("clip", "i", "x", bad.alias("bad"), F.col("x").alias("raw"))
+    sound = F.when(F.col("bad") == 0, F.col("x"))
+    done = peak_normalize(kept.withColumn("x", sound), o) if o.normalize else kept.withColumn("x", sound).withColumn("gain", F.lit(1.0))
+    if o.gate:
+        done = done.withColumn("x", noise_gate(F.col("x"), o.gate_db))
+    done = pre_emphasis(done, o.alpha) if o.pre_emphasis else done
+
+    def stats(c: str) -> Column:
+        x = F.col(c)
+        return F.struct(F.min(x).alias("min"), F.max(x).alias("max"), F.max(F.abs(x)).alias("max_abs"), F.avg(F.abs(x)).alias("mean_abs"), F.sqrt(F.avg(x * x)).alias("rms"), F.avg((x == 0).cast("double")).alias("zero_ratio"))
+
+    out = done.groupBy("clip").agg(F.max("bad").alias("bad"), F.count("*").alias("n"), F.max("gain").alias("gain"), stats("raw").alias("input"), stats("x").alias("output"))
+    ok = F.col("bad") == 0
+    good = lambda c: F.when(ok, F.col(c))
+    return out.select("clip", F.when(ok, "kOk").otherwise("kInvalidPcmData").alias("status"), good("n").alias("processed_samples"), good("gain").alias("gain"), good("input").alias("input"), good("output").alias("output"))
+
+
 def vad_frames(pcm: DataFrame, o: VadOptions = VadOptions()) -> DataFrame:
     """(clip, frame, rms, threshold, speech, active) of all whole frames; active adds the hangover."""
     frame = F.expr(f"i div {o.frame}")

@@ -36,6 +36,13 @@ def played_frame(anchor_frame: Column, anchor_us: Column, now_us: Column, rate:
     return F.when(usable, F.least(F.greatest(held, anchor_frame + moved), bound)).otherwise(held)
 
 
+def played_frames(ticks: DataFrame) -> DataFrame:
+    """Adds ``frame`` to a stream's ticks (stream, n, and ``played_frame``'s columns but the last frame): a running maximum, as what was submitted never falls."""
+    c = F.col
+    own = played_frame(c("anchor_frame"), c("anchor_us"), c("now_us"), c("rate"), c("submitted"), c("total"), F.lit(0).cast("long"))
+    return ticks.withColumn("frame", F.max(own).over(Window.partitionBy("stream").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def nearest_frames(ticks: DataFrame, frames: DataFrame, tolerance_us: int) -> DataFrame:
     """(stream, ref, pts, diff_us, action): for each tick the latest frame no more than the tolerance ahead.
 

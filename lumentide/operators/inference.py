@@ -1,13 +1,16 @@
 """Batched model inference with input guards, classified retries and per-row status.
 
 A failure is a row, never an exception: batches keep their alignment. The model is any
-picklable object with ``predict(mel, face) -> prediction``; workers unpickle it once for
-each task. Retries are of a row within its task and have nothing to do with Spark's.
+picklable object with ``predict(mel, face) -> prediction``; one that has ``predict_batch(mels,
+faces) -> predictions`` is given the good rows of a slice at once, and only rows of a slice
+that fails are tried one by one. Workers unpickle the model once for each task. Retries
+are of a row within its task and have nothing to do with Spark's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -42,6 +45,11 @@ class StandIn:
         out[:, SIDE // 2 :] *= np.float32(np.clip(0.5 + mel.mean() / 8, 0, 1))
         return np.clip(out, 0, 1).ravel()
 
+    def predict_batch(self, mels: np.ndarray, faces: np.ndarray) -> np.ndarray:
+        out = faces.reshape(-1, 6, SIDE, SIDE)[:, 3:].astype(np.float32)
+        out[:, :, SIDE // 2 :] *= np.clip(0.5 + mels.mean(axis=1) / 8, 0, 1).astype(np.float32)[:, None, None, None]
+        return np.clip(out, 0, 1, out=out).reshape(len(mels), -1)
+
 
 @dataclass
 class ModelRegistry:
@@ -117,22 +125,49 @@ def infer_one(model: Model | None, mel, face, max_retries: int = 1) -> tuple:
     return "kOk", out, tries, tries > 1, first
 
 
-def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1, face: np.ndarray | None = None, images: bool = False, least_sharpness: float | None = None) -> DataFrame:
+def infer_slice(model: Model | None, mels: list, faces: list, max_retries: int = 1) -> list[tuple]:
+    """``infer_one`` of each row; the good ones go through the model together where it takes batches."""
+    whole = getattr(model, "predict_batch", None)
+    checked = [guard(m, f) for m, f in zip(mels, faces, strict=True)] if whole else []
+    good = [k for k, status in enumerate(checked) if status == "kOk"]
+    made: dict[int, np.ndarray] = {}
+    if good:
+        try:
+            held = faces[good[0]]
+            one = all(faces[k] is held for k in good)
+            stack = np.broadcast_to(np.asarray(held, np.float32), (len(good), FACE)) if one else np.stack([np.asarray(faces[k], np.float32) for k in good])
+            out = np.asarray(whole(np.stack([np.asarray(mels[k], np.float32) for k in good]), stack), np.float32)
+            made = dict(zip(good, out, strict=True)) if out.ndim == 2 and out.shape[1] else {}
+        except (ExtractFailed, ValueError):
+            made = {}
+    rows = []
+    for k, (m, f) in enumerate(zip(mels, faces, strict=True)):
+        if k in made:
+            status = output_guard(made[k])
+            rows.append(("kOk", made[k], 1, False, None) if status == "kOk" else (status, None, 1, False, status))
+        elif checked and checked[k] != "kOk":
+            rows.append((checked[k], None, 0, False, None))
+        else:
+            rows.append(infer_one(model, m, f, max_retries))
+    return rows
+
+
+def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1, face: np.ndarray | None = None, images: bool = False, least_sharpness: float | None = None, deadline: float | None = None) -> DataFrame:
     """Inputs with ``mel`` and ``face`` replaced by the result's columns.
 
     ``face``: one prepared face for all rows of a job, sent once instead of with each row.
     ``images``: predictions leave the worker as converted images of a quarter of the size.
-    Results leave in slices of ``SLICE`` rows, whatever the input's batch.
+    ``deadline``: seconds since 1970 that all rows share; what isn't begun by then is kQueueWaitTimeout.
+    Results leave in slices of ``SLICE`` rows, whatever the input's batch, and each row keeps the columns that number it.
     """
     model, generation = registry.snapshot()
     sent = inputs.sparkSession.sparkContext.broadcast((model, face))  # of the model's size, whatever the data's
     rest = [c for c in inputs.columns if c not in ("mel", "face")]
 
-    def row(mel, own, model) -> tuple:
-        status, pred, *told = infer_one(model, mel, own, max_retries)
+    def told(status, pred, *rest) -> tuple:
         if not images:
-            return (status, pred, *told)
-        return (*(convert_one(pred, least_sharpness) if status == "kOk" else (status, None, None, None, None)), *told)
+            return (status, pred, *rest)
+        return (*(convert_one(pred, least_sharpness) if status == "kOk" else (status, None, None, None, None)), *rest)
 
     names = ["status", *(["image", "corrected", "sharpness", "sharp"] if images else ["pred"]), "attempts", "recovered", "first_failure"]
 
@@ -142,7 +177,9 @@ def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1, face
             for at in range(0, len(frame), SLICE):
                 part = frame.iloc[at : at + SLICE].reset_index(drop=True)
                 faces = part["face"] if shared is None else [shared] * len(part)
-                out = pd.DataFrame([row(m, f, model) for m, f in zip(part["mel"], faces, strict=True)], columns=names)
+                late = deadline is not None and time.time() > deadline
+                rows = [("kQueueWaitTimeout", None, 0, False, None)] * len(part) if late else infer_slice(model, list(part["mel"]), list(faces), max_retries)
+                out = pd.DataFrame([told(*r) for r in rows], columns=names)
                 yield pd.concat([part[rest], out.astype({"corrected": "Int32"}) if images else out], axis=1).assign(model_generation=generation)
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema if f.name in rest)
@@ -150,6 +187,12 @@ def infer(inputs: DataFrame, registry: ModelRegistry, max_retries: int = 1, face
     return inputs.mapInPandas(run, f"{kept}, {result}")
 
 
+def by_index(inputs: DataFrame, results: DataFrame, index: str = "index") -> DataFrame:
+    """A batch's results in its inputs' places: one row for each input, kTaskException where it has none."""
+    told = results.select(index, *[c for c in results.columns if c != index and c not in inputs.columns])
+    return inputs.join(told, index, "left").withColumn("status", F.coalesce("status", F.lit("kTaskException")))
+
+
 def admission(model_loaded: bool, workers: int, queue: int, timeout_ms: int, threads: int, cores: int, oversubscribe: bool = False) -> str:
     """Whether an engine may start so: the first check that fails. Threads are those that a model's kernels use in one worker."""
     if not model_loaded:

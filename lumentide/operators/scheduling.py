@@ -301,3 +301,92 @@ class TaskQueue:
     def load(self, held: dict) -> None:
         for k, v in held.items():
             setattr(self, k, v)
+
+
+@dataclass
+class Playback:
+    """The states of one clip's playback, without a device: its callbacks are events.
+
+    Events: op ``prepare`` (total, rate, channels, finite), ``start`` (now), ``callback``
+    (n: frames that the device takes; now), ``tick`` (now), ``finished``, ``stop`` (now),
+    ``abort`` (now) or ``reset``. Times are microseconds. The frame that is told never
+    falls, runs on from the last callback by the clock, and stops at what was taken.
+    """
+
+    state: str = "kIdle"
+    total: int = 0
+    rate: int = 0
+    taken: int = 0
+    anchor: int = 0
+    anchor_us: int = 0
+    last: int = 0
+
+    OUT = "status string, state string, frame long"
+
+    def step(self, event: dict) -> list[tuple]:
+        op = event["op"]
+        status = {"prepare": self._prepare, "start": self._start, "callback": self._callback, "tick": self._tick, "finished": self._finished, "stop": self._end, "abort": self._end, "reset": self._reset}[op](event)
+        return [(status, self.state, self.last)]
+
+    def _prepare(self, e: dict) -> str:
+        if self.state != "kIdle":
+            return "kInvalidState"
+        if (e.get("total") or 0) <= 0:
+            return "kEmptyAudio"
+        if (e.get("rate") or 0) <= 0:
+            return "kInvalidSampleRate"
+        if e.get("channels") != 1:
+            return "kUnsupportedChannels"
+        if e.get("finite") is False:
+            return "kInvalidPcmData"
+        self.total, self.rate, self.state = int(e["total"]), int(e["rate"]), "kPrepared"
+        return "kOk"
+
+    def _start(self, e: dict) -> str:
+        if self.state != "kPrepared":
+            return "kInvalidState"
+        self.taken = self.anchor = self.last = 0
+        self.anchor_us, self.state = int(e.get("now") or 0), "kRunning"
+        return "kOk"
+
+    def _callback(self, e: dict) -> str:
+        if self.state != "kRunning":
+            return "kInvalidState"
+        self._tick(e)
+        self.anchor, self.anchor_us = self.taken, int(e.get("now") or 0)
+        self.taken = min(self.total, self.taken + int(e.get("n") or 0))
+        return "kOk"
+
+    def _tick(self, e: dict) -> str:
+        if self.state == "kRunning":
+            elapsed = int(e.get("now") or 0) - self.anchor_us
+            if elapsed >= 0:
+                self.last = max(self.last, min(self.anchor + elapsed * self.rate // 1_000_000, self.taken, self.total))
+        return "kOk"
+
+    def _finished(self, e: dict) -> str:
+        if self.state == "kRunning" and self.taken >= self.total:
+            self.state, self.last = "kCompleted", self.total
+        return "kOk"
+
+    def _end(self, e: dict) -> str:
+        if self.state == "kCompleted":
+            return "kOk"
+        if self.state != "kRunning":
+            return "kInvalidState"
+        self._tick(e)
+        done = e["op"] == "stop" and self.taken >= self.total
+        self.state = "kCompleted" if done else "kStopped"
+        self.last = self.total if done else self.last
+        return "kOk"
+
+    def _reset(self, e: dict) -> str:
+        self.load(Playback().dump())
+        return "kOk"
+
+    def dump(self) -> dict:
+        return {k: getattr(self, k) for k in ("state", "total", "rate", "taken", "anchor", "anchor_us", "last")}
+
+    def load(self, held: dict) -> None:
+        for k, v in held.items():
+            setattr(self, k, v)

@@ -32,13 +32,16 @@ def finite_check(spark, sf_dir):
     return signal.finite_status(_spoilt(spark, sf_dir))
 
 
-@query(f"""WITH {_SPOILT} SELECT clip, count(*) AS n, round(min(x) FILTER (NOT isnan(x)), 6) AS min, round(max(abs(x)) FILTER (isfinite(x)), 6) AS peak, round(avg(CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_ratio,
- bool_or(isnan(x)) AS has_nan, bool_or(isinf(x)) AS has_inf, round(sqrt(avg(x * x) FILTER (isfinite(x))), 6) AS rms FROM bad GROUP BY clip""")
+@query(f"""WITH {_SPOILT}, f AS (SELECT *, first(x) OVER (PARTITION BY clip ORDER BY i) AS x0 FROM (SELECT clip, i, CASE WHEN clip % 9 = 7 AND i = 0 THEN CAST('nan' AS DOUBLE) ELSE x END AS x FROM bad)),
+g AS (SELECT clip, count(*) AS n, any_value(x0) AS x0, min(x) FILTER (NOT isnan(x)) AS lo, max(x) FILTER (NOT isnan(x)) AS hi, avg(abs(x)) AS mean_abs, sqrt(avg(x * x)) AS rms, avg(CASE WHEN x = 0 THEN 1.0 ELSE 0.0 END) AS zero_ratio, bool_or(isnan(x)) AS has_nan, bool_or(isinf(x)) AS has_inf FROM f GROUP BY clip)
+SELECT clip, n, CASE WHEN NOT isnan(x0) AND isfinite(lo) THEN round(lo, 6) + 0.0 END AS min, CASE WHEN NOT isnan(x0) AND isfinite(hi) THEN round(hi, 6) + 0.0 END AS max, CASE WHEN NOT isnan(x0) AND isfinite(lo) AND isfinite(hi) THEN round(greatest(abs(lo), abs(hi)), 6) END AS max_abs,
+ CASE WHEN isfinite(mean_abs) THEN round(mean_abs, 6) END AS mean_abs, CASE WHEN isfinite(rms) THEN round(rms, 6) END AS rms, round(zero_ratio, 6) AS zero_ratio, has_nan, has_inf FROM g""")
 def pcm_stats(spark, sf_dir):
-    spoilt = _spoilt(spark, sf_dir)
-    all_, good = signal.pcm_stats(spoilt), signal.pcm_stats(spoilt.where(signal.is_finite(F.col("x"))))
-    out = all_.select("clip", "n", "min", "zero_ratio", "has_nan", "has_inf").join(good.select("clip", F.col("max_abs").alias("peak"), "rms"), "clip", "left")
-    return rounded(out, 6, "min", "peak", "zero_ratio", "rms")
+    """All statistics of one aggregate; null where they aren't finite. Some clips begin with NaN, which minimum and maximum then are."""
+    first = F.when((F.col("clip") % 9 == 7) & (F.col("i") == 0), float("nan")).otherwise(F.col("x"))
+    out = signal.pcm_stats(_spoilt(spark, sf_dir).withColumn("x", first))
+    some = ("min", "max", "max_abs", "mean_abs", "rms")
+    return rounded(out.withColumns({c: F.when(signal.is_finite(F.col(c)), F.col(c)) for c in some}), 6, *some, "zero_ratio")
 
 
 _NORMAL = f"{PCM}, top AS (SELECT *, max(abs(x)) OVER (PARTITION BY clip) AS m FROM pcm), gained AS (SELECT clip, i, x AS x0, m, CASE WHEN m < 1e-6 THEN 1.0 ELSE least(0.95 / m, 20.0) END AS gain FROM top), norm AS (SELECT clip, i, gain, CASE WHEN m < 1e-6 THEN x0 ELSE greatest(-1.0, least(1.0, x0 * gain)) END AS x FROM gained)"
@@ -64,6 +67,16 @@ def preprocess_chain(spark, sf_dir):
     return rounded(signal.preprocess(pcm(spark, sf_dir), signal.PreprocessOptions(gate=True, gate_db=-30.0)), 6, "x")
 
 
+@query(f"""WITH {_SPOILT}, s AS (SELECT clip, bool_and(isfinite(x)) AS good FROM bad GROUP BY clip), {_NORMAL.removeprefix(PCM + ", ")}, gated AS (SELECT clip, i, gain, CASE WHEN abs(x) < power(10, -30 / 20.0) THEN 0.0 ELSE x END AS x FROM norm),
+o AS (SELECT clip, i, gain, x - coalesce(0.97 * lag(x) OVER (PARTITION BY clip ORDER BY i), 0) AS x FROM gated), a AS (SELECT clip, count(*) AS n, max(abs(x)) AS m, sqrt(avg(x * x)) AS r FROM pcm GROUP BY clip), b AS (SELECT clip, max(gain) AS gain, max(abs(x)) AS m, sqrt(avg(x * x)) AS r FROM o GROUP BY clip)
+SELECT clip, CASE WHEN good THEN 'kOk' ELSE 'kInvalidPcmData' END AS status, CASE WHEN good THEN n END AS processed_samples, CASE WHEN good THEN round(gain, 6) END AS gain, CASE WHEN good THEN round(a.m, 6) END AS input_max_abs, CASE WHEN good THEN round(a.r, 6) END AS input_rms,
+ CASE WHEN good THEN round(b.m, 6) END AS output_max_abs, CASE WHEN good THEN round(b.r, 6) END AS output_rms FROM s JOIN a USING (clip) JOIN b USING (clip)""")
+def preprocess_report(spark, sf_dir):
+    out = signal.preprocess_report(_spoilt(spark, sf_dir), signal.PreprocessOptions(gate=True, gate_db=-30.0))
+    told = out.select("clip", "status", "processed_samples", "gain", F.col("input.max_abs").alias("input_max_abs"), F.col("input.rms").alias("input_rms"), F.col("output.max_abs").alias("output_max_abs"), F.col("output.rms").alias("output_rms"))
+    return rounded(told, 6, "gain", "input_max_abs", "input_rms", "output_max_abs", "output_rms")
+
+
 @query(f"WITH {PCM} SELECT clip, i // 5 AS chunk, i, round(x - coalesce(0.5 * lag(x) OVER (PARTITION BY clip ORDER BY i), 0), 6) + 0.0 AS x FROM pcm")
 def chunked_emphasis(spark, sf_dir):
     return rounded(signal.chunked_pre_emphasis(pcm(spark, sf_dir).withColumn("chunk", F.expr("i div 5")), 0.5), 6, "x")
@@ -205,20 +218,20 @@ def mel_symmetric(spark, sf_dir):
     return rounded(energies.select("clip", "frame", "mel", spectral.symmetric_db(F.col("energy"), _FFT).alias("value")), 4, "value")
 
 
-@query(f"""WITH {VECTORS}, v AS (SELECT clip, unnest(samples[1:8]) AS v FROM vectors) SELECT clip, CAST(count(*) // 8 AS BIGINT) AS rows, round(min(v), 6) + 0.0 AS least, round(max(v), 6) + 0.0 AS most FROM v GROUP BY clip""")
+@query(f"""WITH {VECTORS}, v AS (SELECT clip, unnest(samples) AS v FROM vectors) SELECT clip, CAST(count(*) // 64 AS BIGINT) AS rows, round(min(v), 6) + 0.0 AS least, round(max(v), 6) + 0.0 AS most FROM v GROUP BY clip""")
 def mel_info(spark, sf_dir):
     values = _mel_rows(spark, sf_dir).groupBy("clip").agg(F.count("*").alias("rows"), F.min(F.array_min("mel")).alias("least"), F.max(F.array_max("mel")).alias("most"))
     return rounded(values, 6, "least", "most")
 
 
 def _mel_rows(spark, sf_dir):
-    """Frames of 64 values as mel rows of eight bands."""
-    return vectors(spark, sf_dir).select("clip", "frame", F.slice("samples", 1, 8).alias("mel"))
+    """Frames of 64 values as mel rows of as many bands."""
+    return vectors(spark, sf_dir).select("clip", "frame", F.col("samples").alias("mel"))
 
 
 def _chunk_sql(position: str) -> str:
-    return f"""WITH {VECTORS}, c AS (SELECT a.clip, a.frame AS chunk, b.frame - a.frame AS t, b.samples[1:8] AS mel FROM vectors a JOIN vectors b ON a.clip = b.clip AND b.frame BETWEEN a.frame AND a.frame + 3 JOIN (SELECT clip, max(frame) AS top FROM vectors GROUP BY clip) m ON m.clip = a.clip WHERE a.frame + 3 <= top),
-v AS (SELECT clip, chunk, t, unnest(mel) AS value, unnest(range(8)) AS f FROM c)
+    return f"""WITH {VECTORS}, c AS (SELECT a.clip, a.frame AS chunk, b.frame - a.frame AS t, b.samples AS mel FROM vectors a JOIN vectors b ON a.clip = b.clip AND b.frame BETWEEN a.frame AND a.frame + 3 JOIN (SELECT clip, max(frame) AS top FROM vectors GROUP BY clip) m ON m.clip = a.clip WHERE a.frame + 3 <= top),
+v AS (SELECT clip, chunk, t, unnest(mel) AS value, unnest(range(64)) AS f FROM c)
 SELECT clip, chunk, CAST({position} AS INTEGER) AS p, round(value, 6) + 0.0 AS value FROM v"""
 
 
@@ -232,20 +245,22 @@ def chunk_freq_major(spark, sf_dir):
     return _chunks(spark, sf_dir, True)
 
 
-@query(_chunk_sql("t * 8 + f"))
+@query(_chunk_sql("t * 64 + f"))
 def chunk_time_major(spark, sf_dir):
     return _chunks(spark, sf_dir, False)
 
 
-@query(f"""WITH {VECTORS}, m AS (SELECT clip, count(*) AS total FROM vectors GROUP BY clip), t AS (SELECT clip, total, unnest(range(6)) AS tick FROM m), w AS (SELECT clip, tick, total, tick * 80 // 25 AS start FROM t),
+@query(f"""WITH {VECTORS}, m AS (SELECT clip, count(*) AS total FROM vectors GROUP BY clip), t AS (SELECT clip, total, unnest(range(CAST((total * 25 + 79) // 80 + 1 AS BIGINT))) AS tick FROM m), w AS (SELECT clip, tick, total, tick * 80 // 25 AS start FROM t),
 r AS (SELECT clip, tick, unnest(range(6)) AS t, least(CASE WHEN total >= 6 THEN greatest(0, least(start, total - 6)) ELSE 0 END + unnest(range(6)), total - 1) AS frame FROM w),
-v AS (SELECT r.clip, tick, t, unnest(samples[1:8]) AS v, unnest(range(8)) AS f FROM r JOIN vectors USING (clip, frame))
+v AS (SELECT r.clip, tick, t, unnest(samples) AS v, unnest(range(64)) AS f FROM r JOIN vectors USING (clip, frame))
 SELECT clip, CAST(tick AS INTEGER) AS tick, CAST(t AS INTEGER) AS t, CAST(f AS INTEGER) AS f, round(v, 6) + 0.0 AS v FROM v""")
 def chunk_clamped(spark, sf_dir):
     from lumentide.functions.timestamps import mel_start
 
     mel = _mel_rows(spark, sf_dir)
-    ticks = mel.select("clip").distinct().withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("start", mel_start(F.col("tick").cast("long"), 25))
+    # as many ticks as a clip's rows last, and one behind its end
+    lengths = mel.groupBy("clip").agg(F.count("*").alias("rows"))
+    ticks = lengths.select("clip", F.explode(F.sequence(F.lit(0), F.expr("cast((rows * 25 + 79) div 80 as int)"))).alias("tick")).withColumn("start", mel_start(F.col("tick").cast("long"), 25))
     return rounded(framing.clamped_chunk_rows(ticks, mel, 6), 6, "v")
 
 

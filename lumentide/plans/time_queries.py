@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lumentide.functions import sync
 from lumentide.functions import timestamps as ts
 from lumentide.operators.fold import fold
-from lumentide.operators.scheduling import FrameScheduler, RingBuffer, StreamFramer
-from lumentide.plans.registry import FRAMES, query, table, video_frames
+from lumentide.operators.scheduling import FrameScheduler, MelChunker, Playback, RingBuffer, StreamEmphasis, StreamFramer, TaskQueue
+from lumentide.plans.registry import FRAMES, query, rounded, table, video_frames
 
 _INDEX = "CASE WHEN event_id % 7 = 0 THEN -event_id - 1 WHEN event_id % 11 = 0 THEN 9223372036854775807 - event_id ELSE event_id * 92233720368 END"
 _RATE = "CASE event_id % 5 WHEN 0 THEN 16000 WHEN 1 THEN 44100 WHEN 2 THEN 48000 WHEN 3 THEN 0 ELSE 22050 END"
@@ -153,12 +153,40 @@ def scheduler_log(spark, sf_dir):
     return pushes.unionByName(ticks)
 
 
-@query()
+_LOG = f"""{FRAMES}, us AS (SELECT *, n * 40000 AS us FROM frames), log0 AS (
+ SELECT stream, n * 2 AS seq, us + CAST(floor(value) AS BIGINT) % 5 * 40000 - 40000 AS pts, n AS idx, NULL::BIGINT AS ref, true AS push FROM us
+ UNION ALL SELECT stream, n * 2 + 1, NULL, NULL, CASE WHEN n % 10 <> 9 THEN us - 20000 END, false FROM us WHERE n % 3 = 2),
+log AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS r FROM log0)"""
+
+
+@query(f"""WITH RECURSIVE {_LOG}, run AS (
+ SELECT DISTINCT stream, 0::BIGINT AS r, 0::BIGINT AS seq, []::STRUCT(p BIGINT, i BIGINT)[] AS q, NULL::STRUCT(p BIGINT, i BIGINT) AS last, NULL::BIGINT AS ref, false AS running, '' AS result, NULL::STRUCT(p BIGINT, i BIGINT) AS frame, NULL::BIGINT AS diff, 0::BIGINT AS dropped FROM log
+ UNION ALL
+ SELECT stream, r, seq, CASE WHEN taken THEN q2[2:] ELSE q2 END, CASE WHEN taken THEN q2[1] ELSE last END, ref2, CASE WHEN taken THEN true WHEN ticks AND len(q2) = 0 THEN false ELSE running END,
+  CASE WHEN push THEN kind WHEN kind <> '' THEN kind WHEN taken THEN CASE WHEN dropped2 > 0 THEN 'kDropAndDeliver' ELSE 'kDeliver' END WHEN last IS NULL THEN 'kBufferingNoFrame' ELSE 'kRepeatLast' END,
+  CASE WHEN push THEN CASE WHEN kind IN ('kAccepted', 'kDroppedOldest') THEN own END WHEN kind <> '' THEN NULL WHEN taken THEN q2[1] ELSE last END,
+  CASE WHEN ticks AND len(q2) > 0 THEN q2[1].p - ref2 END, dropped2
+ FROM (SELECT *, ticks AND len(q2) > 0 AND q2[1].p - ref2 <= 20000 AS taken, CASE WHEN push THEN CASE WHEN kind = 'kDroppedOldest' THEN 1 ELSE 0 END ELSE len(q) - len(q2) END AS dropped2 FROM (
+  SELECT *, CASE WHEN kind = 'kAccepted' THEN list_sort(list_append(q, own)) WHEN kind = 'kDroppedOldest' THEN list_sort(list_append(q[2:], own)) WHEN ticks THEN list_filter(q, lambda x: x.p - ref2 >= -20000) ELSE q END AS q2 FROM (
+   SELECT *, NOT push AND kind = '' AND (running OR len(q) >= 2) AS ticks, CASE WHEN NOT push AND kind = '' THEN now ELSE ref END AS ref2 FROM (
+    SELECT l.stream, l.r, l.seq, q, last, run.ref, l.ref AS now, running, push, {{'p': l.pts, 'i': l.idx}}::STRUCT(p BIGINT, i BIGINT) AS own,
+     CASE WHEN push THEN CASE WHEN l.pts < 0 THEN 'kRejectedInvalidFrame' WHEN last IS NOT NULL AND l.pts <= last.p THEN 'kRejectedStalePts' WHEN len(list_filter(q, lambda x: x.p = l.pts)) > 0 THEN 'kRejectedDuplicatePts' WHEN len(q) >= 6 THEN 'kDroppedOldest' ELSE 'kAccepted' END
+      WHEN l.ref IS NULL THEN 'kClockUnavailable' WHEN l.ref < 0 OR l.ref < run.ref THEN 'kRejectedInvalidReferenceTime' ELSE '' END AS kind
+    FROM run JOIN log l ON l.stream = run.stream AND l.r = run.r + 1)))))
+SELECT stream, seq, result, frame.p AS pts, frame.i AS frame_index, diff AS diff_us, dropped, CAST(len(q) AS BIGINT) AS queued, CASE WHEN running THEN 'kRunning' ELSE 'kBuffering' END AS state FROM run WHERE r > 0""")
 def scheduler_events(spark, sf_dir):
     return fold(scheduler_log(spark, sf_dir), lambda: FrameScheduler(6, 2, 20_000))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, log AS (SELECT stream, n, n % 4 = 3 AS pull, CAST(floor(value) AS BIGINT) % 5 + 1 AS c, ['OverwriteOldest', 'DropNewest', 'Block'][n % 3 + 1] AS strategy FROM frames),
+run AS (
+ SELECT DISTINCT stream, -1::BIGINT AS seq, '' AS status, NULL::BIGINT AS start_index, 0::BIGINT AS size, 0::BIGINT AS pulled, 0::BIGINT AS total_overwritten, 0::BIGINT AS total_dropped FROM log
+ UNION ALL
+ SELECT l.stream, l.n, CASE WHEN pull THEN CASE WHEN size >= 3 THEN 'kOk' ELSE 'kInsufficientData' END WHEN size + c <= 8 OR strategy = 'OverwriteOldest' THEN 'kOk' WHEN strategy = 'DropNewest' THEN 'kInsufficientSpace' ELSE 'kWouldBlock' END,
+  CASE WHEN pull AND size >= 3 THEN pulled END, CASE WHEN pull THEN CASE WHEN size >= 3 THEN size - 3 ELSE size END WHEN size + c <= 8 THEN size + c WHEN strategy = 'OverwriteOldest' THEN 8 ELSE size END,
+  CASE WHEN pull AND size >= 3 THEN pulled + 3 ELSE pulled END, total_overwritten + CASE WHEN NOT pull AND strategy = 'OverwriteOldest' THEN greatest(0, size + c - 8) ELSE 0 END, total_dropped + CASE WHEN NOT pull AND strategy = 'DropNewest' AND size + c > 8 THEN c ELSE 0 END
+ FROM run JOIN log l ON l.stream = run.stream AND l.n = run.seq + 1)
+SELECT stream, seq, status, start_index, start_index * 1000.0::DOUBLE / 16000 AS pts_ms, size, total_overwritten, total_dropped FROM run WHERE seq >= 0""")
 def ring_buffer(spark, sf_dir):
     frames = video_frames(spark, sf_dir)
     strategy = F.element_at(F.array(*map(F.lit, ("OverwriteOldest", "DropNewest", "Block"))), (F.col("n") % 3 + 1).cast("int"))
@@ -167,9 +195,90 @@ def ring_buffer(spark, sf_dir):
     return fold(log, lambda: RingBuffer(8)).drop("values")
 
 
-@query()
+@query(f"""WITH {FRAMES}, v AS (SELECT stream, n // 10 AS g, n % 10 AS m, unnest([value, value / 2, value / 3]) AS v, unnest(range(3)) AS k FROM frames WHERE n % 10 < 9), p AS (SELECT stream, g, m * 3 + k AS pos, v FROM v),
+c AS (SELECT stream, g, count(*) AS total FROM p GROUP BY ALL), w AS (SELECT stream, g, total, CASE WHEN total >= 8 THEN (total - 8) // 4 + 1 ELSE 0 END AS whole FROM c), j AS (SELECT stream, g, total, whole, unnest(range(CAST(whole + 1 AS BIGINT))) AS j FROM w),
+f AS (SELECT *, j = whole AS padded FROM j WHERE j < whole OR (total = 27 AND total > whole * 4 AND EXISTS (SELECT 1 FROM frames z WHERE z.stream = j.stream AND z.n = j.g * 10 + 9)))
+SELECT f.stream, f.g * 10 + CASE WHEN padded THEN 9 ELSE (4 * j + 7) // 3 END AS seq, f.g * 6 + j AS frame, padded, round(sum(v), 6) AS total FROM f JOIN p ON p.stream = f.stream AND p.g = f.g AND pos >= 4 * j AND pos < 4 * j + 8 GROUP BY ALL""")
 def stream_framer(spark, sf_dir):
     frames = video_frames(spark, sf_dir)
     log = frames.select("stream", F.col("n").alias("seq"), F.when(F.col("n") % 10 == 9, "flush").otherwise("push").alias("op"), F.array("value", F.col("value") / 2, F.col("value") / 3).alias("values"))
     out = fold(log, lambda: StreamFramer(8, 4))
     return out.select("stream", "seq", "frame", "padded", F.round(F.aggregate("samples", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+@query(f"""WITH {FRAMES}, v AS (SELECT stream, n, unnest([value, value / 2]) AS v, unnest(range(2)) AS k FROM frames), e AS (SELECT stream, n, k, v - coalesce(0.97 * lag(v) OVER (PARTITION BY stream ORDER BY n, k), 0) AS v FROM v)
+SELECT stream, n AS seq, CAST(k AS INTEGER) AS k, round(v, 6) + 0.0 AS value FROM e""")
+def stream_emphasis(spark, sf_dir):
+    log = video_frames(spark, sf_dir).select("stream", F.col("n").alias("seq"), F.lit("push").alias("op"), F.array("value", F.col("value") / 2).alias("values"))
+    out = fold(log, StreamEmphasis).select("stream", "seq", F.posexplode("values").alias("k", "value"))
+    return rounded(out, 6, "value")
+
+
+@query(f"""WITH {FRAMES}, p AS (SELECT stream, n, n // 12 AS g, value FROM frames WHERE n % 12 < 11), t AS (SELECT stream, g, n, n - g * 12 AS m FROM p), c AS (SELECT stream, g, m AS last, n AS seq FROM t WHERE m >= 3 AND (m - 3) % 2 = 0),
+x AS (SELECT stream, seq, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 AS chunk, g, last FROM c), r AS (SELECT x.stream, seq, chunk, p.n - (x.g * 12 + last - 3) AS t, value FROM x JOIN p ON p.stream = x.stream AND p.n BETWEEN x.g * 12 + last - 3 AND x.g * 12 + last),
+v AS (SELECT *, unnest(range(2)) AS f FROM r)
+SELECT stream, seq, chunk, CAST(f * 4 + t AS INTEGER) AS p, round(CASE WHEN f = 0 THEN value ELSE -value END, 6) + 0.0 AS value FROM v""")
+def mel_chunker(spark, sf_dir):
+    """Rows of two bands in chunks of four, two rows on for each; every twelfth event throws away what is held."""
+    frames = video_frames(spark, sf_dir)
+    log = frames.select("stream", F.col("n").alias("seq"), F.when(F.col("n") % 12 == 11, "flush").otherwise("push").alias("op"), F.array("value", -F.col("value")).alias("values"))
+    out = fold(log, lambda: MelChunker(4, 2)).select("stream", "seq", "chunk", F.posexplode("values").alias("p", "value"))
+    return rounded(out, 6, "value")
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, log AS (SELECT stream, n, CASE WHEN n = 50 THEN CASE WHEN stream % 2 = 0 THEN 'close' ELSE 'cancel' END WHEN n < 56 AND CAST(floor(value) AS BIGINT) % 3 < 2 THEN 'push' ELSE 'pop' END AS op FROM frames),
+run AS (
+ SELECT DISTINCT stream, -1::BIGINT AS seq, '' AS status, NULL::VARCHAR AS task, []::VARCHAR[] AS q, 0::BIGINT AS high, 0::BIGINT AS lost, false AS closed, false AS cancelled FROM log
+ UNION ALL
+ SELECT stream, n, CASE WHEN op = 'push' AND (closed OR cancelled) THEN 'kClosed' WHEN op = 'push' AND len(q) >= 5 THEN 'kBlocked' WHEN op = 'pop' AND (cancelled OR closed AND len(q) = 0) THEN 'kEnd' WHEN op = 'pop' AND len(q) = 0 THEN 'kBlocked' ELSE 'kOk' END,
+  CASE WHEN op = 'pop' AND NOT cancelled THEN q[1] END, q2, greatest(high, CASE WHEN op = 'push' THEN len(q2) ELSE 0 END), CASE WHEN op = 'cancel' AND NOT cancelled THEN len(q) ELSE lost END, closed OR op = 'close' AND NOT cancelled, cancelled OR op = 'cancel'
+ FROM (SELECT l.stream, l.n, op, q, high, lost, closed, cancelled, CASE WHEN op = 'push' AND NOT closed AND NOT cancelled AND len(q) < 5 THEN list_append(q, 't' || l.n) WHEN op = 'pop' AND NOT cancelled THEN q[2:] WHEN op = 'cancel' THEN [] ELSE q END AS q2 FROM run JOIN log l ON l.stream = run.stream AND l.n = run.seq + 1))
+SELECT stream, seq, status, task, CAST(len(q) AS BIGINT) AS queued, high AS high_watermark, lost AS unprocessed FROM run WHERE seq >= 0""")
+def task_queue(spark, sf_dir):
+    """Pushes and pops of five tasks at most; half of the queues are closed, half cancelled."""
+    n = F.col("n")
+    op = F.when(n == 50, F.when(F.col("stream") % 2 == 0, "close").otherwise("cancel")).when((n < 56) & (F.floor("value") % 3 < 2), "push").otherwise("pop")
+    log = video_frames(spark, sf_dir).select("stream", n.alias("seq"), op.alias("op"), F.concat(F.lit("t"), n).alias("task"))
+    return fold(log, lambda: TaskQueue(5))
+
+
+_PLAY = "CASE WHEN n % 40 = 0 THEN 'prepare' WHEN n % 40 = 1 THEN 'start' WHEN n % 40 = 38 THEN ['stop', 'abort', 'finished'][stream % 3 + 1] WHEN n % 40 = 39 THEN 'reset' WHEN n % 3 = 0 THEN 'callback' ELSE 'tick' END"
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, log AS (SELECT stream, n, {_PLAY} AS op, n * 10000 AS now, CAST(floor(value) AS BIGINT) % 400 AS c, CASE WHEN stream % 13 = 0 THEN 0 ELSE 1500 END AS clip, CASE WHEN stream % 11 = 0 THEN 2 ELSE 1 END AS channels FROM frames),
+run AS (
+ SELECT DISTINCT stream, -1::BIGINT AS seq, '' AS status, 'kIdle' AS state, 0::BIGINT AS total, 0::BIGINT AS taken, 0::BIGINT AS anchor, 0::BIGINT AS anchor_us, 0::BIGINT AS last FROM log
+ UNION ALL
+ SELECT stream, n, CASE WHEN op = 'prepare' THEN CASE WHEN state <> 'kIdle' THEN 'kInvalidState' WHEN clip <= 0 THEN 'kEmptyAudio' WHEN channels <> 1 THEN 'kUnsupportedChannels' ELSE 'kOk' END WHEN op = 'start' AND state <> 'kPrepared' OR op = 'callback' AND state <> 'kRunning' OR op IN ('stop', 'abort') AND state NOT IN ('kRunning', 'kCompleted') THEN 'kInvalidState' ELSE 'kOk' END,
+  CASE WHEN op = 'prepare' AND state = 'kIdle' AND clip > 0 AND channels = 1 THEN 'kPrepared' WHEN op = 'start' AND state = 'kPrepared' THEN 'kRunning' WHEN op = 'reset' THEN 'kIdle' WHEN runs AND op IN ('stop', 'finished') AND taken >= total THEN 'kCompleted' WHEN runs AND op IN ('stop', 'abort') THEN 'kStopped' ELSE state END,
+  CASE WHEN op = 'reset' THEN 0 WHEN op = 'prepare' AND state = 'kIdle' AND clip > 0 AND channels = 1 THEN clip ELSE total END, CASE WHEN op = 'reset' OR op = 'start' AND state = 'kPrepared' THEN 0 WHEN runs AND op = 'callback' THEN least(total, taken + c) ELSE taken END,
+  CASE WHEN op = 'reset' OR op = 'start' AND state = 'kPrepared' THEN 0 WHEN runs AND op = 'callback' THEN taken ELSE anchor END, CASE WHEN op = 'reset' THEN 0 WHEN runs AND op = 'callback' OR op = 'start' AND state = 'kPrepared' THEN now ELSE anchor_us END,
+  CASE WHEN op = 'reset' OR op = 'start' AND state = 'kPrepared' THEN 0 WHEN runs AND op IN ('stop', 'finished') AND taken >= total THEN total WHEN runs AND op IN ('callback', 'tick', 'stop', 'abort') AND now >= anchor_us THEN greatest(last, least(anchor + (now - anchor_us) * 16000 // 1000000, taken, total)) ELSE last END
+ FROM (SELECT l.*, state, total, taken, anchor, anchor_us, last, state = 'kRunning' AS runs FROM run JOIN log l ON l.stream = run.stream AND l.n = run.seq + 1))
+SELECT stream, seq, status, state, last AS frame FROM run WHERE seq >= 0""")
+def playback_states(spark, sf_dir):
+    """Clips of 1500 samples prepared, started, fed by callbacks, stopped in three ways and reset, in turns of forty events."""
+    op = F.expr(_PLAY.replace("['stop', 'abort', 'finished'][stream % 3 + 1]", "element_at(array('stop', 'abort', 'finished'), cast(stream % 3 + 1 as int))"))
+    log = video_frames(spark, sf_dir).select(
+        "stream", F.col("n").alias("seq"), op.alias("op"), (F.col("n") * 10_000).alias("now"), (F.floor("value") % 400).alias("n"), F.when(F.col("stream") % 13 == 0, 0).otherwise(1500).alias("total"),
+        F.lit(16000).alias("rate"), F.when(F.col("stream") % 11 == 0, 2).otherwise(1).alias("channels"), F.lit(True).alias("finite"),
+    )
+    return fold(log, Playback)
+
+
+@query(f"""WITH {FRAMES}, t AS (SELECT stream, n, n * 160 AS anchor, n * 10000 AS a_us, n * 10000 + CAST(floor(value) AS BIGINT) * 500 AS now, n * 200 AS sub FROM frames), c AS (SELECT stream, n, least(anchor + (now - a_us) * 16000 // 1000000, sub, 9000) AS f FROM t)
+SELECT stream, n, greatest(0, max(f) OVER (PARTITION BY stream ORDER BY n ROWS UNBOUNDED PRECEDING)) AS frame FROM c""")
+def played_frames(spark, sf_dir):
+    """The frame played at each tick of a stream: it never falls, whatever the anchors say."""
+    n = F.col("n")
+    ticks = video_frames(spark, sf_dir).select("stream", "n", (n * 160).alias("anchor_frame"), (n * 10_000).alias("anchor_us"), (n * 10_000 + F.floor("value") * 500).alias("now_us"), F.lit(16000).alias("rate"), (n * 200).alias("submitted"), F.lit(9000).cast("long").alias("total"))
+    return sync.played_frames(ticks).select("stream", "n", "frame")
+
+
+@query(f"""WITH {FRAMES}, d AS (SELECT stream, n, sum(CASE WHEN CAST(floor(value) AS BIGINT) % 3 < 2 THEN 1 ELSE -1 END) OVER w AS s FROM frames WINDOW w AS (PARTITION BY stream ORDER BY n ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT stream, s - least(0, min(s) OVER (PARTITION BY stream ORDER BY n ROWS UNBOUNDED PRECEDING)) AS depth FROM d) SELECT stream, CAST(max(depth) AS BIGINT) AS high_watermark FROM q GROUP BY stream""")
+def queue_watermark(spark, sf_dir):
+    from lumentide.plans.metrics import high_watermark
+
+    steps = video_frames(spark, sf_dir).select("stream", "n", F.when(F.floor("value") % 3 < 2, 1).otherwise(-1).alias("step"))
+    return high_watermark(steps, "stream", "n")

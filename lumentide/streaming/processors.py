@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lumentide.operators.fold import fold_stream
-from lumentide.operators.scheduling import FrameScheduler, MelChunker, RingBuffer, StreamEmphasis, StreamFramer, TaskQueue
+from lumentide.operators.scheduling import FrameScheduler, MelChunker, Playback, RingBuffer, StreamEmphasis, StreamFramer, TaskQueue
 
 
 def scheduled_frames(events: DataFrame, max_queue: int = 4, min_buffered: int = 2, tolerance_us: int = 20_000, drop_oldest: bool = True) -> DataFrame:
@@ -39,6 +39,19 @@ def queued_tasks(events: DataFrame, capacity: int) -> DataFrame:
     return fold_stream(events, lambda: TaskQueue(capacity))
 
 
+def played_states(events: DataFrame) -> DataFrame:
+    return fold_stream(events, Playback)
+
+
+def stop(query: StreamingQuery, drain: bool = True) -> str:
+    """Ends a query: what has arrived is worked off first, if wanted. A query that has ended already stays so."""
+    if query.isActive:
+        if drain:
+            query.processAllAvailable()
+        query.stop()
+    return "kFailed" if query.exception() else "kStopped"
+
+
 def write_to_sink(frames: DataFrame, path: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Appends micro-batches to a table, each under its number, so that a batch that runs again replaces itself."""
 

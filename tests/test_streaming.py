@@ -51,3 +51,24 @@ def test_failure_is_told_once(spark, tmp_path):
 
     told = []
     assert p.finish(p.write_to_sink(stream, str(tmp_path / "out"), str(tmp_path / "c"), broken), told.append, 120) == "kFailed" and told == ["kFailed"]
+
+
+def test_missing_events_are_given_up(spark, tmp_path):
+    """Over so many early events the first missing number is told by an empty row, and what waits goes on."""
+    from lumentide.operators.fold import fold_stream
+
+    rows = [(1, k, "push", 3, [float(k), 1.0], "OverwriteOldest", -1) for k in (0, 1, 4, 5, 6, 2)]
+    source = str(tmp_path / "in")
+    for k in range(6):
+        spark.createDataFrame(rows[k : k + 1], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    out = fold_stream(stream, lambda: RingBuffer(50), most_early=2)
+    assert p.finish(p.write_to_sink(out, str(tmp_path / "out"), str(tmp_path / "c")), lambda s: None, 120) == "kSucceeded"
+    got = sorted((r["seq"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, "kOk"), (1, "kOk"), (2, None), (4, "kOk"), (5, "kOk"), (6, "kOk")]
+
+
+def test_stop_is_idempotent(spark, tmp_path):
+    spark.createDataFrame(events(), SCHEMA).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert p.stop(q) == "kStopped" and p.stop(q) == "kStopped"
