@@ -110,8 +110,8 @@ def mel_chunks(mel: DataFrame, rows: int = 16, hop: int = 1, freq_major: bool =
     return held.select("clip", F.expr(f"frame div {hop}").alias("chunk"), values.alias("values"))
 
 
-def clamped_chunk_rows(ticks: DataFrame, mel: DataFrame, rows: int = 16) -> DataFrame:
-    """(clip, tick, t, f, v): the chunk that begins at each tick's ``start`` row, moved into the signal, its last row repeated where the signal is short.
+def clamped_rows(ticks: DataFrame, mel: DataFrame, rows: int = 16) -> DataFrame:
+    """(clip, tick, t, mel): the ``rows`` mel rows from each tick's ``start`` row on, moved into the signal, its last row repeated where the signal is short.
 
     Ticks and mel rows meet by an equi-join on the exploded row number.
     """
@@ -119,4 +119,16 @@ def clamped_chunk_rows(ticks: DataFrame, mel: DataFrame, rows: int = 16) -> Data
     wanted = ticks.join(counts, "clip").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     begin = F.when(F.col("total") >= rows, F.greatest(F.lit(0), F.least(F.col("start"), F.col("total") - rows))).otherwise(F.lit(0))
     wanted = wanted.withColumn("frame", F.least(begin + F.col("t"), F.col("total") - 1).cast("long"))
-    return wanted.join(mel, ["clip", "frame"]).select("clip", "tick", "t", F.posexplode("mel").alias("f", "v"))
+    return wanted.join(mel, ["clip", "frame"]).select("clip", "tick", "t", "mel")
+
+
+def clamped_chunk_rows(ticks: DataFrame, mel: DataFrame, rows: int = 16) -> DataFrame:
+    """(clip, tick, t, f, v): the chunks of ``clamped_rows``, a row for each value."""
+    return clamped_rows(ticks, mel, rows).select("clip", "tick", "t", F.posexplode("mel").alias("f", "v"))
+
+
+def clamped_chunks(ticks: DataFrame, mel: DataFrame, rows: int = 16) -> DataFrame:
+    """(clip, tick, values): the chunks of ``clamped_rows``, flattened by frequency; only their mel rows are shuffled and collected."""
+    held = clamped_rows(ticks, mel, rows).groupBy("clip", "tick").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "mel"))), lambda r: r["mel"]).alias("rows"))
+    bands = F.sequence(F.lit(0), F.size(F.get("rows", F.lit(0))) - 1)
+    return held.select("clip", "tick", F.flatten(F.transform(bands, lambda f: F.transform("rows", lambda r: F.get(r, f)))).alias("values"))

@@ -79,6 +79,15 @@ def filter_table(spark: SparkSession, o: MelOptions) -> DataFrame:
 
 def spectrum(frames: DataFrame, n_fft: int) -> DataFrame:
     """(clip, frame, magnitude) of packed frames (clip, frame, samples): bins 0 to n_fft / 2; longer frames are cut, shorter ones padded."""
+    return _transformed(frames, n_fft, "magnitude", None)
+
+
+def mel_spectrum(frames: DataFrame, o: MelOptions) -> DataFrame:
+    """(clip, frame, energy): the filters' energies of packed frames, an array for each; the bank is of bounded size and is multiplied where the spectra are made."""
+    return _transformed(frames, o.n_fft, "energy", filter_bank(o).T)
+
+
+def _transformed(frames: DataFrame, n_fft: int, name: str, bank: np.ndarray | None) -> DataFrame:
     kind = frames.schema["clip"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +100,12 @@ def spectrum(frames: DataFrame, n_fft: int) -> DataFrame:
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = at < n_fft
             table[rows[keep], at[keep]] = flat[keep]
-            magnitude = np.abs(np.fft.rfft(table, axis=1))
-            offsets = np.arange(len(batch) + 1, dtype=np.int32) * magnitude.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(magnitude.ravel()))], ["clip", "frame", "magnitude"])
+            out = np.abs(np.fft.rfft(table, axis=1))
+            out = out if bank is None else out @ bank
+            offsets = np.arange(len(batch) + 1, dtype=np.int32) * out.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))], ["clip", "frame", name])
 
-    return frames.select("clip", F.col("frame").cast("long").alias("frame"), F.transform("samples", lambda v: v.cast("double")).alias("samples")).mapInArrow(run, f"clip {kind}, frame long, magnitude array<double>")
+    return frames.select("clip", F.col("frame").cast("long").alias("frame"), F.transform("samples", lambda v: v.cast("double")).alias("samples")).mapInArrow(run, f"clip {kind}, frame long, {name} array<double>")
 
 
 def mel_energies(spectra: DataFrame, o: MelOptions) -> DataFrame:
@@ -113,6 +123,5 @@ def symmetric_db(value: Column, o: MelOptions = MelOptions()) -> Column:
 
 
 def mel_features(frames: DataFrame, o: MelOptions = MelOptions()) -> DataFrame:
-    """(clip, frame, mel array) from packed frames."""
-    energy = mel_energies(spectrum(frames, o.n_fft), o)
-    return energy.groupBy("clip", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("mel", "energy"))), lambda e: symmetric_db(e["energy"], o)).alias("mel"))
+    """(clip, frame, mel array) from packed frames, without a shuffle."""
+    return mel_spectrum(frames, o).select("clip", "frame", F.transform("energy", lambda e: symmetric_db(e, o)).alias("mel"))

@@ -27,7 +27,6 @@ def video_chunks(pcm: DataFrame, frames: framing.FrameOptions = framing.LIP_SYNC
     lengths = pcm.groupBy("clip").agg((F.max("i") + 1).alias("length"))
     ticks = lengths.withColumn("tick", F.explode(F.sequence(F.lit(0).cast("long"), frame_count(F.col("length"), rate, numerator, denominator) - 1)))
     ticks = ticks.select("clip", "tick", mel_start(F.col("tick"), numerator, denominator).alias("start"))
-    cells = framing.clamped_chunk_rows(ticks, features, rows)
-    chunks = cells.groupBy("clip", "tick").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t", "v"))), lambda c: c["v"]).alias("values"))
+    chunks = framing.clamped_chunks(ticks, features, rows)
     pts = video_index_to_us(F.col("tick"), F.lit(numerator), F.lit(denominator))["microseconds"]
     return chunks.select("clip", "tick", pts.alias("pts_us"), "values")
