@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumentide.llm.shared import Shared, with_facts
+from lumentide.llm.shared import FEW, Shared, with_facts
 
 ROWS_A_FILE = 500_000
 
@@ -36,7 +36,9 @@ def components(links: DataFrame, shared: Shared, name: str = "stars") -> DataFra
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_facts(both.where("v > u"), least, ["u"], "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # there are at most twice as many nodes as edges
+        met = both.where("v > u").join(F.broadcast(least), "u") if 2 * before[0] <= FEW else with_facts(both.where("v > u"), least, ["u"], "n", 2 * before[0], written=False)
+        large = met.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct()

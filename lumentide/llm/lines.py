@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,9 @@ from pyspark.sql import functions as F
 from lumentide.llm.neardup import band_keys, known, minima
 from lumentide.llm.neighbours import SPREAD, Buckets, Dealer, Similarity, least_equal, linked_components, met, packed, part_count
 from lumentide.llm.shared import Shared, free, sized, with_facts
-from lumentide.llm.textio import binary_rows, blocks, mix, place_of, power_tables
+from lumentide.llm.textio import binary_rows, blocks, distinct_by_row, mix, place_of, power_tables
 
-#: two random values of each code, for two hashes of one base
-_CODES = [mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) + np.uint64(k << 40)) for k in range(2)]
+_CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 @dataclass(frozen=True)
@@ -67,32 +65,49 @@ class LineHashes:
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
         powers, inverse = power_tables(len(codes) + 1)
-        plain, wide, sums = np.minimum(codes, 0xFFFF), codes > 0xFFFF, []
-        for k, table in enumerate(_CODES):
-            x = table[plain]
-            if wide.any():
-                x[wide] = mix(codes[wide].astype(np.uint64) + np.uint64((k << 40) + 1))
-            x *= powers[: len(x)]
-            sums.append(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64))))
-        total = sums[0]
-        self.ids, self.guards = (mix((t[ends] - t[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) for t in sums)
-        self.size, self.total, self.inverse, self.starts, self.ends = size, total, inverse, starts, ends
+        x = _CODES[np.minimum(codes, 0xFFFF)]
+        if (wide := codes > 0xFFFF).any():
+            x[wide] = mix(codes[wide].astype(np.uint64) + np.uint64(1))
+        x *= powers[: len(x)]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+        self.ids = mix((total[ends] - total[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         #: shingles of each line; a line shorter than a shingle is one
         self.counts = np.maximum(sizes - size + 1, 1)
         self.bounds = np.concatenate(([0], np.cumsum(self.counts)))
+        # hashes of the runs at all places of the text, of which those within a line are shingles
+        runs = total[size:] - total[:-size] if len(total) > size else total[:0]
+        runs *= inverse[: len(runs)]
+        at = np.arange(int(self.bounds[-1])) + np.repeat(starts - self.bounds[:-1], self.counts)
+        values = runs[np.minimum(at, max(len(runs) - 1, 0))] if len(runs) else np.zeros(len(at), np.uint64)
+        short = np.flatnonzero(sizes < size)
+        values[self.bounds[short]] = (total[ends[short]] - total[starts[short]]) * inverse[starts[short]]
+        self.shingles = mix(values)
 
-    def shingles(self) -> np.ndarray:
-        at = np.arange(int(self.bounds[-1])) + np.repeat(self.starts - self.bounds[:-1], self.counts)
-        stop = np.minimum(at + self.size, np.repeat(self.ends, self.counts))
-        return mix((self.total[stop] - self.total[at]) * self.inverse[at])
+    @property
+    def guards(self) -> np.ndarray:
+        """A second hash of each content: of its shingles, whatever their order."""
+        return mix(np.add.reduceat(self.shingles, self.bounds[:-1])).view(np.int64)
 
     def minima(self, count: int, seed: int) -> np.ndarray:
-        return minima((self.shingles() >> np.uint64(32)).astype(np.uint32), self.bounds, count, seed)
+        return minima((self.shingles >> np.uint64(32)).astype(np.uint32), self.bounds, count, seed)
+
+
+#: lines that a task holds before it deals their places
+_LINES_AT_ONCE = 1 << 17
 
 
 def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows of ``Dealer`` for the line contents, and behind 2 * ``parts`` (id, guard, document, place, line) of each line that isn't blank."""
-    dealer = Dealer(parts)
+    """Packed rows of ``Dealer`` for the line contents; behind 2 * ``parts`` (id, document, place, line, guard) of each line that isn't blank; behind 3 * ``parts`` the same of the task's first line of each content, and how many it has."""
+    dealer, held, size = Dealer(parts), [], 0
+
+    def placed() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        # dealt by document: a line that a third of all documents have may not meet in one task
+        with np.errstate(over="ignore"):
+            yield packed((columns[1] + columns[2]) * SPREAD, columns, parts, 2 * parts)
+        first = _first_lines([*columns, np.ones(len(columns[0]), np.int64)])
+        yield packed(first[0], first, parts, 3 * parts)
+
     for part, texts in blocks(batches):
         docs, places, names, which, doc, number = part.column(0).to_numpy(), part.column(1).to_numpy(), {}, [], [], []
         for i, t in enumerate(texts):
@@ -101,35 +116,70 @@ def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator
                     which.append(names.setdefault(line, len(names)))
                     doc.append(i)
                     number.append(k)
-        if names:
-            h = LineHashes(list(names), s.shingle)
-            keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
-            yield from dealer.add(keys.ravel().view(np.int64), np.repeat(h.ids, s.bands))
-            # dealt by document: a line that a third of all documents have may not meet in one task
-            with np.errstate(over="ignore"):
-                spread = (docs[doc] + places[doc]) * SPREAD
-            yield packed(spread, [h.ids[which], h.guards[which], docs[doc], places[doc], np.array(number, np.int64)], parts, 2 * parts)
+        if not names:
+            continue
+        h = LineHashes(list(names), s.shingle)
+        keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
+        yield from dealer.add(keys.ravel().view(np.int64), np.repeat(h.ids, s.bands))
+        which, doc = np.array(which), np.array(doc)
+        held.append([h.ids[which], docs[doc], places[doc], np.array(number, np.int64), h.guards[which]])
+        size += len(which)
+        if size >= _LINES_AT_ONCE:
+            yield from placed()
+            held, size = [], 0
+    if held:
+        yield from placed()
     yield from dealer.dealt()
 
 
-_COLUMNS = ["kind", *"abcde"]
+def _first_lines(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of rows (id, document, place, line, guard, lines) each id's first, with the sum of lines."""
+    order = np.argsort(columns[0])
+    ids = columns[0][order]
+    same = ids[1:] == ids[:-1]
+    if (many := np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))).size:  # most are alone
+        own = order[many]
+        order[many] = own[np.lexsort([c[own] for c in columns[3::-1]])]
+    heads = np.flatnonzero(np.concatenate(([True], ~same)))
+    return [*(c[order[heads]] for c in columns[:5]), np.add.reduceat(columns[5][order], heads)]
+
 
+_COLUMNS = ["kind", *"abcdef"]
 
-def _listed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 1, id, guard, document, place, line)."""
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(table.shape[1], np.int64)), *map(pa.array, table)], _COLUMNS)
 
+def _kind(kind: int, columns: list) -> pa.RecordBatch:
+    size = len(columns[0])
+    fill = [pa.array(np.zeros(size, np.int64))] * (len(_COLUMNS) - 1 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int64)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), *fill], _COLUMNS)
 
-def _bucketed(part: int, parts: int) -> Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]:
-    """Rows (kind 0, key, id, pivot, 0, 0)."""
-    pivots = Buckets()
 
-    def feed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        for columns in (b.columns for b in pivots.feed(table, last)) if part < parts else [list(map(pa.array, table))]:
-            none = pa.array(np.zeros(len(columns[0]), np.int64))
-            yield pa.RecordBatch.from_arrays([none, *columns, none, none], _COLUMNS)
+class _Firsts:
+    """First lines of one part, of ids that have several; between pieces only each id's first is kept."""
 
-    return feed
+    def __init__(self):
+        self.held = None
+
+    def feed(self, table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+        if not table.shape[1] and self.held is None:
+            return
+        columns = list(table) if self.held is None else [np.concatenate(c) for c in zip(self.held, table, strict=True)]
+        self.held = _first_lines(columns)
+        if last:
+            several = self.held[5] > 1
+            yield _kind(2, [c[several] for c in self.held])
+
+
+def _sorted_out(part: int, parts: int) -> Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]:
+    """Rows of kind 0 (key, id, pivot), 1 (id, document, place, line, guard) and 2 (the same of the first line of an id that has several, and how many)."""
+    if part < parts:
+        pivots = Buckets()
+        return lambda table, last: (_kind(0, b.columns) for b in pivots.feed(table, last))
+    if part >= 3 * parts:
+        return _Firsts().feed
+    return lambda table, last: iter([_kind(int(part >= 2 * parts), list(table))] if table.shape[1] else [])
+
+
+_WIDTHS = (2, 3, 5, 6)
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +211,7 @@ def _signed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.Record
 def line_sets(lines: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of all lines in a row, and the bounds of each."""
     h = LineHashes([x.decode() for x in lines], size)
-    shingles, sets = h.shingles(), []
-    for b, e in pairwise(h.bounds.tolist()):
-        own = np.sort(shingles[b:e])
-        sets.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
-    return np.concatenate(sets) if sets else shingles, np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    return distinct_by_row(h.shingles, h.counts)
 
 
 #: lines of which the texts go through one task of a join
@@ -177,19 +223,21 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     spark, shared, parts = docs.sparkSession, Shared(docs.sparkSession, "lines"), part_count(docs.sparkSession)
     plain = docs.select(known(F.col(id_col)).alias("doc"), place_of(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     read = plain.mapInArrow(lambda it: _read(it, settings, parts), "part long, data binary")
-    both = met(read, lambda part: 5 if part >= 2 * parts else 3, lambda part: _listed if part >= 2 * parts else _bucketed(part, parts), ", ".join(f"{c} long" for c in _COLUMNS))
+    both = met(read, lambda part: _WIDTHS[part // parts], lambda part: _sorted_out(part, parts), ", ".join(f"{c} long" for c in _COLUMNS))
     both = shared.write(both, "lines")
     multi = both.where("kind = 0").selectExpr("a AS key", "b AS id", "c AS pivot")
-    listed = both.where("kind = 1").selectExpr("a AS id", "b AS guard", "c AS doc", "d AS t", "e AS line")
+    listed = both.where("kind = 1").selectExpr("a AS id", "b AS doc", "c AS t", "d AS line", "e AS guard")
+    several = both.where("kind = 2").selectExpr("a AS id", "b AS doc", "c AS t", "d AS line", "e AS guard", "f AS n")
     lines = listed.count()
     many = sized(spark, lines, _LINES_A_PART)
-    # the guard that counts for an id is that of its first line
-    firsts = listed.groupBy("id").agg(F.min(F.struct("doc", "t", "line", "guard")).alias("first"), F.count("*").alias("n")).select("id", "first.*", "n")
-    firsts = shared.write(firsts, "firsts")
+
+    places: list[DataFrame] = []
 
     def describe(ids: DataFrame) -> DataFrame:
-        places = firsts.join(ids, "id", "left_semi").select("doc", "t", F.struct("line", "id").alias("want"))
-        wanted = places.groupBy("doc", "t").agg(F.collect_list("want").alias("wanted"))
+        # the guard that counts for an id is that of its first line
+        first = F.min(F.struct("doc", "t", "line", "guard")).alias("first")
+        places.append(shared.write(listed.join(ids, "id", "left_semi").groupBy("id").agg(first, F.count("*").alias("n")).select("id", "first.*", "n"), "placed"))
+        wanted = places[0].select("doc", "t", F.struct("line", "id").alias("want")).groupBy("doc", "t").agg(F.collect_list("want").alias("wanted"))
         # by hash, so that texts needn't be sorted; the other side has a short row for a document at most
         rows = plain.repartition(many, "doc", "t").join(wanted.repartition(many, "doc", "t").hint("shuffle_hash"), ["doc", "t"]).select("doc", "t", "text", "wanted")
         return rows.mapInArrow(lambda it: _signed(_picked(it), settings), "id long, keys binary, sig binary, text string")
@@ -197,10 +245,11 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.least)
     stars = linked_components(multi, describe, how, shared)
     stars = shared.write(stars.unionByName(stars.selectExpr("component AS id", "component").distinct()), "linked")
-    shared.keep("lines", "firsts", "linked")
     # lines that occur once and are like no other stay out of all that follows
-    rooted = firsts.join(stars, "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "guard", F.coalesce("component", "id").alias("root"), F.struct("doc", "t", "line").alias("first"), "n")
+    known_lines = several.join(stars, "id", "left").unionByName(places[0].where("n = 1").join(stars, "id"))
+    rooted = known_lines.select("id", "guard", F.coalesce("component", "id").alias("root"), F.struct("doc", "t", "line").alias("first"), "n")
     rooted = shared.write(rooted, "rooted")
+    shared.keep("lines", "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total"), F.count("*").alias("ids")).where("total > 1")
     keepers = with_facts(rooted.drop("first"), groups, ["root"], "ids", rooted.count()).where("keeper IS NOT NULL")
     keepers = shared.write(keepers.select("id", F.col("guard").alias("own"), "keeper", "n"), "keepers")

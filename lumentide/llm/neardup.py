@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumentide.llm.neighbours import BAND_BITS, Dealer, Similarity, buckets, least_equal, linked_components, part_count
 from lumentide.llm.shared import Shared, free, sized, with_facts
-from lumentide.llm.textio import Words, binary_rows, blocks, mix, ngram_hashes, place_of
+from lumentide.llm.textio import Words, binary_rows, blocks, distinct_by_row, mix, ngram_hashes, place_of
 
 
 @dataclass(frozen=True)
@@ -50,19 +50,22 @@ class NearDup:
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of all documents in a row, and the bounds of each."""
+    """Sorted distinct shingle hashes of 57 bits of all documents in a row, and the bounds of each."""
     w = Words(texts, lower=True)
     words, counts = w.hashes(), w.counts
     grams = ngram_hashes(words, size)
-    sets = []
-    for b, e, n in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), counts.tolist(), strict=True):
-        if n >= size:
-            own = np.sort(grams[b : e - size + 1])
-            sets.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
-        else:
-            sets.append(ngram_hashes(words[b:e], n) if n else grams[:0])
-    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    return np.concatenate(sets) if sets else grams[:0], bounds
+    # of a document with fewer words than a shingle all words are one
+    sizes = np.where(counts >= size, counts - size + 1, counts > 0)
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(int(bounds[-1])) + np.repeat(w.bounds[:-1] - bounds[:-1], sizes)
+    values = grams[np.minimum(at, max(len(grams) - 1, 0))] if len(grams) else np.zeros(len(at), np.uint64)
+    for i in np.flatnonzero((counts > 0) & (counts < size)).tolist():
+        values[bounds[i]] = ngram_hashes(words[w.bounds[i] : w.bounds[i + 1]], int(counts[i]))[0]
+    some = sizes > 0
+    sets, ends = distinct_by_row(values, sizes[some])
+    out = np.zeros(len(texts) + 1, np.int64)
+    out[1:][some] = ends[1:]
+    return sets, np.maximum.accumulate(out)
 
 
 def minima(values: np.ndarray, bounds: np.ndarray, count: int, seed: int) -> np.ndarray:
@@ -81,7 +84,7 @@ def minima(values: np.ndarray, bounds: np.ndarray, count: int, seed: int) -> np.
 
 
 def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key for each set (row) and band (column); its low bits are the band."""
+    """One 64-bit key for each set (row) and band (column); its low bits are the band, the one above is unset."""
     if bands > 1 << BAND_BITS:
         raise ValueError(f"at most {1 << BAND_BITS} bands")
     keys = np.empty((mins.shape[1], bands), np.uint64)
@@ -90,7 +93,7 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
         key = np.full(mins.shape[1], ((band + 1) * int(factor)) & ((1 << 64) - 1), np.uint64)
         for row in mins[band * rows : (band + 1) * rows]:
             key = mix(key * factor + row)
-        keys[:, band] = (key >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS)) + np.uint64(band)
+        keys[:, band] = (key >> np.uint64(BAND_BITS + 1) << np.uint64(BAND_BITS + 1)) + np.uint64(band)
     return keys
 
 

@@ -28,20 +28,23 @@ from pyspark.sql import functions as F
 
 from lumentide.llm.components import components
 from lumentide.llm.shared import Shared, partitions, with_facts
+from lumentide.llm.textio import common_counts
 
 #: items of a block, and thousands of their text's characters
-BLOCK, BLOCK_THOUSANDS = 512, 16_000
-#: a key's low bits are its band
+BLOCK, BLOCK_THOUSANDS = 128, 8_000
+#: a key's low bits are its band, and the next one tells a pivot that has company in its task
 BAND_BITS = 5
+COMPANY = 1 << BAND_BITS
 #: bytes compared at once
 _AT_ONCE = 1 << 22
-#: texts whose sets are held at once
-_SETS = 64
+#: texts whose sets are made at once, and shingles that are held
+_SETS, _SHINGLES = 64, 1 << 22
+_TEXT_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
 class Similarity:
-    """How items are compared. ``sets``: from texts, their sorted distinct 64-bit shingles in a row and bounds; ``least``: equal signature bytes below which a pair can't be a link."""
+    """How items are compared. ``sets``: from texts, their sorted distinct shingles of 57 bits in a row and bounds; ``least``: equal signature bytes below which a pair can't be a link."""
 
     sets: Callable[[list[bytes | None]], tuple[np.ndarray, np.ndarray]]
     percent: int
@@ -81,7 +84,7 @@ SPREAD = np.int64(0x1E3779B97F4A7C15)
 
 
 class Dealer:
-    """Deals a task's rows (key, id), some ``most`` of them at once: pivots (key, id, rows) by key to the first ``parts``, the others (key, id, pivot) by id to as many behind."""
+    """Deals a task's rows (key, id), some ``most`` of them at once: pivots (key with the ``COMPANY`` bit, id) by key to the first ``parts``, the others (key, id, pivot) by id to as many behind."""
 
     def __init__(self, parts: int, most: int = 1 << 20):
         self.parts, self.most, self.held, self.size = parts, most, [], 0
@@ -98,7 +101,7 @@ class Dealer:
         k, i = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.size = [], 0
         k, i, heads, counts = _grouped(k, i)
-        yield packed(k[heads], [k[heads], i[heads], counts], self.parts)
+        yield packed(k[heads], [k[heads] + COMPANY * (counts > 1), i[heads]], self.parts)
         rest = np.ones(len(k), bool)
         rest[heads] = False
         if rest.any():
@@ -109,7 +112,7 @@ class Dealer:
 
 def _grouped(k: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows by key and id, the first row of each key, and its number of rows."""
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, i = k[order], i[order]
     same = k[1:] == k[:-1]
     if (many := np.concatenate(([False], same)) | np.concatenate((same, [False]))).any():  # most rows are alone with their key
@@ -121,34 +124,41 @@ def _grouped(k: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return k, i, heads, np.diff(np.append(heads, len(k)))
 
 
-#: numbers of a part that are held at once, 128 MB
+#: numbers that a task holds at once, 128 MB
 HELD = 1 << 24
 
 
 def met(rows: DataFrame, width: Callable[[int], int], make: Callable[[int], Callable[[np.ndarray, bool], Iterator[pa.RecordBatch]]], schema: str, held: int = HELD) -> DataFrame:
     """Deals rows (part, data) of ``packed`` by part and feeds each part to what ``make(part)`` gives, as tables of ``width(part)`` rows.
 
-    A part is mostly one table; a swollen one comes in pieces of ``held`` numbers, and the
-    second argument tells the last piece.
+    A task holds its few parts side by side, ``held`` numbers at most: mostly each is one
+    table; a swollen one comes in pieces, and the second argument tells the last, which
+    may be empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, feed, tables, size = None, None, [], 0
+        feeds, tables, sizes = {}, {}, {}
+
+        def fed(part: int, last: bool) -> Iterator[pa.RecordBatch]:
+            sizes.pop(part)
+            return feeds[part](np.concatenate(tables.pop(part), axis=1), last)
+
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part != current:
-                    if tables:
-                        yield from feed(np.concatenate(tables, axis=1), True)
-                    current, feed, tables, size = part, make(part), [], 0
-                elif size >= held:
-                    yield from feed(np.concatenate(tables, axis=1), False)
-                    tables, size = [], 0
-                tables.append(np.frombuffer(data, np.int64).reshape(width(part), -1))
-                size += tables[-1].size
-        if tables:
-            yield from feed(np.concatenate(tables, axis=1), True)
-
-    return rows.repartition(partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
+                if part not in feeds:
+                    feeds[part] = make(part)
+                table = np.frombuffer(data, np.int64).reshape(width(part), -1)
+                tables.setdefault(part, []).append(table)
+                sizes[part] = sizes.get(part, 0) + table.size
+            while sum(sizes.values()) > held:  # the largest part gives what it has
+                yield from fed(max(sizes, key=sizes.get), False)
+        for part in sorted(feeds):
+            if part in sizes:
+                yield from fed(part, True)
+            else:
+                yield from feeds[part](np.zeros((width(part), 0), np.int64), True)
+
+    return rows.repartition(partitions(rows.sparkSession), "part").mapInArrow(run, schema)
 
 
 BUCKETS = "key long, id long, pivot long"
@@ -156,7 +166,7 @@ BUCKETS = "key long, id long, pivot long"
 
 def buckets(dealt: DataFrame, parts: int, held: int = HELD) -> DataFrame:
     """(key, id, pivot) of all rows of keys that two ids or more have, of rows of ``Dealer``."""
-    return met(dealt, lambda part: 3, lambda part: Buckets().feed if part < parts else passed, BUCKETS, held)
+    return met(dealt, lambda part: 2 if part < parts else 3, lambda part: Buckets().feed if part < parts else passed, BUCKETS, held)
 
 
 def passed(table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
@@ -168,13 +178,25 @@ def bucket_rows(*columns: np.ndarray) -> pa.RecordBatch:
 
 
 class Buckets:
-    """The pivots (key, id, rows) of one part. Between pieces only each key's pivot and rows are kept."""
+    """The pivots (key, id) of one part. Between pieces only each key's pivot and members are kept."""
 
     def __init__(self):
         self.keys = self.pivots = self.sizes = None
 
     def feed(self, table: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-        k, i, n = table
+        k, i = table
+        if not len(k):
+            return
+        n = 1 + ((k & COMPANY) != 0)
+        k = k & ~np.int64(COMPANY)
+        if self.keys is None and last:  # most pivots are alone with their key, and go before the finer sort
+            order = np.argsort(k)
+            k, i, n = k[order], i[order], n[order]
+            same = k[1:] == k[:-1]
+            some = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (n > 1)
+            k, i, n = k[some], i[some], n[some]
+            if not len(k):
+                return
         order = np.lexsort((-n, i, k))
         k, i, n = k[order], i[order], n[order]
         fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))  # one id from several tasks is one row, of most company
@@ -261,23 +283,41 @@ class Roots:
 
 
 class SetCache:
-    """Shingle sets of the texts that were asked for last."""
+    """Shingle sets of the items that were asked for last."""
 
     def __init__(self, how: Similarity):
-        self.how, self.held = how, {}
+        self.how, self.held, self.size = how, {}, 0
+
+    def fill(self, m: Members, wanted: np.ndarray) -> None:
+        """Make the sets of many at once, as far as they can be held."""
+        todo = [i for i in np.unique(wanted).tolist() if int(m.ids[i]) not in self.held]
+        for at in range(0, len(todo), _SETS):
+            some = todo[at : at + _SETS]
+            if self.size + sum(len(m.texts[i] or b"") for i in some) > _SHINGLES:
+                return
+            sets, bounds = self.how.sets([m.texts[i] for i in some])
+            for i, b, e in zip(some, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                self._hold(int(m.ids[i]), sets[b:e].copy())
 
     def of(self, m: Members, i: int) -> np.ndarray:
         key = int(m.ids[i])
         if key not in self.held:
-            if len(self.held) >= _SETS:
-                self.held.pop(next(iter(self.held)))
-            self.held[key] = self.how.sets([m.texts[i]])[0]
+            own = self.how.sets([m.texts[i]])[0]
+            while self.held and self.size + len(own) > _SHINGLES:
+                self.size -= len(self.held.pop(next(iter(self.held))))
+            self._hold(key, own)
         return self.held[key]
 
+    def _hold(self, key: int, own: np.ndarray) -> None:
+        self.held[key] = own
+        self.size += len(own)
+
 
 def confirmed(pairs: np.ndarray, one: Members, home: Members, how: Similarity, roots: Roots, cache: SetCache) -> list[tuple[int, int]]:
     """Links that join groups, the likeliest pairs first."""
     links = []
+    cache.fill(one, pairs[:, 1])
+    cache.fill(home, pairs[:, 2])
     for x, y in pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:].tolist():
         g, h = roots.of(int(one.groups[x])), roots.of(int(home.groups[y]))
         if g != h and how.linked(cache.of(one, x), cache.of(home, y)):
@@ -375,7 +415,6 @@ def _linking(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.
 
 def _confirm(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, sig_a, sig_b, text_a, text_b) the links."""
-    last, last_set = None, None
     for batch in batches:
         if not len(batch):
             continue
@@ -383,14 +422,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.
         x, y = (np.frombuffer(b"".join(column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
         like = np.flatnonzero((x == y).sum(1) >= how.least)
         a, b = column("a").to_numpy()[like], column("b").to_numpy()[like]
-        left, right = (column(c).cast(pa.large_binary()).take(pa.array(like)).to_pylist() for c in ("text_a", "text_b"))
-        keep = np.zeros(len(a), bool)
-        for at in range(0, len(a), _SETS):
-            shingles, bounds = how.sets(right[at : at + _SETS])
-            for i, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), at):
-                if last is None or a[i] != last:
-                    last, last_set = a[i], how.sets([left[i]])[0]
-                keep[i] = how.linked(shingles[begin:end], last_set)
+        left, right = (column(c).cast(pa.large_binary()).take(pa.array(like)) for c in ("text_a", "text_b"))
+        sizes = np.cumsum([len(t) + len(u) for t, u in zip(left.to_pylist(), right.to_pylist(), strict=True)])
+        keep, at = np.zeros(len(a), bool), 0
+        while at < len(a):
+            # as many pairs as can be looked at together; one pair of long texts is alone
+            to = max(at + 1, min(at + _SETS, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TEXT_AT_ONCE, side="right"))))
+            one, two = how.sets(left[at:to].to_pylist()), how.sets(right[at:to].to_pylist())
+            both, n, m = common_counts(*one, *two), np.diff(one[1]), np.diff(two[1])
+            keep[at:to] = (both > 0) & (100 * both >= how.percent * (n + m - both))
+            at = to
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
@@ -407,7 +448,7 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
     (binary of one width), keys (its key of each band, 8 bytes each) and text of each. ``given``: links (a, b) that hold anyhow.
     """
     spark = multi.sparkSession
-    items = describe(multi.select("id").distinct())
+    items = describe(shared.write(multi.select("id").distinct(), "ids"))  # a table, so that a small one is broadcast
     items = shared.write(items.select("id", "sig", "keys", "text"), "items")
     signed = items.drop("keys")
     pairs = multi.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
@@ -419,27 +460,38 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
 
     wide = multi.join(stars, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     wide = shared.write(wide, "wide")
-    sizes = wide.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("members"), F.count("*").alias("groups"))
-    mixed = shared.write(mixed.where("groups > 1 AND members > 2").drop("groups"), "mixed")  # of a bucket of two, the one pair has been looked at
+    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    mixed = shared.write(mixed.where("lo <> hi AND members > 2").select("key", "members"), "mixed")  # of a bucket of two, the one pair has been looked at
     if mixed.isEmpty():
         return stars
-    rows = with_facts(wide, mixed, ["key"], "members", wide.count()).where("largest IS NOT NULL")
-    rows = shared.write(rows.select("key", "id", "component", "members", (F.col("component") != F.col("largest")).alias("asks")), "mixed-rows")
-    weights = items.select("id", (F.length("text") / 1000).alias("thousands"))
-    blocks = rows.join(weights, "id").groupBy("key").agg(F.count("*").alias("members"), (1 + F.greatest(F.floor(F.count("*") / BLOCK), F.floor(F.sum("thousands") / BLOCK_THOUSANDS))).alias("blocks"))
+    rows = with_facts(wide, mixed, ["key"], "members", wide.count()).where("members IS NOT NULL")
+    rows = shared.write(rows.select("key", "id", "component"), "mixed-members")
+    shared.drop("wide")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = shared.write(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")), "largest")
+    rows = with_facts(rows, largest, ["key"], "members", rows.count())
+    sized = items.select("id", (F.length("text") / 1000).alias("thousands"))
+    rows = rows.select("key", "id", "component", (F.col("component") != F.col("largest")).alias("asks")).join(sized, "id")
+    rows = shared.write(rows, "mixed-rows")
+    blocks = rows.groupBy("key").agg(F.count("*").alias("members"), (1 + F.greatest(F.floor(F.count("*") / BLOCK), F.floor(F.sum("thousands") / BLOCK_THOUSANDS))).alias("blocks"))
     blocks = shared.write(blocks, "blocks")
-    dealt = with_facts(rows.drop("members"), blocks, ["key"], "members", rows.count())
+    dealt = with_facts(rows.drop("thousands"), blocks, ["key"], "members", rows.count())
     home = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = dealt.select("key", "id", "component", "asks", home.alias("home"), F.explode(F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home))).alias("block"))
-    dealt = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("visits"), "id", "component", "asks").join(items.select("id", "sig", "keys"), "id")
+    there = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home))
+    dealt = dealt.select("key", "id", "component", "asks", home.alias("home"), F.explode(there).alias("block"))
+    dealt = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("visits"), "id", "component", "asks")
     order = ("key", "block", "visits", "id")
     many = partitions(spark)
-    likely = dealt.repartition(many, "key", "block").sortWithinPartitions(*order).mapInArrow(lambda it: _surviving(it, how), "key long, block long, visits boolean, id long, component long, asks boolean, sig binary, keys binary")
-    likely = shared.write(likely, "likely")
-    told = likely.join(items.select("id", "text"), "id").repartition(many, "key", "block").sortWithinPartitions(*order)
+    width, text = items.agg(F.max(F.length("sig") + F.length("keys")), F.avg(F.length("text"))).first()
+    if text <= width:  # texts that are no longer than signatures go with them
+        told = dealt.join(items, "id")
+    else:
+        signed = dealt.join(items.select("id", "sig", "keys"), "id").repartition(many, "key", "block").sortWithinPartitions(*order)
+        likely = signed.mapInArrow(lambda it: _surviving(it, how), "key long, block long, visits boolean, id long, component long, asks boolean, sig binary, keys binary")
+        told = shared.write(likely, "likely").join(items.select("id", "text"), "id")
+    told = told.repartition(many, "key", "block").sortWithinPartitions(*order)
     more = shared.write(told.mapInArrow(lambda it: _linking(it, how), "a long, b long"), "more-links")
-    shared.drop("mixed-rows", "blocks", "likely")
+    shared.drop("mixed-members", "mixed-rows", "largest", "blocks", "likely")
     if more.isEmpty():
         return stars
     return components(shared.write(stars.toDF("a", "b").unionByName(more), "all-links"), shared, "all-stars")

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,23 +30,24 @@ def shared_folder(spark: SparkSession) -> str:
 #: lets Spark remove a query's shuffle files as soon as it has ended; another query that runs meanwhile only loses its own sooner
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: folders by application
+#: folders by application, and of the scopes that are open, the innermost last
 _kept: dict[str, list[str]] = {}
+_scopes: list[list[str]] = []
 
 
 class Shared:
-    """Intermediate tables of one operator call. What a lazy result reads stays in the folder until ``release``."""
+    """Intermediate tables of one operator call. What a lazy result reads stays in the folder until its ``scope`` ends, or ``release``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
-        _kept.setdefault(spark.sparkContext.applicationId, []).append(self.root)
+        (_scopes[-1] if _scopes else _kept.setdefault(spark.sparkContext.applicationId, [])).append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
         before = conf.get(_CLEANUP, None)
         conf.set(_CLEANUP, "true")  # the table stands for the query's shuffles from here on
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes, of which no dictionary can be made
         finally:
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         self.names.add(name)
@@ -73,6 +75,19 @@ def release(spark: SparkSession) -> None:
         _delete(spark, root)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables of operators called within go at its end, so their results have to be written within too."""
+    roots: list[str] = []
+    _scopes.append(roots)
+    try:
+        yield
+    finally:
+        _scopes.remove(roots)
+        for root in roots:
+            _delete(spark, root)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,17 +105,25 @@ def free(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+#: rows of facts that are broadcast after they have been counted
+FEW = 200_000
 #: a key is hot if over one in so many rows have it, and these many rows at least
 HOT, HOT_LEAST = 1000, 64
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, written: bool = True) -> DataFrame:
     """``rows`` left-joined with ``facts``: one row for each key, ``count`` of which says how many of the ``total`` rows have it.
 
     Hot keys are at most ``HOT`` by arithmetic, so their facts are broadcast and their rows
-    stay where they are; all others are shuffled by key. Null keys have no facts.
+    stay where they are; all others are shuffled by key. Null keys have no facts. ``written``:
+    the facts are a table, so it is cheap to count them, and they are broadcast if they are
+    ``FEW`` at most, and to ask whether there are any hot ones.
     """
+    if written and facts.count() <= FEW:
+        return rows.join(F.broadcast(facts), keys, "left")
     hot = F.col(count) > max(total // HOT, HOT_LEAST)
+    if written and facts.where(hot).isEmpty():
+        return rows.join(facts, keys, "left")
     there = rows.join(F.broadcast(facts.where(hot)), keys)
     others = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti").join(facts.where(~hot), keys, "left")
     return there.unionByName(others)

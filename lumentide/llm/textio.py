@@ -157,6 +157,30 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
+def distinct_by_row(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each row, all in a row, and the rows' bounds. ``counts``: values of each row, one or more. Seven bits of a value tell rows apart, so it keeps 57."""
+    out, bounds, at, ends = [values[:0]], [np.zeros(1, np.int64)], 0, np.cumsum(counts)
+    for first in range(0, len(counts), 128):
+        own = counts[first : first + 128]
+        size, rows = int(own.sum()), np.repeat(np.arange(len(own), dtype=np.uint64), own)
+        keys = (rows << np.uint64(57)) | (values[at : at + size] >> np.uint64(7))
+        keys.sort()
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+        bounds.append(np.searchsorted(keys >> np.uint64(57), np.arange(1, len(own) + 1, dtype=np.uint64)) + bounds[-1][-1])
+        out.append(keys & np.uint64((1 << 57) - 1))
+        at = int(ends[first + len(own) - 1])
+    return np.concatenate(out), np.concatenate(bounds)
+
+
+def common_counts(x: np.ndarray, x_bounds: np.ndarray, y: np.ndarray, y_bounds: np.ndarray) -> np.ndarray:
+    """How many values each two rows have in common: rows of ``distinct_by_row``, 128 at most, paired one by one."""
+    rows = lambda b: np.repeat(np.arange(len(b) - 1, dtype=np.uint64), np.diff(b)) << np.uint64(57)
+    both = np.concatenate((rows(x_bounds) | x, rows(y_bounds) | y))
+    both.sort()
+    same = both[1:][both[1:] == both[:-1]] >> np.uint64(57)
+    return np.bincount(same.astype(np.int64), minlength=len(x_bounds) - 1)
+
+
 def place_of(text: Column) -> Column:
     """A hash by which JVM joins tell texts of one id apart."""
     return F.xxhash64(text)

@@ -83,12 +83,14 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 160)}}
 
 
-def test_components_with_hot_nodes_and_uncontracted_links(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_with_hot_nodes_and_uncontracted_links(spark, monkeypatch, few):
     """Stars wider than what counts as hot, joined by a path, with nothing contracted before."""
     from pyspark.sql import functions as F
 
     from lumentide.llm import components as module
 
+    monkeypatch.setattr(module, "FEW", few)
     monkeypatch.setattr(module, "_contracted", lambda batches: (module._edges(np.stack([np.maximum(*t), np.minimum(*t)])) for b in batches for t in [[b.column(k).to_numpy() for k in range(2)]]))
     links = [(1000 + h, 5000 + 300 * h + i) for h in range(8) for i in range(300)] + [(1000 + h, 1001 + h) for h in range(5)] + [(i, i + 1) for i in range(30)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long").repartition(4, F.rand(1)), Shared(spark, "t")).collect()}
@@ -166,8 +168,8 @@ def members(ids, groups, asks, sigs, keys, texts, visits=False):
 def test_keys_tell_the_first_shared_band():
     """Real minima: each linked pair is looked at in exactly the first band whose key both have, also if the bytes of an earlier one agree."""
     rng, pairs = np.random.default_rng(2), 300
-    sets = [np.unique(rng.integers(0, 1 << 62, 40, dtype=np.uint64)) for _ in range(pairs)]
-    flat = [x for s in sets for x in (s, np.unique(np.append(s[4:], rng.integers(0, 1 << 62, 2, dtype=np.uint64))))]
+    sets = [np.unique(rng.integers(0, 1 << 57, 40, dtype=np.uint64)) for _ in range(pairs)]
+    flat = [x for s in sets for x in (s, np.unique(np.append(s[4:], rng.integers(0, 1 << 57, 2, dtype=np.uint64))))]
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in flat])))
     mins = minima(np.concatenate(flat), bounds, 32, 1)
     keys, sigs = band_keys(mins, 32, 1).view(np.int64), (mins.T & np.uint64(3)).astype(np.uint8)  # bytes of two bits collide often
@@ -216,9 +218,11 @@ def test_likely_and_confirmed_join_what_all_pairs_join():
     assert united(groups, links) == united(groups, every) and len(links) < len(set(groups.tolist()))
 
 
-def test_mixed_bucket_of_many_blocks(spark):
-    """Askers visit the blocks of the others: what is joined is what all pairs join."""
-    groups, sets, texts = mixed_bucket()
+@pytest.mark.parametrize("pad", ["", " " * 40])
+def test_mixed_bucket_of_many_blocks(spark, pad):
+    """Askers visit the blocks of the others: what is joined is what all pairs join, also where signatures go before long texts."""
+    groups, sets, texts = mixed_bucket(900)
+    texts = [t + pad for t in texts]
     n = len(groups)
     assert n > 2 * BLOCK
     chain = [(int(x), int(y)) for g in set(groups.tolist()) for m in [np.flatnonzero(groups == g)] for x, y in zip(m[1:], m)]
@@ -236,7 +240,7 @@ def test_mixed_bucket_of_many_blocks(spark):
 def test_buckets_in_pieces_and_tasks(spark):
     """A part that comes in pieces gives the same buckets; every member hangs together by pivots; one id from several tasks is no bucket."""
     rng = np.random.default_rng(4)
-    keys, ids = np.append(rng.integers(0, 60, 500), [900] * 30), np.append(rng.integers(0, 200, 500), [5] * 30)
+    keys, ids = np.append(rng.integers(0, 60, 500), [900] * 30) * 64, np.append(rng.integers(0, 200, 500), [5] * 30)
     order = rng.permutation(530)
     keys, ids = keys[order], ids[order]
     df = dealt(spark, *[(keys[at : at + 25], ids[at : at + 25]) for at in range(0, 530, 25)])
