@@ -16,7 +16,7 @@ from lumentide.llm.lines import dedup_lines
 from lumentide.llm.neardup import drop_near_duplicates
 from lumentide.llm.packing import crc_payload, pack
 from lumentide.llm.quality import quality_filter
-from lumentide.llm.shared import Shared
+from lumentide.llm.shared import Shared, scope
 from lumentide.session import visible_to_workers
 
 
@@ -66,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``."""
     shared, docs = Shared(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = shared.write(docs, f"stage-{k}")
-    return docs
+        if k == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with scope(spark):
+            docs = shared.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        shared.keep(f"stage-{k}")
