@@ -9,7 +9,9 @@
    blocks. What isn't of a bucket's largest component is compared by signature with all
    blocks, in the first band that a pair shares; then only what is likely enough gets its
    text, and the likeliest pairs come first to be confirmed on full sets. What a confirmed
-   link joins needs no further pair. Only links leave a task.
+   link joins needs no further pair. Only links leave a task. Blocks grow with the root of
+   their bucket, so n items that are all of small components are sent some n ** 1.5 / 11
+   times, without texts, not n ** 2 / 128 times.
 
 So each pair of a bucket has been confirmed or refuted on full sets, ruled out by its
 signature, or joined already: no link is lost for the shortcut, and near copies in
@@ -30,7 +32,7 @@ from lumentide.llm.components import components
 from lumentide.llm.shared import Shared, partitions, with_facts
 from lumentide.llm.textio import common_counts
 
-#: items of a block, and thousands of their text's characters
+#: items of a small bucket's block, and thousands of characters of a block's texts
 BLOCK, BLOCK_THOUSANDS = 128, 8_000
 #: a key's low bits are its band, and the next one tells a pivot that has company in its task
 BAND_BITS = 5
@@ -381,7 +383,7 @@ def _walked(batches: Iterator[pa.RecordBatch], texts: bool, compare: Callable, f
 
 def _surviving(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     """The rows that have a likely pair in their block."""
-    names = ["key", "block", "visits", "id", "component", "asks", "sig", "keys"]
+    names = ["key", "block", "visits", "id", "component", "asks", "sig", "keys", "thousands"]
 
     def compare(state, key, one, rows, home, at_home):
         pairs = likely_pairs(key & ((1 << BAND_BITS) - 1), one, home, how)
@@ -441,6 +443,32 @@ def least_equal(hashes: int, percent: int) -> int:
     return int(hashes * p - 4.3 * (hashes * p * (1 - p)) ** 0.5)
 
 
+def in_blocks(rows: DataFrame, shared: Shared) -> DataFrame:
+    """Rows (key, block, visits, id, component, asks) of rows (key, id, component, asks, thousands): each at home in one of its bucket's blocks, what asks in all of them."""
+    number = F.greatest(F.floor(F.sqrt(F.count("*") / BLOCK)), F.floor(F.sum("thousands") / BLOCK_THOUSANDS))
+    blocks = shared.write(rows.groupBy("key").agg(F.count("*").alias("members"), (1 + number).alias("blocks")), "blocks")
+    rows = with_facts(rows.drop("thousands"), blocks, ["key"], "members", rows.count())
+    home = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    there = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home))
+    rows = rows.select("key", "id", "component", "asks", home.alias("home"), F.explode(there).alias("block"))
+    return rows.select("key", "block", (F.col("block") != F.col("home")).alias("visits"), "id", "component", "asks")
+
+
+def cut_blocks(likely: DataFrame, shared: Shared) -> DataFrame:
+    """A table of ``_surviving``'s rows, with blocks cut whose texts at home are too many to be held: what is at home stays in one part, what asks visits the others."""
+    home = F.sum(F.when(~F.col("visits"), F.col("thousands")))
+    heavy = likely.groupBy("key", "block").agg(home.alias("held"), F.count("*").alias("members")).where(F.col("held") >= BLOCK_THOUSANDS)
+    heavy = shared.write(heavy.select("key", "block", "members", (1 + F.floor(F.col("held") / BLOCK_THOUSANDS)).alias("parts")), "heavy")
+    if heavy.isEmpty():
+        return likely
+    rows = with_facts(likely, heavy, ["key", "block"], "members", likely.count()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))  # another hash than that of blocks
+    there = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
+    rows = rows.withColumn("own", own).withColumn("part", F.explode(there))
+    moved = {"visits": F.col("visits") | (F.col("part") != F.col("own")), "block": F.col("block") + F.col("part") * (1 << 32)}
+    return rows.withColumns(moved).select(*likely.columns)
+
+
 def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFrame], how: Similarity, shared: Shared, given: DataFrame | None = None) -> DataFrame:
     """(id, component) of all ids that are linked with another, but the components' smallest.
 
@@ -470,28 +498,22 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = shared.write(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")), "largest")
     rows = with_facts(rows, largest, ["key"], "members", rows.count())
-    sized = items.select("id", (F.length("text") / 1000).alias("thousands"))
-    rows = rows.select("key", "id", "component", (F.col("component") != F.col("largest")).alias("asks")).join(sized, "id")
-    rows = shared.write(rows, "mixed-rows")
-    blocks = rows.groupBy("key").agg(F.count("*").alias("members"), (1 + F.greatest(F.floor(F.count("*") / BLOCK), F.floor(F.sum("thousands") / BLOCK_THOUSANDS))).alias("blocks"))
-    blocks = shared.write(blocks, "blocks")
-    dealt = with_facts(rows.drop("thousands"), blocks, ["key"], "members", rows.count())
-    home = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    there = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home))
-    dealt = dealt.select("key", "id", "component", "asks", home.alias("home"), F.explode(there).alias("block"))
-    dealt = dealt.select("key", "block", (F.col("block") != F.col("home")).alias("visits"), "id", "component", "asks")
+    rows = rows.select("key", "id", "component", (F.col("component") != F.col("largest")).alias("asks"))
     order = ("key", "block", "visits", "id")
     many = partitions(spark)
+    thousands = (F.length("text") / 1000).alias("thousands")
     width, text = items.agg(F.max(F.length("sig") + F.length("keys")), F.avg(F.length("text"))).first()
     if text <= width:  # texts that are no longer than signatures go with them
-        told = dealt.join(items, "id")
+        rows = shared.write(rows.join(items.select("id", thousands), "id"), "mixed-rows")
+        told = in_blocks(rows, shared).join(items, "id")
     else:
-        signed = dealt.join(items.select("id", "sig", "keys"), "id").repartition(many, "key", "block").sortWithinPartitions(*order)
-        likely = signed.mapInArrow(lambda it: _surviving(it, how), "key long, block long, visits boolean, id long, component long, asks boolean, sig binary, keys binary")
-        told = shared.write(likely, "likely").join(items.select("id", "text"), "id")
+        rows = shared.write(rows.withColumn("thousands", F.lit(0.0)), "mixed-rows")  # only the likely get texts
+        signed = in_blocks(rows, shared).join(items.select("id", "sig", "keys", thousands), "id").repartition(many, "key", "block").sortWithinPartitions(*order)
+        likely = signed.mapInArrow(lambda it: _surviving(it, how), "key long, block long, visits boolean, id long, component long, asks boolean, sig binary, keys binary, thousands double")
+        told = cut_blocks(shared.write(likely, "likely"), shared).drop("thousands").join(items.select("id", "text"), "id")
     told = told.repartition(many, "key", "block").sortWithinPartitions(*order)
     more = shared.write(told.mapInArrow(lambda it: _linking(it, how), "a long, b long"), "more-links")
-    shared.drop("mixed-members", "mixed-rows", "largest", "blocks", "likely")
+    shared.drop("mixed-members", "mixed-rows", "largest", "blocks", "likely", "heavy")
     if more.isEmpty():
         return stars
     return components(shared.write(stars.toDF("a", "b").unionByName(more), "all-links"), shared, "all-stars")

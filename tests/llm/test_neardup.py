@@ -7,7 +7,7 @@ import pytest
 
 from lumentide.llm.components import components
 from lumentide.llm.neardup import NearDup, band_keys, drop_near_duplicates, minima, near_duplicates, shingle_sets
-from lumentide.llm.neighbours import BLOCK, Dealer, Members, Roots, SetCache, Similarity, buckets, confirmed, likely_pairs, linked_components
+from lumentide.llm.neighbours import BLOCK, Dealer, Members, Roots, SetCache, Similarity, buckets, confirmed, in_blocks, likely_pairs, linked_components
 from lumentide.llm.shared import Shared
 
 SCHEMA = "doc_id long, text string, key string, component long, gone long"
@@ -264,3 +264,29 @@ def test_components_from_pieces(spark):
     for held in (1 << 24, 20):
         found = linked_components(buckets(df, PARTS, held), lambda ids: items.join(ids, "id"), HOW, Shared(spark, "t"))
         assert {r["id"]: r["component"] for r in found.collect()} == {i: 0 for i in range(1, 40)}
+
+
+def test_rows_sent_to_blocks_grow_less_than_with_the_square(spark):
+    """A bucket of which all members ask: four times the members are sent eight times as often, not sixteen; each meets all blocks, one of them at home."""
+    from pyspark.sql import functions as F
+
+    sent = []
+    for n in (BLOCK * 16, BLOCK * 64):
+        rows = spark.range(n).select(F.lit(5).cast("long").alias("key"), "id", F.col("id").alias("component"), F.lit(True).alias("asks"), F.lit(0.0).alias("thousands"))
+        placed = in_blocks(rows, Shared(spark, "t"))
+        blocks = placed.select("block").distinct().count()
+        assert placed.count() == placed.select("id", "block").distinct().count() == n * blocks and placed.where("NOT visits").count() == n
+        sent.append(n * blocks)
+    assert sent[1] < 9 * sent[0]
+
+
+def test_blocks_with_too_long_texts_are_cut(spark, monkeypatch):
+    """Blocks of likely rows in parts of few texts join what all pairs join."""
+    from lumentide.llm import neighbours
+
+    cut = []
+    whole = neighbours.cut_blocks
+    monkeypatch.setattr(neighbours, "BLOCK_THOUSANDS", 20)
+    monkeypatch.setattr(neighbours, "cut_blocks", lambda likely, shared: cut.append((likely.select("key", "block").distinct().count(), (out := whole(likely, shared)).select("key", "block").distinct().count())) or out)
+    test_mixed_bucket_of_many_blocks(spark, " " * 400)
+    assert cut and cut[0][1] > 2 * cut[0][0]
