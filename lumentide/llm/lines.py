@@ -236,7 +236,7 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
     def describe(ids: DataFrame) -> DataFrame:
         # the guard that counts for an id is that of its first line
         first = F.min(F.struct("doc", "t", "line", "guard")).alias("first")
-        places.append(shared.write(listed.join(ids, "id", "left_semi").groupBy("id").agg(first, F.count("*").alias("n")).select("id", "first.*", "n"), "placed"))
+        places.append(shared.write(listed.join(ids, "id", "left_semi").groupBy("id").agg(first, F.count("*").alias("n")).select("id", "first.*", "n"), "placed", lines))
         wanted = places[0].select("doc", "t", F.struct("line", "id").alias("want")).groupBy("doc", "t").agg(F.collect_list("want").alias("wanted"))
         # by hash, so that texts needn't be sorted; the other side has a short row for a document at most
         rows = plain.repartition(many, "doc", "t").join(wanted.repartition(many, "doc", "t").hint("shuffle_hash"), ["doc", "t"]).select("doc", "t", "text", "wanted")
@@ -244,15 +244,15 @@ def removed_lines(docs: DataFrame, settings: LineDup = LineDup(), id_col: str =
 
     how = Similarity(lambda lines: line_sets(lines, settings.shingle), settings.percent, settings.least)
     stars = linked_components(multi, describe, how, shared)
-    stars = shared.write(stars.unionByName(stars.selectExpr("component AS id", "component").distinct()), "linked")
+    stars = shared.write(stars.unionByName(stars.selectExpr("component AS id", "component").distinct()), "linked", lines)
     # lines that occur once and are like no other stay out of all that follows
     known_lines = several.join(stars, "id", "left").unionByName(places[0].where("n = 1").join(stars, "id"))
     rooted = known_lines.select("id", "guard", F.coalesce("component", "id").alias("root"), F.struct("doc", "t", "line").alias("first"), "n")
-    rooted = shared.write(rooted, "rooted")
+    rooted = shared.write(rooted, "rooted", lines)
     shared.keep("lines", "rooted")
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("n").alias("total"), F.count("*").alias("ids")).where("total > 1")
     keepers = with_facts(rooted.drop("first"), groups, ["root"], "ids", rooted.count()).where("keeper IS NOT NULL")
-    keepers = shared.write(keepers.select("id", F.col("guard").alias("own"), "keeper", "n"), "keepers")
+    keepers = shared.write(keepers.select("id", F.col("guard").alias("own"), "keeper", "n"), "keepers", lines)
     shared.keep("lines", "keepers")
     gone = with_facts(listed, keepers, ["id"], "n", lines).where("keeper IS NOT NULL AND guard = own AND NOT (doc = keeper.doc AND t = keeper.t AND line = keeper.line)")
     return gone.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.col("line").cast("int"))).alias("lines")), many

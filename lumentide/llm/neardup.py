@@ -140,13 +140,13 @@ def _components(docs: DataFrame, settings: NearDup, id_col: str, text_col: str)
     full = signed.where("n > 0")
     # a class is named by its first row
     classes = full.groupBy(*_CLASS).agg(F.min("row").alias("class"), F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = shared.write(classes, "classes")
+    classes = shared.write(classes, "classes", rows)
     own = full.join(classes.select(F.col("class").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), F.col("id").alias("doc"), "t", "keys", "sig")
-    own = shared.write(own, "own")
+    own = shared.write(own, "own", 10 * rows)  # a row has keys and a signature
 
     # ids that several classes have link these
     several = full.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*_CLASS)).alias("lo"), F.max(F.struct(*_CLASS)).alias("hi"), F.count("*").alias("copies")).where("lo <> hi")
-    several = shared.write(several.select("id", "copies"), "several")
+    several = shared.write(several.select("id", "copies"), "several", rows)
     given = None
     if not several.isEmpty():
         repeated = with_facts(full.select("id", *_CLASS), several, ["id"], "copies", rows).where("copies IS NOT NULL").select("id", *_CLASS).distinct()
@@ -165,10 +165,10 @@ def _components(docs: DataFrame, settings: NearDup, id_col: str, text_col: str)
     how = Similarity(lambda texts: shingle_sets(texts, settings.shingle), settings.percent, settings.least)
     stars = linked_components(shared.write(buckets(dealt, parts), "buckets"), describe, how, shared, given)
     named = classes.join(stars.withColumnRenamed("id", "class"), "class", "left").select(*_CLASS, "least", "copies", F.coalesce("component", "class").alias("root"))
-    named = shared.write(named, "named")
+    named = shared.write(named, "named", rows)
     names = named.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("classes"))
     facts = with_facts(named, names, ["root"], "classes", rows).select(*_CLASS, "copies", "component")
-    facts = shared.write(facts, "facts")
+    facts = shared.write(facts, "facts", rows)
     shared.keep("signed", "facts")
     told = with_facts(signed.select("id", "t", *_CLASS), facts, _CLASS, "copies", rows)
     return told.select("id", "t", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))

@@ -445,9 +445,10 @@ def least_equal(hashes: int, percent: int) -> int:
 
 def in_blocks(rows: DataFrame, shared: Shared) -> DataFrame:
     """Rows (key, block, visits, id, component, asks) of rows (key, id, component, asks, thousands): each at home in one of its bucket's blocks, what asks in all of them."""
+    total = rows.count()
     number = F.greatest(F.floor(F.sqrt(F.count("*") / BLOCK)), F.floor(F.sum("thousands") / BLOCK_THOUSANDS))
-    blocks = shared.write(rows.groupBy("key").agg(F.count("*").alias("members"), (1 + number).alias("blocks")), "blocks")
-    rows = with_facts(rows.drop("thousands"), blocks, ["key"], "members", rows.count())
+    blocks = shared.write(rows.groupBy("key").agg(F.count("*").alias("members"), (1 + number).alias("blocks")), "blocks", total)
+    rows = with_facts(rows.drop("thousands"), blocks, ["key"], "members", total)
     home = F.pmod(F.xxhash64("id"), F.col("blocks"))
     there = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(home))
     rows = rows.select("key", "id", "component", "asks", home.alias("home"), F.explode(there).alias("block"))
@@ -457,11 +458,12 @@ def in_blocks(rows: DataFrame, shared: Shared) -> DataFrame:
 def cut_blocks(likely: DataFrame, shared: Shared) -> DataFrame:
     """A table of ``_surviving``'s rows, with blocks cut whose texts at home are too many to be held: what is at home stays in one part, what asks visits the others."""
     home = F.sum(F.when(~F.col("visits"), F.col("thousands")))
+    total = likely.count()
     heavy = likely.groupBy("key", "block").agg(home.alias("held"), F.count("*").alias("members")).where(F.col("held") >= BLOCK_THOUSANDS)
-    heavy = shared.write(heavy.select("key", "block", "members", (1 + F.floor(F.col("held") / BLOCK_THOUSANDS)).alias("parts")), "heavy")
+    heavy = shared.write(heavy.select("key", "block", "members", (1 + F.floor(F.col("held") / BLOCK_THOUSANDS)).alias("parts")), "heavy", total)
     if heavy.isEmpty():
         return likely
-    rows = with_facts(likely, heavy, ["key", "block"], "members", likely.count()).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = with_facts(likely, heavy, ["key", "block"], "members", total).withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))  # another hash than that of blocks
     there = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
     rows = rows.withColumn("own", own).withColumn("part", F.explode(there))
@@ -476,7 +478,8 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
     (binary of one width), keys (its key of each band, 8 bytes each) and text of each. ``given``: links (a, b) that hold anyhow.
     """
     spark = multi.sparkSession
-    items = describe(shared.write(multi.select("id").distinct(), "ids"))  # a table, so that a small one is broadcast
+    most = multi.count()
+    items = describe(shared.write(multi.select("id").distinct(), "ids", most))  # a table, so that a small one is broadcast
     items = shared.write(items.select("id", "sig", "keys", "text"), "items")
     signed = items.drop("keys")
     pairs = multi.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
@@ -489,14 +492,14 @@ def linked_components(multi: DataFrame, describe: Callable[[DataFrame], DataFram
     wide = multi.join(stars, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     wide = shared.write(wide, "wide")
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-    mixed = shared.write(mixed.where("lo <> hi AND members > 2").select("key", "members"), "mixed")  # of a bucket of two, the one pair has been looked at
+    mixed = shared.write(mixed.where("lo <> hi AND members > 2").select("key", "members"), "mixed", most)  # of a bucket of two, the one pair has been looked at
     if mixed.isEmpty():
         return stars
     rows = with_facts(wide, mixed, ["key"], "members", wide.count()).where("members IS NOT NULL")
     rows = shared.write(rows.select("key", "id", "component"), "mixed-members")
     shared.drop("wide")
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = shared.write(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")), "largest")
+    largest = shared.write(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members")), "largest", most)
     rows = with_facts(rows, largest, ["key"], "members", rows.count())
     rows = rows.select("key", "id", "component", (F.col("component") != F.col("largest")).alias("asks"))
     order = ("key", "block", "visits", "id")

@@ -30,11 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
 #: lets Spark remove a query's shuffle files as soon as it has ended; another query that runs meanwhile only loses its own sooner
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: For each file and each one's checksum, Hadoop's usual local file system starts a process that sets permissions. Until it has loaded its program
+#: it has the JVM's pages, which a look at the memory of an executor's processes then finds twice. Other stores than ``file:`` have no use for this.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 #: folders by application, and of the scopes that are open, the innermost last
 _kept: dict[str, list[str]] = {}
 _scopes: list[list[str]] = []
 
 
+#: short rows of a file, where a bound is known
+ROWS_A_FILE = 100_000
+
+
 class Shared:
     """Intermediate tables of one operator call. What a lazy result reads stays in the folder until its ``scope`` ends, or ``release``."""
 
@@ -42,12 +50,14 @@ class Shared:
         self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", set()
         (_scopes[-1] if _scopes else _kept.setdefault(spark.sparkContext.applicationId, [])).append(self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``rows``: a bound of the table's rows, for one that is quickly made of short rows; it gets few files then."""
         path, conf = f"{self.root}/{name}", self.spark.conf
+        df = df if rows is None else df.coalesce(1 + rows // ROWS_A_FILE)
         before = conf.get(_CLEANUP, None)
         conf.set(_CLEANUP, "true")  # the table stands for the query's shuffles from here on
         try:
-            df.write.mode("overwrite").option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes, of which no dictionary can be made
+            df.write.mode("overwrite").options(**_PLAIN_FILES).option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes, of which no dictionary can be made
         finally:
             conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
         self.names.add(name)

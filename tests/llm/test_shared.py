@@ -24,6 +24,20 @@ def test_tables_go_with_their_scope_and_by_release(spark):
     assert not there(kept.root)
 
 
+def test_tables_are_written_without_processes_for_permissions(spark):
+    """Hadoop's file system with checksums starts a process for each file and each checksum, which shows the JVM's memory twice."""
+    tables = Shared(spark, "plain")
+    assert tables.write(spark.range(9), "a").count() == 9
+    files = os.listdir(f"{tables.root.removeprefix('file://').removeprefix('file:')}/a")
+    assert [f for f in files if f.endswith(".parquet")] and not [f for f in files if f.endswith(".crc")]
+
+
+def test_short_tables_get_few_files(spark):
+    tables = Shared(spark, "few")
+    assert tables.write(spark.range(900).repartition(9), "a", 900).count() == 900
+    assert sum(f.endswith(".parquet") for f in os.listdir(f"{tables.root.removeprefix('file://').removeprefix('file:')}/a")) == 1
+
+
 def test_no_local_folder_on_a_cluster():
     class Cluster:
         class conf:
