@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,22 @@ class LineHashes:
         return minima((self.shingles >> np.uint64(32)).astype(np.uint32), self.bounds, count, seed)
 
 
+#: characters that are hashed at once, so that all arrays of a pass stay in a core's own cache; a longer line is a pass of its own
+_STRETCH = 1 << 16
+
+
+def hashed(lines: list[str], size: int) -> Iterator[LineHashes]:
+    """Hashes of all lines in their order, some ``_STRETCH`` characters of them at once."""
+    begin = held = 0
+    for k, line in enumerate(lines):
+        if k > begin and held + len(line) > _STRETCH:
+            yield LineHashes(lines[begin:k], size)
+            begin, held = k, 0
+        held += len(line) + 1
+    if len(lines) > begin:
+        yield LineHashes(lines[begin:], size)
+
+
 #: lines that a task holds before it deals their places
 _LINES_AT_ONCE = 1 << 17
 
@@ -118,11 +135,12 @@ def _read(batches: Iterator[pa.RecordBatch], s: LineDup, parts: int) -> Iterator
                     number.append(k)
         if not names:
             continue
-        h = LineHashes(list(names), s.shingle)
-        keys = band_keys(h.minima(s.bands * s.rows, s.seed), s.bands, s.rows)
-        yield from dealer.add(keys.ravel().view(np.int64), np.repeat(h.ids, s.bands))
+        own = [(h.ids, h.guards, h.minima(s.bands * s.rows, s.seed)) for h in hashed(list(names), s.shingle)]
+        ids, guards, mins = (np.concatenate(c, axis=-1) for c in zip(*own, strict=True))
+        keys = band_keys(mins, s.bands, s.rows)
+        yield from dealer.add(keys.ravel().view(np.int64), np.repeat(ids, s.bands))
         which, doc = np.array(which), np.array(doc)
-        held.append([h.ids[which], docs[doc], places[doc], np.array(number, np.int64), h.guards[which]])
+        held.append([ids[which], docs[doc], places[doc], np.array(number, np.int64), guards[which]])
         size += len(which)
         if size >= _LINES_AT_ONCE:
             yield from placed()
@@ -186,26 +204,30 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, line) of the numbered lines of each document. Input: doc, t, text, wanted (array of line, id); repeated rows are in one task, and the first of them is enough."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
-        ids, lines = [], []
-        for doc, t, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        ids, lines, at = [], [], 0
+        wanted = batch.column(3)
+        number, name = (wanted.flatten().field(c).to_pylist() for c in ("line", "id"))
+        for doc, t, text, n in zip(*(batch.column(c).to_pylist() for c in range(3)), pc.list_value_length(wanted).to_pylist(), strict=True):
+            at += n
             if (doc, t) in seen:
                 continue
             seen.add((doc, t))
             own = split_lines(text)
-            for w in wanted:
-                ids.append(w["id"])
-                lines.append(own[w["line"]])
+            ids += name[at - n : at]
+            lines += [own[k] for k in number[at - n : at]]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], s: LineDup) -> Iterator[pa.RecordBatch]:
     for part, lines in blocks(batches, "line"):
-        h = LineHashes([x.decode() for x in lines], s.shingle)
-        mins = h.minima(s.sketch, s.seed)
-        sigs = (mix(mins.astype(np.uint64).ravel()).reshape(mins.shape) >> np.uint64(56)).astype(np.uint8).T
-        keys = band_keys(mins[: s.bands * s.rows], s.bands, s.rows)
+        own = []
+        for h in hashed([x.decode() for x in lines], s.shingle):
+            mins = h.minima(s.sketch, s.seed)
+            own.append((mins[: s.bands * s.rows], (mix(mins.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)))
+        mins, sigs = (np.concatenate(c, axis=1) for c in zip(*own, strict=True))
+        keys = band_keys(mins, s.bands, s.rows)
         names = part.schema.get_field_index
-        yield pa.RecordBatch.from_arrays([part.column(names("id")), binary_rows(keys), binary_rows(sigs), part.column(names("line"))], ["id", "keys", "sig", "text"])
+        yield pa.RecordBatch.from_arrays([part.column(names("id")), binary_rows(keys), binary_rows(sigs.T), part.column(names("line"))], ["id", "keys", "sig", "text"])
 
 
 def line_sets(lines: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:

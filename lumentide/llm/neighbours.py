@@ -59,7 +59,7 @@ class Similarity:
             one, two = two, one
         if 100 * len(one) < self.percent * len(two):
             return False
-        both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+        both = int(np.count_nonzero(two.take(two.searchsorted(one), mode="clip") == one))
         return 100 * both >= self.percent * (len(one) + len(two) - both)
 
 
@@ -248,6 +248,9 @@ class Members:
     def take(self, at: np.ndarray) -> Members:
         return Members(*(x[at] for x in (self.ids, self.groups, self.asks, self.visits, self.sigs, self.keys)), self.texts and [self.texts[i] for i in at.tolist()])
 
+    def span(self, b: int, e: int) -> Members:
+        return Members(*(x[b:e] for x in (self.ids, self.groups, self.asks, self.visits, self.sigs, self.keys)), self.texts and self.texts[b:e])
+
     @staticmethod
     def joined(parts: list[Members]) -> Members:
         columns = zip(*((p.ids, p.groups, p.asks, p.visits, p.sigs, p.keys) for p in parts), strict=True)
@@ -264,6 +267,8 @@ def likely_pairs(band: int, one: Members, home: Members, how: Similarity) -> np.
         alike = (score >= how.least) & (one.groups[own, None] != home.groups[None, :])
         alike &= ~home.asks[None, :] | (one.ids[own, None] < home.ids[None, :])
         x, y = np.nonzero(alike)
+        if not len(x):
+            continue
         before = np.zeros(len(x), bool)
         for column in range(band):
             before |= one.keys[own[x], column] == home.keys[y, column]
@@ -318,8 +323,11 @@ class SetCache:
 def confirmed(pairs: np.ndarray, one: Members, home: Members, how: Similarity, roots: Roots, cache: SetCache) -> list[tuple[int, int]]:
     """Links that join groups, the likeliest pairs first."""
     links = []
-    cache.fill(one, pairs[:, 1])
-    cache.fill(home, pairs[:, 2])
+    if one is home:  # its sets are made together
+        cache.fill(home, pairs[:, 1:])
+    else:
+        cache.fill(one, pairs[:, 1])
+        cache.fill(home, pairs[:, 2])
     for x, y in pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:].tolist():
         g, h = roots.of(int(one.groups[x])), roots.of(int(home.groups[y]))
         if g != h and how.linked(cache.of(one, x), cache.of(home, y)):
@@ -331,19 +339,26 @@ def confirmed(pairs: np.ndarray, one: Members, home: Members, how: Similarity, r
 def _blocks_of(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[tuple[tuple[int, int], Members, pa.RecordBatch]]:
     """((key, block), members, rows) of rows sorted so, those at home first: all of them at once, then visitors by the block."""
     for batch in batches:
-        key, block, visits = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "block", "visits"))
+        if not len(batch):
+            continue
+        key, block = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "block"))
+        every = _numbers(batch)  # at once, as most blocks are of a few rows
+        visits = every.visits
         edges = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (visits[1:] != visits[:-1])) + 1
         for b, e in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
             for at in range(b, e, BLOCK):
-                part = batch.slice(at, min(BLOCK, e - at))
-                yield (int(key[b]), int(block[b])), _members(part, texts), part
+                part, members = batch.slice(at, min(BLOCK, e - at)), every.span(at, min(at + BLOCK, e))
+                if texts:  # only a block's, as they may be long
+                    members.texts = part.column(part.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
+                yield (int(key[b]), int(block[b])), members, part
 
 
-def _members(part: pa.RecordBatch, texts: bool) -> Members:
-    column = lambda c: part.column(part.schema.get_field_index(c))
+def _numbers(batch: pa.RecordBatch) -> Members:
+    """All rows of a batch, without their texts."""
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
     number = lambda c: column(c).to_numpy(zero_copy_only=False)
-    matrix = lambda c, kind: np.frombuffer(b"".join(column(c).to_pylist()), kind).reshape(len(part), -1)
-    return Members(number("id"), number("component"), number("asks"), number("visits"), matrix("sig", np.uint8), matrix("keys", np.int64), column("text").cast(pa.large_binary()).to_pylist() if texts else None)
+    matrix = lambda c, kind: np.frombuffer(b"".join(column(c).to_pylist()), kind).reshape(len(batch), -1)
+    return Members(number("id"), number("component"), number("asks"), number("visits"), matrix("sig", np.uint8), matrix("keys", np.int64))
 
 
 def _walked(batches: Iterator[pa.RecordBatch], texts: bool, compare: Callable, fresh: Callable, close: Callable) -> Iterator[pa.RecordBatch]:

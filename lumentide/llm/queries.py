@@ -193,5 +193,6 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs, count_col="n_removed")
-    n_lines = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    # in bytes, which a text knows its number of; characters would have to be counted
+    n_lines = F.when(F.octet_length("text") > 0, F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     return out.select("doc_id", "n_removed", n_lines.cast("long").alias("n_lines_left"), "text")

@@ -1,8 +1,15 @@
 from __future__ import annotations
 
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
+
+from lumentide.llm import lines as line_module
 from lumentide.llm.lines import LineDup, LineHashes, dedup_lines
+from lumentide.llm.queries import QUERIES
+from lumentide.llm.textio import mix
 
 SCHEMA = "doc_id long, text string, lines string, component long"
 
@@ -102,3 +109,36 @@ def test_many_lines_go_in_order(spark):
     s = LineDup(percent=100)
     got = {r["doc_id"]: r["text"] for r in dedup_lines(df, s).collect()}
     assert got == {1: first, 2: "\n".join(f"own line number {i} with words w{i * 7919}" for i in range(3000))}
+
+
+def test_hashes_a_cores_cache_at_once(monkeypatch):
+    """However much text comes at once, few lines are hashed together; their hashes are as before."""
+    rnd = random.Random(2)
+    own = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.choice((3, 40, 900)))).strip() or "x" for _ in range(2000)]
+    own = [*dict.fromkeys(own), "z" * 200_000, "last one"]
+    whole, seen, plain = LineHashes(own, 8), [], line_module.LineHashes
+
+    def counted(some, size):
+        seen.append(some)
+        return plain(some, size)
+
+    monkeypatch.setattr(line_module, "LineHashes", counted)
+    texts = pa.array(["\n".join(own[k : k + 20]) for k in range(0, len(own), 20)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), texts], ["doc", "t", "text"])
+    read = list(line_module._read(iter([batch]), LineDup(), 4))
+    signed = list(line_module._signed(iter([pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array(own)], ["id", "line"])]), LineDup()))
+    assert [x for some in seen for x in some] == own * 2
+    assert all(len(some) == 1 or sum(map(len, some)) <= 1 << 16 for some in seen)
+    rows = [np.frombuffer(d, np.int64).reshape(5, -1) for b in read for p, d in zip(*(c.to_pylist() for c in b.columns), strict=True) if 8 <= p < 12]
+    assert sorted(zip(*(np.concatenate(rows, 1)[k].tolist() for k in (0, 4)), strict=True)) == sorted(zip(whole.ids.tolist(), whole.guards.tolist(), strict=True))
+    mins = whole.minima(256, LineDup().seed)
+    sigs = (mix(mins.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).T
+    assert [x for b in signed for x in b.column(2).to_pylist()] == [x.tobytes() for x in sigs]
+
+
+def test_numbers_of_lines_left_without_counting_characters(spark, tmp_path):
+    rows = [(1, "Ünique first line here\n\U0001f600 shared line of some length\n"), (2, "\U0001f600 shared line of some length"), (3, None), (4, ""), (5, "\n\né")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op10_fuzzy_line_dedup"](spark, str(tmp_path))
+    assert {r["doc_id"]: (r["n_removed"], r["n_lines_left"], r["text"]) for r in out.collect()} == {1: (0, 3, rows[0][1]), 2: (1, 0, ""), 3: (0, 0, None), 4: (0, 0, ""), 5: (0, 3, rows[4][1])}
+    assert not re.search(r"(?<!octet_)(?<!\w)length\(", out._jdf.queryExecution().optimizedPlan().toString())
